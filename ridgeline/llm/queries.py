@@ -5,7 +5,8 @@ from __future__ import annotations
 from .bpe import op1_byte_bpe
 from .fingerprint import op2_fingerprint
 from .langid import op10_language_id
+from .pii import op9_pii
 from .tokenstore import op7_token_store
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op7_token_store, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op7_token_store, op9_pii, op10_language_id)}
 ORACLES: dict[str, str] = {}
