@@ -7,6 +7,7 @@ from .fingerprint import op2_fingerprint
 from .langid import op10_language_id
 from .pii import op9_pii
 from .tokenstore import op7_token_store
+from .topk import OP3_SQL, op3_topk
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op7_token_store, op9_pii, op10_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op3_topk, op7_token_store, op9_pii, op10_language_id)}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL}
