@@ -9,8 +9,9 @@ from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import op4_ngram_join
 from .pii import op9_pii
 from .recompression import op5_recompression
+from .suffix_dedup import op6_suffix_dedup
 from .tokenstore import op7_token_store
 from .topk import OP3_SQL, op3_topk
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op3_topk, op4_ngram_join, op5_recompression, op7_token_store, op8_mixing, op9_pii, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op3_topk, op4_ngram_join, op5_recompression, op6_suffix_dedup, op7_token_store, op8_mixing, op9_pii, op10_language_id)}
 ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op8_mixing": OP8_SQL}
