@@ -4,7 +4,8 @@ A document is the set of its five-word shingles' 64-bit hashes. Linked documents
 fifth of either set unshared, so under any global order of the shingles they share one of the first ``n // 5 + 1``. Orders used:
 
 1. ascending hash. Each document's first quarter is looked at: unless all but ``n // 5`` of these shingles occur in another
-   document too, it has no link. Counts combine in each task before they shuffle (a shingle is sent once a task).
+   document too, it has no link. What is left is looked at in full in the same way. Counts combine in each task before they
+   shuffle (a shingle is sent once a task).
 2. ascending document frequency among what is left. Shingles that occur once fill the prefix first; a document with more than
    a fifth of them has no link. The rest of the prefix is the postings that candidates must share.
 3. descending and ascending hash again, on each candidate pair, before its sets are intersected.
@@ -68,8 +69,9 @@ def prefixes_meet(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(np.isin(a[:p], b[:q], assume_unique=True).any() and np.isin(a[-p:], b[-q:], assume_unique=True).any())
 
 
-def _suspects(docs: DataFrame, buckets: int) -> DataFrame:
-    """Ids of the documents that the first order leaves."""
+def _suspects(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
+    """Ids of the documents of which no more than a fifth of the shingles is their own, as far as the first quarter under
+    ascending hashes shows it, or the whole set."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, needs, count = [], [], [], 0
@@ -96,7 +98,7 @@ def _suspects(docs: DataFrame, buckets: int) -> DataFrame:
             for key, own in zip(keys.tolist(), shingle_sets(batch.column(1)), strict=True):
                 n = len(own)
                 if n:
-                    part = own[: n // 5 + max(1, -(-n // 20))]
+                    part = own if whole else own[: n // 5 + max(1, -(-n // 20))]
                     held.append(part)
                     ids.append(np.full(len(part), key))
                     needs.append((key, len(part) - n // 5))  # so many of them must occur elsewhere
@@ -134,21 +136,24 @@ def _suspects(docs: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared")).where("shared >= 0").select("doc_id")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids. A bitmap of fixed size goes to all tasks first, so that few texts are shuffled."""
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)) + 1
+def _only(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with these ids, and perhaps a few others: a bitmap of fixed size goes to all tasks, so that nothing is
+    shuffled. Where the ids are too many for it, an exact join follows."""
+    hashed = F.pmod(F.xxhash64(key), F.lit(BLOOM_BITS)) + 1
     bits = ids.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     bitmap = np.zeros(BLOOM_BITS // 8, np.uint8)
     for r in bits.toLocalIterator():  # BLOOM_BITS / 32768 rows at most; buckets count from 1
         bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)[:4096]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.arrow_udf(T.BooleanType())
     def maybe(h: pa.Array) -> pa.Array:
         at = h.to_numpy(zero_copy_only=False) - 1
         return pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
 
-    return docs.where(maybe(hashed)).join(ids, "doc_id", "left_semi")
+    few = int(np.bitwise_count(bitmap).sum()) * 16 < BLOOM_BITS
+    passed = rows.where(maybe(hashed))
+    return passed if few else passed.join(ids, key, "left_semi")
 
 
 SET = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType())])
@@ -184,9 +189,12 @@ def verified(pairs: DataFrame, sets: DataFrame, buckets: int, filters: bool) ->
     """a, b, j (see similarity) for pairs(a, b) of nodes of sets(node, tokens).
 
     A node in very many pairs is dealt to several groups of about ``GROUP`` pairs."""
+    sets, pairs = sets.select("node", "tokens"), stored(pairs, "ngram-pairs")
+    heads = _only(sets, pairs.select(F.col("a").alias("node")), "node")
+    others = _only(sets, pairs.select(F.col("b").alias("node")), "node")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(sets, "node")
-    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("node", "a"), "a")
+    right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(others, "node")
+    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(heads.withColumnRenamed("node", "a"), "a")
     bucket = F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket")
 
     def compare(heads: pa.Table, rows: pa.Table) -> pa.Table:
@@ -215,7 +223,6 @@ def _links(sets: DataFrame, buckets: int) -> DataFrame:
     """Links a, b whose components are those of all links between the sets."""
     postings = stored(_postings(sets), "ngram-postings")
     nodes = postings.groupBy("node").agg(F.first("n").alias("n"), F.first("central").alias("central"))
-    sets = stored(sets.join(nodes.select("node"), "node", "left_semi").select("node", "tokens"), "ngram-sets")
 
     # first: each node with one leader
     lead = postings.groupBy("token").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"), F.col("n").alias("leader_n"))).alias("top"), F.count("*").alias("c")).where("c > 1")
@@ -265,11 +272,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    suspects = stored(_suspects(docs, buckets), "ngram-suspects")
-    every = stored(_only(docs, suspects).select("doc_id", shingle_set("text").alias("s")).select("doc_id", "s.*"), "ngram-every")
-    classes = every.groupBy("class").agg(F.min("doc_id").alias("node"))
-    firsts = classes.select("class", F.col("node").alias("doc_id"))
-    sets = every.join(firsts, ["class", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "tokens")
+    for whole in (False, True):
+        suspects = stored(_suspects(docs, buckets, whole), "ngram-suspects")
+        docs = _only(docs, suspects)
+    every = stored(docs.select("doc_id", shingle_set("text").alias("s")).select("doc_id", "s.*"), "ngram-every")
+    classes = stored(every.groupBy("class").agg(F.min("doc_id").alias("node")), "ngram-classes")
+    # one set for each class; a few copies may come along, which then link to their like
+    sets = _only(every.select(F.col("doc_id").alias("node"), "n", "tokens"), classes.select("node"), "node")
     component = components(_links(sets, buckets))
     member = every.select("doc_id", "class").join(classes, "class").join(component, "node", "left")
     return member.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
