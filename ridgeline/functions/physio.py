@@ -86,3 +86,23 @@ def altitude_code(elev) -> Column:
 
 def altitude_of(code) -> Column:
     return F.when(_c(code) != 4294967295, _c(code) / 5.0 - 500.0)
+
+
+def power_band(speed, accel, grade, rho, mass, headwind=0.0, crosswind=0.0, crr=C.crr, cda=C.cda, efficiency=C.efficiency, calibrated: bool = False, sigma_wind=C.sigma_wind) -> dict[str, Column]:
+    """Watts with a band of two standard deviations, by first-order propagation of six uncertain inputs; no less than 0."""
+    p = power(speed, accel, grade, rho, mass, crr, cda, headwind, crosswind, efficiency)
+    v, m, along = _c(speed), _c(mass), _c(speed) + _c(headwind)
+    air = F.sqrt(along * along + _c(crosswind) * _c(crosswind))
+    angle = F.atan(clip(_c(grade), -1.0, 1.0))
+    sigma_cda = F.greatest(_c(cda) * C.sigma_cda_calibrated, F.lit(0.012)) if calibrated else _c(cda) * C.sigma_cda
+    sigma_crr = F.greatest(_c(crr) * C.sigma_crr_calibrated, F.lit(0.0003)) if calibrated else _c(crr) * C.sigma_crr
+    terms = [
+        0.5 * _c(rho) * _c(cda) * v * (F.when(air > 0, along * along / F.when(air > 0, air)).otherwise(F.lit(0.0)) + air) * _c(sigma_wind),
+        0.5 * _c(rho) * air * along * v * sigma_cda,
+        m * C.gravity * F.cos(angle) * v * sigma_crr,
+        m * C.gravity * F.pow(F.cos(angle), F.lit(3.0)) * v * C.sigma_grade,
+        (p["rolling"] + p["gravity"] + p["inertia"]) / m * C.sigma_mass,
+        p["aero"] / _c(rho) * C.sigma_rho,
+    ]
+    spread = F.sqrt(sum((t * t for t in terms), F.lit(0.0))) / efficiency
+    return p | {"lo": F.greatest(p["watts"] - 2 * spread, F.lit(0.0)), "hi": F.greatest(p["watts"] + 2 * spread, F.lit(0.0)), "sigma": spread}
