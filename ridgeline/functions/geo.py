@@ -13,7 +13,8 @@ def _c(x) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Limited to a range; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def haversine(lat1, lon1, lat2, lon2) -> Column:

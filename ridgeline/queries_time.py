@@ -81,7 +81,7 @@ def effort_clock(spark, sf_dir):
     return W.effort_clock(points(spark, sf_dir), "ride_id", "t", "idx", F.col("mode") == "pedal").select("ride_id", "idx", r6(F.col("effort_t") + 1e-8, "effort_t"))  # away from halves
 
 
-@query(P + f"SELECT ride_id, idx, round(coalesce(least(greatest((lead(speed) OVER w - speed) / nullif(lead(t) OVER w - t, 0), -2.0E0), 2.0E0), 0.0E0), 6) + 0.0E0 accel FROM p WINDOW w AS ({BY} t)")
+@query(P + f"SELECT ride_id, idx, round(CASE WHEN lead(t) OVER w > t THEN least(greatest((lead(speed) OVER w - speed) / (lead(t) OVER w - t), -2.0E0), 2.0E0) ELSE 0.0E0 END, 6) + 0.0E0 accel FROM p WINDOW w AS ({BY} t)")
 def acceleration_clamped(spark, sf_dir):
     return W.acceleration(points(spark, sf_dir), "ride_id", "t", "speed").select("ride_id", "idx", r6("accel"))
 
