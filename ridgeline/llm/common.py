@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 MAX_BATCH_ROWS = 2000
 
 _rng = np.random.default_rng(20240607)

@@ -34,7 +34,7 @@ from .common import buffers, runs, small_batches, stored, table, texts_of, windo
 from .components import components
 
 SHINGLE = 5
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 BLOOM_BITS = 1 << 25  # 4 MB, whatever the input
 GROUP = 512
 
@@ -98,7 +98,7 @@ def _suspects(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
             for key, own in zip(keys.tolist(), shingle_sets(batch.column(1)), strict=True):
                 n = len(own)
                 if n:
-                    part = own if whole else own[: n // 5 + max(1, -(-n // 20))]
+                    part = (own if whole else own[: n // 5 + max(1, -(-n // 20))]).copy()
                     held.append(part)
                     ids.append(np.full(len(part), key))
                     needs.append((key, len(part) - n // 5))  # so many of them must occur elsewhere
@@ -140,20 +140,12 @@ def _only(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows with these ids, and perhaps a few others: a bitmap of fixed size goes to all tasks, so that nothing is
     shuffled. Where the ids are too many for it, an exact join follows."""
     hashed = F.pmod(F.xxhash64(key), F.lit(BLOOM_BITS)) + 1
-    bits = ids.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    bitmap = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in bits.toLocalIterator():  # BLOOM_BITS / 32768 rows at most; buckets count from 1
-        bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)[:4096]
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.arrow_udf(T.BooleanType())
-    def maybe(h: pa.Array) -> pa.Array:
-        at = h.to_numpy(zero_copy_only=False) - 1
-        return pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
-
-    few = int(np.bitwise_count(bitmap).sum()) * 16 < BLOOM_BITS
-    passed = rows.where(maybe(hashed))
-    return passed if few else passed.join(ids, key, "left_semi")
+    bits = ids.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    # BLOOM_BITS / 8 bytes at most
+    at = F.bitmap_bit_position(hashed)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    passed = rows.join(F.broadcast(bits), F.bitmap_bucket_number(hashed) == F.col("_part")).where((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).select(*rows.columns)
+    return passed if 16 * ids.count() < BLOOM_BITS else passed.join(ids, key, "left_semi")
 
 
 SET = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType())])
