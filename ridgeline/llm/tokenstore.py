@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             keys = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            for i, j in runs(offsets, 4 << 20):
+            for i, j in runs(offsets, min(4 << 20, 4 * shard_tokens)):
                 got, n = enc.encode(data, offsets[i : j + 1])
                 doc_ids.append(keys[i:j])
                 lengths.append(n + 1)
