@@ -36,6 +36,10 @@ _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.uint64(2**64 - 1)
 
 
+def _times(n: int, c: np.uint64) -> np.uint64:
+    return np.uint64(n * int(c) % 2**64)
+
+
 def rounds(h: np.ndarray, doc: np.ndarray, n: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Symbols after each round, with the range of words [lo, hi) that decided them; round 0 is the words."""
     sym, lo = h, np.arange(len(h), dtype=np.int64)
@@ -59,7 +63,7 @@ def rounds(h: np.ndarray, doc: np.ndarray, n: int = ROUNDS) -> list[tuple[np.nda
         )
         sym, doc = np.where(size > 1, mix(sym[at] * _A + size.astype(np.uint64) * _B + np.uint64(r)), sym[at]), doc[at]
 
-        right = (mix(sym + np.uint64(r) * _A) >> np.uint64(63)).astype(bool)
+        right = (mix(sym + _times(r, _A)) >> np.uint64(63)).astype(bool)
         together = np.append(doc[1:] == doc[:-1], False)
         pair = np.zeros(len(sym), bool)
         pair[:-1] = ~right[:-1] & right[1:] & together[:-1]
@@ -94,7 +98,7 @@ def anchors(h: np.ndarray, firsts: np.ndarray, window: int = WINDOW) -> np.ndarr
         at = np.clip(lo, 0, len(h) - 1)
         a, b = np.maximum(hi - window, begin[at]), np.minimum(lo, end[at] - window)
         some = np.flatnonzero((a <= b) & (lo >= 0) & (hi <= len(h)))
-        a, b, value = a[some], b[some], np.minimum(mix(sym[some] ^ np.uint64(r + 1) * _B), _NONE - np.uint64(1))
+        a, b, value = a[some], b[some], np.minimum(mix(sym[some] ^ _times(r + 1, _B)), _NONE - np.uint64(1))
         k = np.floor(np.log2(b - a + 1)).astype(np.int64)
         least = np.full((top + 1, len(h)), _NONE)
         np.minimum.at(least, (k, a), value)
@@ -312,3 +316,14 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words, how many a smaller document has too, and a digest of the rest."""
     done = kept_words(texts_of(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) i FROM w)),
+l AS (SELECT doc_id, i FROM k JOIN (SELECT h, min(doc_id) least FROM k GROUP BY h) USING (h) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) j FROM l),
+word AS (SELECT doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) kept, count(*) n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
