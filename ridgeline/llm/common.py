@@ -6,15 +6,18 @@ All kernels work on pieces of about ``PIECE`` bytes; a longer word or document o
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE = 1 << 19
-MAX_BATCH_ROWS = 2000
+MAX_BATCH_ROWS = 500
+BLOOM_BITS = 1 << 25  # 4 MB, whatever the input
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,10 +162,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def having_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with these ids, and perhaps a few others: a bitmap of fixed size goes to all tasks, so that nothing is
+    shuffled. Where the ids are too many for it, an exact join follows."""
+    hashed = F.pmod(F.xxhash64(key), F.lit(BLOOM_BITS)) + 1
+    bits = ids.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    # BLOOM_BITS / 8 bytes at most
+    at = F.bitmap_bit_position(hashed)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    passed = rows.join(F.broadcast(bits), F.bitmap_bucket_number(hashed) == F.col("_part")).where((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).select(*rows.columns)
+    return passed if 16 * ids.count() < BLOOM_BITS else passed.join(ids, key, "left_semi")
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end; a Python worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, for tables with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

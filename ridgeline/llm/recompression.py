@@ -8,13 +8,13 @@ worst), hence a function of the window's words alone.
 
 1. Anchors that only one document has are dropped: no window around them repeats elsewhere.
 2. The windows of the remaining anchors are compared in full, by 64-bit hashes; for each, the least doc_id wins.
-3. Documents take back the places of their windows that another wins, and drop those words.
+3. Documents take back those of their windows that another wins, and drop the words that they cover.
 
 What a task has several times is combined before it is shuffled (one document for each anchor or window), so a passage that a third of
 all documents share costs a row a task.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; a null doc_id neither loses nor wins words; equal rows
-lose or keep the same words; rows that share a doc_id must share the text; no rows give no rows.
+lose or keep the same words; rows that share a doc_id lose what any of them shares with a smaller id; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, runs, small_batches, table, texts_of, windows, word_hashes
+from .common import buffers, having_ids, mix, runs, small_batches, stored, table, texts_of, windows, word_hashes
 
 WINDOW = 50
 ROUNDS = 4
@@ -211,8 +211,8 @@ def _shared_anchors(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
 
 
 def _lost_windows(docs: DataFrame, shared: DataFrame, buckets: int, homes: int) -> DataFrame:
-    """home, docs, places: first places of windows that a document with a smaller id has too."""
-    names = ["bucket", "docs", "places", "hashes", "lost_docs", "lost_places"]
+    """home, docs, hashes: windows of a document that one with a smaller id has too."""
+    names = ["bucket", "docs", "hashes", "lost_docs", "lost_hashes"]
 
     def send(lists: pa.Table, texts: pa.Table) -> pa.Table:
         if not len(lists) or not len(texts):
@@ -235,42 +235,51 @@ def _lost_windows(docs: DataFrame, shared: DataFrame, buckets: int, homes: int)
                 if b > a and n:
                     own = chosen[firsts[d - i] : firsts[d - i] + n]
                     some = np.flatnonzero(np.isin(own, key[a:b]))
-                    found.append((np.full(len(some), doc_ids[d]), some, hashes[begins[d - i] + some]))
+                    found.append((np.full(len(some), doc_ids[d]), hashes[begins[d - i] + some]))
         if not found:
             return _table([], names)
-        of, place, value = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((place, of, value))
-        of, place, value = of[order], place[order], value[order]
+        of, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((of, value))
+        of, value = of[order], value[order]
         first = np.ones(len(value), bool)
         first[1:] = value[1:] != value[:-1]
         size = np.diff(np.append(np.flatnonzero(first), len(value)))
-        lost = of > np.repeat(of[first], size)
-        again = np.ones(len(value), bool)  # one place for each window of a document
+        again = np.ones(len(value), bool)  # each window of a document once
         again[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
-        lost &= again
-        rows = [[int(of[0] % buckets), b"", b"", b"", of[lost].tobytes(), place[lost].astype(np.int32).tobytes()]]
-        of, place, value = of[first], place[first], value[first]
-        order = np.lexsort((place, of))
-        of, place, value = of[order], place[order].astype(np.int32), value[order]
-        rows += [[*r, b"", b""] for r in _packed(_cut(value, buckets), buckets, of, place, value)]
+        lost = again & (of > np.repeat(of[first], size))
+        rows = [[int(of[0] % buckets), b"", b"", of[lost].tobytes(), value[lost].tobytes()]]
+        of, value = of[first], value[first]
+        order = np.argsort(of, kind="stable")
+        of, value = of[order], value[order]
+        rows += [[*r, b"", b""] for r in _packed(_cut(value, buckets), buckets, of, value)]
         return _table(rows, names)
 
     def settle(group: pa.Table) -> pa.Table:
         c = {n: group.column(n).to_pylist() for n in names[1:]}
-        of, place, value = _joined(c["docs"], np.int64), _joined(c["places"], np.int32), _joined(c["hashes"], np.uint64)
+        of, value = _joined(c["docs"], np.int64), _joined(c["hashes"], np.uint64)
         order = np.lexsort((of, value))
-        of, place, value = of[order], place[order], value[order]
+        of, value = of[order], value[order]
         first = np.ones(len(value), bool)
         first[1:] = value[1:] != value[:-1]
-        size = np.diff(np.append(np.flatnonzero(first), len(value)))
-        lost = of > np.repeat(of[first], size)
-        doc, place = np.concatenate([_joined(c["lost_docs"], np.int64), of[lost]]), np.concatenate([_joined(c["lost_places"], np.int32), place[lost]])
-        order = np.lexsort((place, doc))
-        return _table(list(_packed(_home(doc[order], homes), homes, doc[order], place[order])), ["home", "docs", "places"])
+        lost = of > np.repeat(of[first], np.diff(np.append(np.flatnonzero(first), len(value))))
+        doc, value = np.concatenate([_joined(c["lost_docs"], np.int64), of[lost]]), np.concatenate([_joined(c["lost_hashes"], np.uint64), value[lost]])
+        order = np.argsort(doc, kind="stable")
+        return _table(list(_packed(_home(doc[order], homes), homes, doc[order], value[order])), ["home", "docs", "hashes"])
 
     left = shared.groupBy("home")
-    sent = left.cogroup(docs.withColumn("home", _home_column(homes)("doc_id")).groupBy("home")).applyInArrow(send, "bucket int, docs binary, places binary, hashes binary, lost_docs binary, lost_places binary")
-    return sent.groupBy("bucket").applyInArrow(settle, "home int, docs binary, places binary")
+    sent = left.cogroup(docs.withColumn("home", _home_column(homes)("doc_id")).groupBy("home")).applyInArrow(send, "bucket int, docs binary, hashes binary, lost_docs binary, lost_hashes binary")
+    return sent.groupBy("bucket").applyInArrow(settle, "home int, docs binary, hashes binary")
+
+
+def listed_ids(lists: DataFrame) -> DataFrame:
+    """doc_id: the documents in packed lists."""
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(docs, np.int64)))], ["doc_id"])
+
+    return lists.select("docs").mapInArrow(ids, "doc_id long").distinct()
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
@@ -279,12 +288,13 @@ def kept_words(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     buckets = homes = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lost = _lost_windows(some, _shared_anchors(some, buckets, homes), buckets, homes)
+    shared = stored(_shared_anchors(some, buckets, homes), "shared-anchors")
+    lost = _lost_windows(having_ids(some, listed_ids(shared)), shared, buckets, homes)
 
     def cut(lists: pa.Table, texts: pa.Table) -> pa.Table:
-        doc, place = _joined(lists.column("docs").to_pylist(), np.int64), _joined(lists.column("places").to_pylist(), np.int32)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
+        doc, lost_hash = _joined(lists.column("docs").to_pylist(), np.int64), _joined(lists.column("hashes").to_pylist(), np.uint64)
+        order = np.argsort(doc, kind="stable")
+        doc, lost_hash = doc[order], lost_hash[order]
         data, offsets = buffers(texts.column("text").combine_chunks())
         keys = texts.column("doc_id").to_pylist()
         out = ([], [], [])
@@ -297,7 +307,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
                 a, b = np.searchsorted(doc, (keys[d], keys[d] + 1)) if keys[d] is not None else (0, 0)
                 if b > a:
                     own = hashes[begins[d - i] : begins[d - i + 1]]
-                    gone = np.flatnonzero(np.isin(own, own[place[a:b]]))
+                    gone = np.flatnonzero(np.isin(own, lost_hash[a:b]))
                     edge = np.zeros(y - x + 1, np.int64)
                     np.add.at(edge, gone, 1)
                     np.add.at(edge, gone + WINDOW, -1)
