@@ -12,8 +12,9 @@ fifth of either set unshared, so under any global order of the shingles they sha
 
 Equal sets are one class. Candidates are not expanded into all pairs of a postings list: each class is first compared with one
 leader (the document that leads most of its prefix postings), which gives stars with known radii. Star centres that share a
-posting are compared next; only where the triangle inequality of the Jaccard distance leaves a link possible between two stars
-are the members that can have one compared. All these comparisons are exact, so the components are those of all links.
+posting are compared next; where the triangle inequality of the Jaccard distance leaves a link possible between two stars, their
+members are compared with the other centre; and only where both centres' distances still allow it, members with members. All
+these comparisons are exact, so the components are those of all links.
 
 Defined results: null or empty text, or text of white space, has no shingles and links with nothing; fewer than five words
 are one shingle; a null doc_id gets a null component; rows that share an id count as one document that has the links of each;
@@ -30,12 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, runs, small_batches, stored, table, texts_of, windows, word_hashes
+from .common import buffers, give_back, having_ids, runs, small_batches, stored, table, texts_of, windows, word_hashes
 from .components import components
 
 SHINGLE = 5
-CHUNK_TOKENS = 1 << 20
-BLOOM_BITS = 1 << 25  # 4 MB, whatever the input
+CHUNK_TOKENS = 1 << 19
 GROUP = 512
 
 
@@ -108,6 +108,7 @@ def _suspects(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
                 held, ids, needs, count = [], [], [], 0
         if count:
             yield from flush()
+        give_back()
 
     def meet(group: pa.Table) -> pa.Table:
         token, doc, ids, counts = [], [], [], []
@@ -136,18 +137,6 @@ def _suspects(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared")).where("shared >= 0").select("doc_id")
 
 
-def _only(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows with these ids, and perhaps a few others: a bitmap of fixed size goes to all tasks, so that nothing is
-    shuffled. Where the ids are too many for it, an exact join follows."""
-    hashed = F.pmod(F.xxhash64(key), F.lit(BLOOM_BITS)) + 1
-    bits = ids.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    # BLOOM_BITS / 8 bytes at most
-    at = F.bitmap_bit_position(hashed)
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    passed = rows.join(F.broadcast(bits), F.bitmap_bucket_number(hashed) == F.col("_part")).where((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).select(*rows.columns)
-    return passed if 16 * ids.count() < BLOOM_BITS else passed.join(ids, key, "left_semi")
-
-
 SET = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
 
@@ -158,12 +147,14 @@ def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sets = shingle_sets(batch)
         sums = np.array([int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))) if len(s) else 0 for s in sets], np.uint64)
         yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), pa.array(sums.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "class", "tokens"])
+    give_back()
 
 
 @F.arrow_udf(T.LongType())
 def set_size(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([len(s) for s in shingle_sets(batch)], pa.int64())
+    give_back()
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -182,8 +173,8 @@ def verified(pairs: DataFrame, sets: DataFrame, buckets: int, filters: bool) ->
 
     A node in very many pairs is dealt to several groups of about ``GROUP`` pairs."""
     sets, pairs = sets.select("node", "tokens"), stored(pairs, "ngram-pairs")
-    heads = _only(sets, pairs.select(F.col("a").alias("node")), "node")
-    others = _only(sets, pairs.select(F.col("b").alias("node")), "node")
+    heads = having_ids(sets, pairs.select(F.col("a").alias("node")), "node")
+    others = having_ids(sets, pairs.select(F.col("b").alias("node")), "node")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(others, "node")
     left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(heads.withColumnRenamed("node", "a"), "a")
@@ -247,14 +238,27 @@ def _links(sets: DataFrame, buckets: int) -> DataFrame:
     if near.isEmpty():
         return links
 
-    # third: members of such stars that the triangle inequality leaves, where their components still differ
-    component = components(links)
-    ends = stars.select("node", "star", "off").join(component, "node", "left").select("node", "star", "off", F.coalesce("component", "node").alias("component"))
-    at = postings.select("token", "node", "n").join(ends, "node")
-    one = at.join(near.withColumnRenamed("a", "star"), "star").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("off").alias("oa"), F.col("component").alias("ca"), F.col("b").alias("star"), "j")
-    two = at.select("token", "star", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("off").alias("ob"), F.col("component").alias("cb"))
-    possible = (F.col("ca") != F.col("cb")) & (F.col("oa") + F.col("ob") + 0.2 + slack >= 1 - F.col("j")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
-    last = one.join(two, ["token", "star"]).where(possible).select("a", "b").distinct()
+    # third: members with the centre of the other star, where their components still differ
+    def ends() -> DataFrame:
+        component = components(links)
+        return stored(stars.select("node", "star", "off").join(component, "node", "left").select("node", "star", "off", F.coalesce("component", "node").alias("component")), "ngram-ends")
+
+    at = ends()
+    of = at.where("node = star").select(F.col("star").alias("other"), F.col("component").alias("other_component"))
+    sides = near.select(F.col("a").alias("star"), F.col("b").alias("other"), "j").union(near.select("b", "a", "j"))
+    # a member that is further from the other centre than 0.4 has no link to that star
+    tries = at.join(sides, "star").join(of, "other").where(F.col("component") != F.col("other_component")).where(1 - F.col("j") - F.col("off") <= 0.4 + slack)
+    reach = stored(verified(tries.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), sets, buckets, False).where(F.col("j") >= 0.6 - slack), "ngram-reach")
+    links = links.union(reach.where("j >= 0.8").select("a", "b"))
+
+    # last: members of two such stars, both near enough to both centres
+    at = ends().join(reach.select(F.col("a").alias("other"), F.col("b").alias("node"), (1 - F.col("j")).alias("far")), "node")
+    spots = postings.select("token", "node", "n").join(at, "node")
+    one = spots.where("star < other").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("off").alias("oa"), F.col("far").alias("fa"), F.col("component").alias("ca"), "star", "other")
+    two = spots.where("star > other").select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("off").alias("ob"), F.col("far").alias("fb"), F.col("component").alias("cb"), F.col("other").alias("star"), F.col("star").alias("other"))
+    # distances to each centre may differ by 0.2 at most
+    possible = (F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("ob")) <= 0.2 + slack) & (F.abs(F.col("fb") - F.col("oa")) <= 0.2 + slack) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    last = one.join(two, ["token", "star", "other"]).where(possible).select("a", "b").distinct()
     return links.union(verified(last, sets, buckets, True).where("j >= 0.8").select("a", "b"))
 
 
@@ -266,11 +270,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     for whole in (False, True):
         suspects = stored(_suspects(docs, buckets, whole), "ngram-suspects")
-        docs = _only(docs, suspects)
+        docs = having_ids(docs, suspects)
     every = stored(docs.select("doc_id", shingle_set("text").alias("s")).select("doc_id", "s.*"), "ngram-every")
     classes = stored(every.groupBy("class").agg(F.min("doc_id").alias("node")), "ngram-classes")
     # one set for each class; a few copies may come along, which then link to their like
-    sets = _only(every.select(F.col("doc_id").alias("node"), "n", "tokens"), classes.select("node"), "node")
+    sets = having_ids(every.select(F.col("doc_id").alias("node"), "n", "tokens"), classes.select("node"), "node")
     component = components(_links(sets, buckets))
     member = every.select("doc_id", "class").join(classes, "class").join(component, "node", "left")
     return member.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
@@ -282,3 +286,15 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs)
     sizes = docs.select("doc_id", set_size("text").alias("n_shingles"))
     return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id a, y.doc_id b, count(*) c FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, least(w.doc_id, coalesce(r.b, w.doc_id)) component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a doc_id, min(b) b FROM reach GROUP BY a) r USING (doc_id)
+"""
