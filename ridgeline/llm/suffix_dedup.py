@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE, _BYTE, buffers, mix, powers, runs, small_batches, stored, table, texts_of
-from .recompression import _cut, _home, _home_column, _joined, _packed, _table
+from .common import PIECE, _BYTE, buffers, having_ids, mix, powers, runs, small_batches, stored, table, texts_of
+from .recompression import _cut, _home, _home_column, _joined, _packed, _table, listed_ids
 
 LENGTH = 400
 GRAM = 32
@@ -34,7 +34,7 @@ ORDERS = np.array([1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
 COMMON = 2000
 MAX_COMMON_KEYS = 1 << 18  # whose list is broadcast: 2 MB
 CHUNK = 1 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 16  # sorts of this size stay in the processor's cache; a larger group makes its own batch
 LONG = 2 << 20
 _PLACE, _PLACES = np.uint64(23), np.uint64((1 << 23) - 1)  # a piece has fewer bytes than that
 
@@ -225,7 +225,7 @@ def common_keys(again: DataFrame) -> np.ndarray:
 
 
 _LOST = ["lost_docs", "lost_starts", "lost_sizes"]
-_SENT = ["bucket", "keys", "docs", "starts", "sizes", "bytes", "hashes", "hash_docs", "hash_starts", *_LOST]
+_SENT = ["bucket", "keys", "docs", "starts", "sizes", "alone", "bytes", "hashes", "hash_docs", "hash_starts", *_LOST]
 
 
 def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int, homes: int) -> DataFrame:
@@ -246,6 +246,7 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
             if not len(piece.row):
                 continue
             candidate, primary, rare = np.ones(len(piece.row), bool), np.zeros(len(piece.row), np.uint64), np.zeros(len(piece.row), bool)
+            run = np.zeros(len(piece.row), np.int64)
             for o in range(len(ORDERS)):
                 anchor, at, size = piece.runs(o)
                 row = piece.row[at]
@@ -258,6 +259,7 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
                 seldom = np.repeat(~np.isin(anchor, shared.value), size)
                 use = seldom & ~rare
                 primary[use] = np.repeat(anchor, size)[use]
+                run[use] = np.repeat(np.arange(len(at)) * len(ORDERS) + o, size)[use]
                 rare |= seldom
             cold = np.flatnonzero(candidate & rare)
             if len(cold):
@@ -268,14 +270,16 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
                 start = piece.start[first]
                 own = doc_ids[i + piece.row[first]]
                 offset = start + piece.lo - offsets[i + piece.row[first]]
-                regions.append((primary[first], own, offset, size, piece.hashes(start, size + LENGTH - 1) ^ mix(size.astype(np.uint64))))
+                # windows of one run have their anchor at one place, so they differ from each other
+                alone = run[first] == run[cold[at + size - 1]]
+                regions.append((primary[first], own, offset, size, alone, piece.hashes(start, size + LENGTH - 1) ^ mix(size.astype(np.uint64))))
                 bodies += [piece.seg[s : s + k + LENGTH - 1].tobytes() for s, k in zip(start.tolist(), size.tolist(), strict=True)]
             hot = np.flatnonzero(candidate & ~rare)
             if len(hot):
                 single.append((piece.hashes(piece.start[hot], LENGTH), doc_ids[i + piece.row[hot]], piece.start[hot] + piece.lo - offsets[i + piece.row[hot]]))
         lost, rows = [], []
         if regions:
-            anchor, own, offset, size, content = (np.concatenate(x) for x in zip(*regions, strict=True))
+            anchor, own, offset, size, alone, content = (np.concatenate(x) for x in zip(*regions, strict=True))
             order = np.lexsort((content, anchor))
             new = np.ones(len(order), bool)
             new[1:] = (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
@@ -289,7 +293,7 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.unique(bucket).tolist():
                 o = order[cuts[b] : cuts[b + 1]]
-                rows.append([b, anchor[o].tobytes(), own[o].tobytes(), offset[o].tobytes(), size[o].astype(np.int32).tobytes(), b"".join(bodies[x] for x in o.tolist()), *[b""] * 6])
+                rows.append([b, anchor[o].tobytes(), own[o].tobytes(), offset[o].tobytes(), size[o].astype(np.int32).tobytes(), alone[o].tobytes(), b"".join(bodies[x] for x in o.tolist()), *[b""] * 6])
         if single:
             value, own, offset = (np.concatenate(x) for x in zip(*single, strict=True))
             order = np.argsort(value)
@@ -301,10 +305,10 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
             lost.append((own[many], offset[many], np.ones(int(many.sum()), np.int64)))
             own = np.where(many, -1, own)
             for b, *packed in _packed(_cut(value[new], buckets), buckets, value[new], own[new], offset[new]):
-                rows.append([b, *[b""] * 5, *packed, *[b""] * 3])
+                rows.append([b, *[b""] * 6, *packed, *[b""] * 3])
         if lost:
             own, offset, size = (np.concatenate(x) for x in zip(*lost, strict=True))
-            rows.append([len(own) % buckets, *[b""] * 8, own.tobytes(), offset.astype(np.int64).tobytes(), size.astype(np.int64).tobytes()])
+            rows.append([len(own) % buckets, *[b""] * 9, own.tobytes(), offset.astype(np.int64).tobytes(), size.astype(np.int64).tobytes()])
         return _table(rows, _SENT)
 
     def settle(group: pa.Table) -> pa.Table:
@@ -320,6 +324,7 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
         anchor = _joined(c["keys"], np.uint64)
         if len(anchor):
             own, offset, size = _joined(c["docs"], np.int64).copy(), _joined(c["starts"], np.int64), _joined(c["sizes"], np.int32).astype(np.int64)
+            alone = _joined(c["alone"], bool)
             body, at = b"".join(c["bytes"]), np.concatenate([[0], np.cumsum(size + LENGTH - 1)]).tolist()
             text = [body[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             seen: dict[tuple[int, bytes], list[int]] = {}
@@ -334,7 +339,8 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
                 groups.setdefault(a, []).append((t, sites))
             batch, held = [], 0
             for distinct in groups.values():
-                if any(own[sites[0]] >= 0 for _, sites in distinct):  # else all are settled
+                # else all are settled, or nothing can be equal
+                if any(own[sites[0]] >= 0 for _, sites in distinct) and (len(distinct) > 1 or not alone[distinct[0][1][0]]):
                     batch += distinct
                     held += sum(len(t) for t, _ in distinct)
                 if held >= BATCH_BYTES:
@@ -369,6 +375,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     buckets = homes = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     again = stored(_anchors_again(some, buckets, homes), "anchors")
+    some = having_ids(some, listed_ids(again.where("home >= 0")))
     ranges = _repeats(some, again, common_keys(again), buckets, homes)
 
     def cut(lists: pa.Table, texts: pa.Table) -> pa.Table:
