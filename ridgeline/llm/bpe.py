@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, small_batches, table, texts_of
+from .common import buffers, give_back, small_batches, table, texts_of
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG = 50_000
@@ -73,6 +73,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "token_ids", rank_file
                     n += len(got)
                 ends.append(ends[-1] + n)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        give_back()
 
     return docs.withColumn(to, ids(docs[text].cast("string")))
 
@@ -87,6 +88,7 @@ def decode(docs: DataFrame, ids: str = "token_ids", to: str = "decoded", rank_fi
         enc = encoding(ranks.value, pattern)
         for batch in batches:
             yield pa.array([enc.decode_bytes(x.values.to_pylist()) if x.is_valid else None for x in batch], pa.binary())
+        give_back()
 
     return docs.withColumn(to, raw(docs[ids]))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE, buffers, runs, small_batches, table
+from .common import PIECE, buffers, give_back, runs, small_batches, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -99,6 +99,7 @@ def train(docs: DataFrame, text: Column, lang: Column, key: Column, per_language
                     total += np.bincount(of[i:j][row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         lang_at, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang_at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang_at, bucket])], ["at", "bucket", "n"])
+        give_back()
 
     counts = sample.mapInArrow(count, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.ones((BUCKETS, len(languages)))
@@ -134,6 +135,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", to: str = "langua
         for batch in batches:
             langs, score = score_rows(shared.value, batch)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score)], ["lang_pred", "score"])
+        give_back()
 
     return docs.withColumn(to, scored(docs[text].cast("string")))
 

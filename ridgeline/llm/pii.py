@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, texts_of
+from .common import give_back, small_batches, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -194,6 +194,7 @@ def find_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             base.append(find(text))
             spans.append(find_all(text, base[-1]))
         yield pa.StructArray.from_arrays([_arrow(base), _arrow(spans)], ["base", "spans"])
+    give_back()
 
 
 def redact(text: str) -> str:
@@ -211,6 +212,7 @@ def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Column function: texts without personal data; null stays null."""
     for batch in batches:
         yield pa.array([redact(x.as_py()) if x.is_valid else None for x in batch], pa.string())
+    give_back()
 
 
 def digest(spans: Column) -> Column:
