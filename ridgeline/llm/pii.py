@@ -3,7 +3,7 @@
 Base spans are regular-expression matches on the text itself. Then transducers rewrite the text: lookalike and full-width
 characters to ASCII, invisible ones to nothing, "(at)", "[dot]" and "name at host dot org" to signs, runs of spelled digits to
 digits. Each keeps, for every character it writes, the source characters it came from, so that a match on the rewritten text
-maps back. Matches there that touch no base span are added; base spans stay as they are.
+maps back. Matches there are added unless a base span of the same kind holds them, so spans may overlap; base spans stay as they are.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; spans that start together are in the
 order of ``KINDS``; repeated rows are each searched; no rows give no rows.
@@ -163,11 +163,11 @@ def find_all(text: str, base: list[Span] | None = None) -> list[Span]:
     tape = reveal(text)
     if tape.text == text:
         return base
-    spans = list(base)
+    spans = set(base)
     for start, kind, end in find(tape.text):
         a, b = tape.source(start, end)
-        if not any(s < b and a < e for s, _, e in base):
-            spans.append((a, kind, b))
+        if not any(k == kind and s <= a and b <= e for s, k, e in base):
+            spans.add((a, kind, b))
     return sorted(spans)
 
 

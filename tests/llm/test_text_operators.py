@@ -181,6 +181,22 @@ def test_op9_disguises(text, kind, part):
     assert part not in pii.redact(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("to jоhn@example.com today", "email", "jоhn@example.com"),
+        ("to john@example.cоm today", "email", "john@example.cоm"),
+        ("host 10.0.0.1２ up", "ip", "10.0.0.1２"),
+        ("call +44 20 7946 095８ now", "phone", "+44 20 7946 095８"),
+        ("card 4111 1111 1111 111１ x", "card", "4111 1111 1111 111１"),
+    ],
+)
+def test_op9_disguises_around_base_spans(text, kind, part):
+    found = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_all(text)]
+    assert (kind, part) in found and set(pii.find(text)) <= set(pii.find_all(text)) and len(set(found)) == len(found)
+    assert pii.redact(text) == text.replace(part, f"<{kind.upper()}>")
+
+
 @pytest.mark.parametrize("text", ["look at the dot of it", "one two three", "meet me at noon dot", "price: 12 34 56", "Ελληνικά και русский текст"])
 def test_op9_leaves_clean_texts(text):
     assert pii.find_all(text) == [] and pii.redact(text) == text
