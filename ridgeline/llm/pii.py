@@ -101,6 +101,8 @@ _SIGN = re.compile(r"[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
 _SAID = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{TOP})(?![A-Za-z])", re.I)
 _HALF_SAID = re.compile(rf"@[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{TOP})(?![A-Za-z])", re.I)
 _PAUSE = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
+#: Letters that a pattern without regard to case takes for "i" and "s", besides those that lower() gives.
+_FOLDS = str.maketrans("ıſ", "is", "\u0307")
 
 
 class Tape:
@@ -128,7 +130,7 @@ class Tape:
 
 
 def _digits(m: re.Match) -> str:
-    words = re.split("[ -]+", m[0].lower())
+    words = re.split("[ -]+", m[0].lower().translate(_FOLDS))
     return "".join("+" if w == "plus" else SPELLED[w] for w in words)
 
 
@@ -138,15 +140,18 @@ def reveal(text: str) -> Tape:
     tape = Tape(text)
     if not text.isascii():
         tape.rewrite(odd, lambda m: table[m[0]])
+    # each test holds wherever its pattern matches
     low = tape.text.lower()
-    if "at" in low or "dot" in low or "@" in low:
+    if any(b in low for b in "[({<"):
         tape.rewrite(_SIGN, lambda m: {"at": "@", "dot": "."}.get(m[1].lower(), m[1]))
-        if "dot" in low:
-            for pattern in (_SAID, _HALF_SAID):
-                spots = [(p.start() + m.start(), p.end() + m.start()) for m in pattern.finditer(tape.text) for p in _PAUSE.finditer(m[0])]
-                if spots:
-                    tape = _signs(tape, spots)
-    if sum(w in low for w in ("zero", "three", "four", "five", "seven", "eight", "nine")) >= 2 or "one" in low and "two" in low:
+    if "dot" in low:
+        for pattern in (_SAID, _HALF_SAID):
+            spots = [(p.start() + m.start(), p.end() + m.start()) for m in pattern.finditer(tape.text) for p in _PAUSE.finditer(m[0])]
+            if spots:
+                tape = _signs(tape, spots)
+    if "ı" in low or "ſ" in low or "\u0307" in low:
+        low = low.translate(_FOLDS)
+    if sum(low.count(w + " ") + low.count(w + "-") for w in SPELLED) >= 3:
         tape.rewrite(_SPELLED, _digits)
     return tape
 

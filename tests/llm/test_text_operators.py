@@ -197,6 +197,21 @@ def test_op9_disguises_around_base_spans(text, kind, part):
     assert pii.redact(text) == text.replace(part, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("four" + " one" * 15, "card", "four" + " one" * 15),
+        ("pay " + " ".join(["four two"] * 8), "card", " ".join(["four two"] * 8)),
+        ("plus one nine one six six one six one six six one", "phone", "plus one nine one six six one six one six six one"),
+        ("plus nıne nine ſix nine nine ſix nİne nine nine", "phone", "plus nıne nine ſix nine nine ſix nİne nine nine"),
+        ("10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"),
+    ],
+)
+def test_op9_disguises_in_short_texts(text, kind, part):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_all(text)] == [(kind, part)]
+    assert pii.redact(text) == text.replace(part, f"<{kind.upper()}>")
+
+
 @pytest.mark.parametrize("text", ["look at the dot of it", "one two three", "meet me at noon dot", "price: 12 34 56", "Ελληνικά και русский текст"])
 def test_op9_leaves_clean_texts(text):
     assert pii.find_all(text) == [] and pii.redact(text) == text
