@@ -68,6 +68,18 @@ def nearest_segment(points: DataFrame, segments: DataFrame, point_id: list[str],
     return points.join(best, point_id, "left").select(*points.columns, F.col("_b.seg").alias("seg"), F.col("_b._d").alias("metres"))
 
 
+def segments_around(points: DataFrame, segments: DataFrame, lat: str, lon: str, south: float, west: float) -> DataFrame:
+    """All pairs of a point and a segment(seg, lat1, lon1, lat2, lon2) whose start is under ``south`` and ``west`` degrees away from it.
+    Segments are dealt to the grid cells (of that size) around their start, points to their own cell."""
+    cells = segments
+    for to, c, size in (("_y", "lat1", south), ("_x", "lon1", west)):
+        cell = F.floor(F.col(c) / size)
+        cells = cells.withColumn(to, F.explode(F.sequence(cell - 1, cell + 1)))
+    at = points.withColumn("_y", F.floor(F.col(lat) / south)).withColumn("_x", F.floor(F.col(lon) / west))
+    near = (F.abs(F.col(lat) - F.col("lat1")) < south) & (F.abs(F.col(lon) - F.col("lon1")) < west)
+    return at.join(cells, ["_y", "_x"]).where(near).drop("_y", "_x")
+
+
 def overlapping_boxes(boxes: DataFrame, key: str, pad: float, cell: float = 0.05) -> DataFrame:
     """Pairs (a < b) of boxes(key, south, west, north, east) that overlap once padded; boxes meet in the grid cells they touch,
     and a pair is reported in the first cell that both have."""

@@ -220,12 +220,20 @@ def upsert_latest(spark, sf_dir):
 
 # --- scalar functions
 
+def _metres(p, roads):
+    found = J.segments_around(p.select("ride_id", "idx", "lat", "lon"), roads, "lat", "lon", 0.001, 0.002)
+    return found.select("ride_id", "idx", "seg", F.round(G.point_to_segment("lat", "lon", "lat1", "lon1", "lat2", "lon2"), 5).alias("metres"))
+
+
 @query(P + _ROADS + _SEGMENT + " SELECT ride_id, idx, seg, round(metres, 5) metres FROM m WHERE seg % 50 = 0")
 def point_to_segment(spark, sf_dir):
-    roads = _roads(spark, sf_dir).where("seg % 50 = 0")
-    near = (F.abs(F.col("lat") - F.col("lat1")) < 0.001) & (F.abs(F.col("lon") - F.col("lon1")) < 0.002)
-    found = points(spark, sf_dir).join(roads, near)
-    return found.select("ride_id", "idx", "seg", F.round(G.point_to_segment("lat", "lon", "lat1", "lon1", "lat2", "lon2"), 5).alias("metres"))
+    return _metres(points(spark, sf_dir), _roads(spark, sf_dir).where("seg % 50 = 0"))
+
+
+@query(P + _ROADS + _SEGMENT + " SELECT ride_id, idx, seg, round(metres, 5) metres FROM m")
+def point_to_segment_all(spark, sf_dir):
+    """All segments; ``point_to_segment`` is held to the fiftieth of them that its SQL keeps."""
+    return _metres(points(spark, sf_dir), _roads(spark, sf_dir))
 
 
 @query(P + "SELECT ride_id, idx, round((lon + 180) / 360 * 16384, 6) x, round((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / 3.141592653589793E0) / 2 * 16384, 6) y FROM p")

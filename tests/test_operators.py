@@ -15,6 +15,9 @@ from ridgeline.sources import activity, raster
 from ridgeline.streaming import imports
 
 
+DATA = "/root/testdata/sf0.001"
+
+
 def ride(spark, rows, columns="ride_id long, idx long, t double, watts double"):
     return spark.createDataFrame(rows, columns)
 
@@ -283,3 +286,13 @@ def test_empty_ride_table(spark):
     df = ride(spark, [])
     assert aggregates.normalized_power(df, "ride_id", "t", "watts").count() == 0
     assert pd.DataFrame(frames.best_window(df, "ride_id", "t", "watts", 60.0).collect()).empty
+
+
+def test_point_to_segment_all_segments(spark):
+    from ridgeline.queries import QUERIES
+
+    found = QUERIES["point_to_segment_all"](spark, DATA)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found.where("seg % 50 <> 0").count() > 0
+    assert "NestedLoop" not in QUERIES["point_to_segment"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
