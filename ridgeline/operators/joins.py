@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import point_to_segment
+from ..plans.storage import stored
 from ..schemas import C
 from .frames import ranged
 
@@ -109,17 +114,53 @@ def with_singleton(rows: DataFrame, one: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(one.limit(1)))
 
 
-def nearest_example(rows: DataFrame, examples: DataFrame, vector: str, scales: list[float] | None, to: str, limit: int = 10_000) -> DataFrame:
-    """Least scaled distance to any of a few labelled examples (at most ``limit`` rows, checked, then sent to every task)."""
-    few = [r[0] for r in examples.select(vector).limit(limit + 1).collect()]
-    if len(few) > limit:
-        raise ValueError(f"over {limit} examples; sample them first")
-    width = F.array(*[F.lit(float(s)) for s in scales]) if scales else None
-
-    def apart(v: Column, e: Column) -> Column:
-        d = F.zip_with(v, e, lambda x, y: x - y)
-        d = F.zip_with(d, width, lambda x, s: x / s) if scales else d
-        return F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-
-    known = rows.sparkSession.createDataFrame([([list(map(float, e)) for e in few],)], "_examples array<array<double>>")
-    return rows.crossJoin(F.broadcast(known)).withColumn(to, F.array_min(F.transform("_examples", lambda e: apart(F.col(vector).cast("array<double>"), e)))).drop("_examples")
+#: Fixed value: vectors in a block.
+BLOCK = 1024
+
+
+def _blocks(vector: str, id: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs rows into blocks of vectors of one length: ids, width and the vectors' bytes. Vectors that are null or hold a null stay out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch[id].to_pylist() if id else [None] * batch.num_rows
+            by_width: dict[int, list[tuple[int, list[float]]]] = {}
+            for i, v in zip(ids, batch[vector].to_pylist(), strict=True):
+                if v is not None and None not in v:
+                    by_width.setdefault(len(v), []).append((i, v))
+            for width, rows in by_width.items():
+                for k in range(0, len(rows), BLOCK):
+                    part = rows[k : k + BLOCK]
+                    data = np.array([v for _, v in part], float).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in part]], pa.list_(pa.int64())), pa.array([width], pa.int32()), pa.array([data], pa.binary())], ["ids", "width", "data"])
+
+    return pack
+
+
+def nearest_example(rows: DataFrame, examples: DataFrame, vector: str, scales: list[float] | None, to: str) -> DataFrame:
+    """Least scaled distance to any labelled example; null without one of the vector's length. Blocks of rows meet blocks of examples."""
+    spark = rows.sparkSession
+    schema = "ids array<bigint>, width int, data binary"
+    at = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "nearest-rows")  # stored, so that numbers stay
+    left = at.select("_row", F.col(vector).cast("array<double>").alias("_v")).mapInArrow(_blocks("_v", "_row"), schema)
+    right = stored(examples.select(F.col(vector).cast("array<double>").alias("_v")).mapInArrow(_blocks("_v", None), schema), "nearest-examples")
+    right = right.select(F.col("width").alias("width2"), F.col("data").alias("data2"))
+    pairs = left.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).crossJoin(right)  # blocks, which aren't shuffled in pairs
+    scale = np.array(scales, float) if scales else None
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, width = batch["ids"][r].values, batch["width"][r].as_py()
+                if batch["width2"][r].as_py() != width or scale is not None and len(scale) != width:
+                    continue
+                a = np.frombuffer(batch["data"][r].as_py()).reshape(len(ids), width)
+                count = len(batch["data2"][r].as_py()) // (8 * width) if width else 1
+                best = np.full(len(ids), np.nan)
+                for e in np.frombuffer(batch["data2"][r].as_py()).reshape(count, width):
+                    d = a - e if scale is None else (a - e) / scale
+                    best = np.fmin(best, np.einsum("ij,ij->i", d, d))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.sqrt(best), pa.float64())], ["_row", to])
+
+    found = pairs.mapInArrow(least, f"_row bigint, `{to}` double").groupBy("_row").agg(F.min(to).alias(to))
+    return at.join(found, "_row", "left").select(*rows.columns, to)

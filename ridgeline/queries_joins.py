@@ -146,6 +146,13 @@ def nearest_example(spark, sf_dir):
     return J.nearest_example(e, e.where("vec_id < 20"), "embedding", None, "novelty").select("vec_id", F.round("novelty", 5).alias("novelty"))
 
 
+@query("SELECT e.vec_id, round(min(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))), 5) novelty FROM embeddings e, (SELECT embedding FROM embeddings WHERE label = 0) x GROUP BY e.vec_id")
+def nearest_labelled_example(spark, sf_dir):
+    """All rows of a label are examples; ``nearest_example`` is held to the twenty ids that its SQL has."""
+    e = _table(spark, sf_dir, "embeddings")
+    return J.nearest_example(e, e.where("label = 0"), "embedding", None, "novelty").select("vec_id", F.round("novelty", 5).alias("novelty"))
+
+
 # --- selection
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_orderdate DESC, o_orderkey DESC) = 1")

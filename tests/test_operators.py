@@ -296,3 +296,15 @@ def test_point_to_segment_all_segments(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert found.where("seg % 50 <> 0").count() > 0
     assert "NestedLoop" not in QUERIES["point_to_segment"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_example_with_many_examples(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 1, (2500, 3)), rng.normal(0, 1, (10_500, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(a)] + [(-1, None), (-2, [1.0]), (-3, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    examples = spark.createDataFrame([(v.tolist(),) for v in b], "v array<double>")
+    got = {r["id"]: r["far"] for r in joins.nearest_example(df, examples, "v", [1.0, 2.0, 0.5], "far").collect()}
+    want = [np.sqrt((((b - v) / [1.0, 2.0, 0.5]) ** 2).sum(1).min()) for v in a]
+    assert [got[i] for i in range(2500)] == pytest.approx(want) and got[-1] is got[-2] is got[-3] is None
+    assert {r["far"] for r in joins.nearest_example(df, examples.limit(0), "v", None, "far").collect()} == {None}
