@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from ..schemas import C
 
 #: Limits of plausible rolling resistance and drag area with the penalties beyond them, and the strongest wind.
@@ -134,12 +135,11 @@ def pooled_calibration(steps: DataFrame, key: str = "ride_id", mass: float = 86.
 
     Spark sums the normal equations over every ride's segments with that ride's wind; the driver solves two unknowns, and the
     winds are then fitted again, ride by ride, with the two held."""
-    spark = steps.sparkSession
     own = loop_calibration(steps, key, mass, rho)
     winds = own.select(key, F.radians("wind_dir").alias("dir"), "wind")
     answer: dict[str, float] = {}
     for _ in range(rounds):
-        winds = spark.createDataFrame(winds.toPandas(), f"{key} bigint, dir double, wind double")  # a row a ride that can be calibrated
+        winds = stored(winds, "fit-winds")  # a row a ride that can be calibrated
         at = steps.join(winds, key)
         along = F.col("v") + F.col("wind") * F.cos(F.col("heading") - F.col("dir"))
         across = F.col("wind") * F.sin(F.col("dir") - F.col("heading"))

@@ -49,7 +49,7 @@ def loop_fit(spark, sf_dir):
 
 @query()
 def pooled_fit(spark, sf_dir):
-    found = fits.pooled_calibration(storage.stored(_steps(spark, sf_dir), "fit-steps"), rounds=2)
+    found = fits.pooled_calibration(storage.stored(_steps(spark, sf_dir), "fit-steps"))
     rows = [(round(found["crr"], 4), round(found["cda"], 3), int(found["n_segments"]))] if found else []
     return spark.createDataFrame(rows, "crr double, cda double, n_segments bigint")
 

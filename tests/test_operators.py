@@ -308,3 +308,12 @@ def test_nearest_example_with_many_examples(spark):
     want = [np.sqrt((((b - v) / [1.0, 2.0, 0.5]) ** 2).sum(1).min()) for v in a]
     assert [got[i] for i in range(2500)] == pytest.approx(want) and got[-1] is got[-2] is got[-3] is None
     assert {r["far"] for r in joins.nearest_example(df, examples.limit(0), "v", None, "far").collect()} == {None}
+
+
+def test_pooled_fit_keeps_rides_off_the_driver(spark, monkeypatch):
+    from ridgeline.queries import QUERIES
+
+    rounds, winds = [], fits._winds
+    monkeypatch.setattr(fits, "_winds", lambda *a: rounds.append(a) or winds(*a))
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("rides on the driver"))
+    assert QUERIES["pooled_fit"](spark, DATA).count() == 1 and len(rounds) == 4
