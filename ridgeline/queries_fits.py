@@ -44,7 +44,7 @@ def _steps(spark, sf_dir):
 
 @query()
 def loop_fit(spark, sf_dir):
-    return fits.loop_calibration(_steps(spark, sf_dir), least=2).select("ride_id", F.round("crr", 4).alias("crr"), F.round("cda", 3).alias("cda"), "n_segments")
+    return fits.loop_calibration(_steps(spark, sf_dir)).select("ride_id", F.round("crr", 4).alias("crr"), F.round("cda", 3).alias("cda"), "n_segments")
 
 
 @query()
@@ -64,7 +64,7 @@ def fit_classifier(spark, sf_dir):
 @query()
 def route_clusters(spark, sf_dir):
     p = points(spark, sf_dir)
-    prints = storage.stored(routes.fingerprints(p, n=20), "route-prints")
+    prints = storage.stored(routes.fingerprints(p), "route-prints")
     edges = storage.stored(routes.similarities(prints), "route-edges")
     return routes.grouped(p.groupBy("ride_id").agg(F.min("t").alias("started_at")), edges)
 

@@ -317,3 +317,19 @@ def test_pooled_fit_keeps_rides_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(fits, "_winds", lambda *a: rounds.append(a) or winds(*a))
     monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("rides on the driver"))
     assert QUERIES["pooled_fit"](spark, DATA).count() == 1 and len(rounds) == 4
+
+
+def test_routes_and_loops_take_production_parameters(spark, monkeypatch):
+    from ridgeline import queries_fits
+
+    rows = [(7, s, 1.0, 5.0, a, -1.0, -0.1) for s, a in enumerate((0.0, math.pi))]  # opposite headings leave no gap over half a circle
+    monkeypatch.setattr(queries_fits, "_steps", lambda *_: spark.createDataFrame(rows, STEPS))
+    assert queries_fits.loop_fit(spark, DATA).count() == 0
+    prints, similar = [], routes.similarities
+    monkeypatch.setattr(routes, "similarities", lambda p: prints.append(p) or similar(p))
+    few = queries_fits.points(spark, DATA).where("ride_id < 4")
+    monkeypatch.setattr(queries_fits, "points", lambda *_: few)
+    found = queries_fits.route_clusters(spark, DATA)
+    assert found.count() == few.select("ride_id").distinct().count()
+    long = few.groupBy("ride_id").count().where("count > 20").count()
+    assert long and prints[0].where("size(pts) > 20").count() == long
