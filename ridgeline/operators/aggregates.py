@@ -31,6 +31,11 @@ def time_in_zone(df: DataFrame, key: str, time: str, hr: str, zones: Column) ->
     return rows.groupBy(key).agg(*[F.sum(F.when(F.col("_z") == k, F.col("dt")).otherwise(F.lit(0.0))).alias(f"z{k + 1}") for k in range(5)])
 
 
+def ride_shape(df: DataFrame, key: str, mode: str, grade: str, speed: str, lat: str, lon: str) -> DataFrame:
+    """Share of pedalling, mean grade, highest speed and centre of each ride."""
+    return df.groupBy(key).agg(F.avg((F.col(mode) == "pedal").cast("double")).alias("pedalling"), F.avg(grade).alias("mean_grade"), F.max(speed).alias("max_speed"), F.avg(lat).alias("lat"), F.avg(lon).alias("lon"))
+
+
 def mean_where(df: DataFrame, key: str, value: str, on: Column, to: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(F.when(on, F.col(value))).alias(to))
 

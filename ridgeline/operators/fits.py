@@ -18,14 +18,13 @@ CRR_BOX, CDA_BOX, MAX_WIND = (0.001, 0.012, 1e6), (0.15, 0.6, 1e4), 20.0
 
 
 def robust_lines(a: np.ndarray, b: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Least squares with rows reweighted by their residual over the median deviation."""
-    weight = np.ones(len(b))
-    x = np.zeros(a.shape[1])
+    """Least squares, then so many rounds with rows reweighted by their residual over the median size of all."""
+    x = np.linalg.lstsq(a, b, rcond=None)[0]
     for _ in range(rounds):
-        x = np.linalg.lstsq(a * weight[:, None], b * weight, rcond=None)[0]
         r = b - a @ x
-        scale = max(1.4826 * float(np.median(np.abs(r - np.median(r)))), 1e-9)
+        scale = max(1.4826 * float(np.median(np.abs(r))), 1e-9)
         weight = 1 / np.sqrt(np.maximum(1.0, (r / scale) ** 2))
+        x = np.linalg.lstsq(a * weight[:, None], b * weight, rcond=None)[0]
     return x
 
 
@@ -64,6 +63,29 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 4
     return points[best], values[best]
 
 
+def watts_at_fixed_hr(points: DataFrame, key: str, hr: str, watts: str, confidence: str, mode: str, least: int = 20) -> DataFrame:
+    """Robust line of power over heart rate of each ride's trusted pedalling samples, read at the heart rates of the grid: key, hr, watts,
+    lo, hi (two deviations, wider away from the mean heart rate), r2, n. A ride with fewer than ``least`` such samples has nulls and n = 0."""
+    used = F.col(confidence).isin("high", "med") & (F.col(mode) == "pedal") & (F.col(hr) > 60) & (F.col(watts) > 0)
+    rows = points.where(used).select(key, F.col(hr).cast("double").alias("_h"), F.col(watts).cast("double").alias("_w"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["_h"].to_numpy(), pdf["_w"].to_numpy()
+        if len(x) < least:
+            return pd.DataFrame({key: [], "hr": [], "watts": [], "lo": [], "hi": [], "r2": [], "n": []})
+        slope, base = robust_lines(np.column_stack([x, np.ones(len(x))]), y)
+        left = y - slope * x - base
+        grid = np.array(C.hr_grid, float)
+        at, spread = slope * grid + base, float(left.std()) * (1 + np.abs(grid - x.mean()) / 20)
+        total = float(((y - y.mean()) ** 2).sum()) or 1e-9
+        return pd.DataFrame({key: pdf[key].iloc[0], "hr": C.hr_grid, "watts": at, "lo": np.maximum(at - 2 * spread, 0), "hi": at + 2 * spread, "r2": 1 - float((left**2).sum()) / total, "n": len(x)})
+
+    schema = f"{key} {points.schema[key].dataType.simpleString()}, hr int, watts double, lo double, hi double, r2 double, n long"
+    found = rows.groupBy(key).applyInPandas(fit, schema)
+    every = points.select(key).distinct().withColumn("hr", F.explode(F.array(*[F.lit(h) for h in C.hr_grid])))
+    return every.join(found, [key, "hr"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def watts_at_hr(points: DataFrame, key: str = "ride_id", hr: str = "hr", watts: str = "watts", least: int = 20) -> DataFrame:
     """Robust line of power over heart rate, read at the heart rates of the grid: key, hr, watts, r2, n; nothing under ``least`` rows."""
 

@@ -36,26 +36,40 @@ def nearest_in_time(probes: DataFrame, samples: DataFrame, key: str, time: str,
 
 
 def in_intervals(rows: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, label: str, order: str, to: str, width: float = 300.0) -> DataFrame:
-    """Attach the label of the interval that holds a time; of several the last in order. Intervals are dealt to the time slots of
-    ``width`` that they touch, so the join is by equality."""
-    slots = spans.select(key, start, end, label, order, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_slot"))
-    at = rows.withColumn("_slot", F.floor(F.col(time) / width)).withColumn("_row", F.struct(*rows.columns))
-    hit = at.select(key, "_slot", "_row", F.col(time).alias("_t")).join(slots, [key, "_slot"], "left")
-    inside = (F.col("_t") >= F.col(start)) & (F.col("_t") <= F.col(end))
-    found = hit.groupBy("_row").agg(F.max_by(F.when(inside, F.col(label)), F.when(inside, F.struct(order, start))).alias(to))
-    return found.select("_row.*", to)
+    """Attach the label of the interval that holds a time; of several the last in order. Repeated rows stay. Intervals are dealt to the time slots
+    of ``width`` that they touch and gathered there (what one ride's tags hold in a slot), so each row meets one array by equality."""
+    slots = spans.select(F.col(key).alias("_k"), F.struct(F.col(order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(label).alias("l")).alias("_span"), F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_slot"))
+    slots = slots.groupBy("_k", "_slot").agg(F.collect_list("_span").alias("_spans"))
+    hit = rows.join(slots, (F.col(key) == F.col("_k")) & (F.floor(F.col(time) / width) == F.col("_slot")), "left")
+    inside = F.filter("_spans", lambda x: (F.col(time) >= x["s"]) & (F.col(time) <= x["e"]))
+    return hit.withColumn(to, F.array_max(inside)["l"]).select(*rows.columns, to)
 
 
 def in_band(left: DataFrame, right: DataFrame, key: str, columns: list[str], tolerance: float, value: str, order: str, to: str) -> DataFrame:
-    """Attach the value of the first right row whose columns are all within a tolerance of the left row's; dealt by the first column's cell."""
+    """Attach the value of the first right row whose columns are all within a tolerance of the left row's. Repeated rows stay. Right rows are dealt by
+    the first column's cell and gathered there."""
     first = columns[0]
     cell = lambda c: F.floor(F.col(c) / tolerance)
-    r = right.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns], F.col(value).alias("_value"), F.col(order).alias("_order"), F.explode(F.sequence(cell(first) - 1, cell(first) + 1)).alias("_cell"))
-    near = F.lit(True)
-    for c in columns:
-        near = near & (F.abs(F.col(c) - F.col(f"_{c}")) <= tolerance)
-    hit = left.withColumn("_cell2", cell(first)).join(r, (F.col(key) == F.col("_k")) & (F.col("_cell2") == F.col("_cell")) & near, "left")
-    return hit.groupBy(*left.columns).agg(F.min_by("_value", "_order").alias(to))
+    other = F.struct(F.col(order).alias("_order"), F.col(value).alias("_value"), *[F.col(c).alias(c) for c in columns])
+    r = right.select(F.col(key).alias("_k"), other.alias("_r"), F.explode(F.sequence(cell(first) - 1, cell(first) + 1)).alias("_cell"))
+    r = r.groupBy("_k", "_cell").agg(F.collect_list("_r").alias("_rs"))
+
+    def near(x):
+        ok = F.lit(True)
+        for c in columns:
+            ok = ok & (F.abs(F.col(c) - x[c]) <= tolerance)
+        return ok
+
+    hit = left.join(r, (F.col(key) == F.col("_k")) & (cell(first) == F.col("_cell")), "left")
+    return hit.withColumn(to, F.array_min(F.filter("_rs", near))["_value"]).select(*left.columns, to)
+
+
+def merged_near(old: DataFrame, new: DataFrame, key: str, time: str, tolerance: float) -> DataFrame:
+    """The new rows, and the old ones of which no new one of the key is within a tolerance in time; rows meet by cell."""
+    cell = F.floor(F.col(time) / tolerance)
+    near = new.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
+    met = (F.col(key) == F.col("_k")) & (cell == F.col("_cell")) & (F.abs(F.col(time) - F.col("_t")) <= tolerance)
+    return old.join(near, met, "left_anti").unionByName(new)
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, point_id: list[str], lat: str, lon: str, reach: float = C.snap_m) -> DataFrame:

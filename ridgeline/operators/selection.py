@@ -61,3 +61,16 @@ def without_cascade(tables: dict[str, DataFrame], key: str, gone: DataFrame) ->
 def upserted(old: DataFrame, new: DataFrame, key: str | list[str], version: str) -> DataFrame:
     """The newest row of each key of both tables."""
     return first_in(old.unionByName(new), key, F.col(version).desc())
+
+
+def merged_axis(*series: DataFrame) -> DataFrame:
+    """The distinct x values of several series."""
+    every = series[0].select("x")
+    for one in series[1:]:
+        every = every.unionByName(one.select("x"))
+    return every.distinct()
+
+
+def younger_than(rows: DataFrame, time: str, now: DataFrame, age: float) -> DataFrame:
+    """Rows no older than an age; now: one row with that column."""
+    return rows.crossJoin(F.broadcast(now)).where(F.col(time) >= F.col("now") - age).drop("now")

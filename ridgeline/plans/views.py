@@ -20,8 +20,19 @@ _RIDES = """
 SELECT o_orderkey AS ride_id, o_custkey AS route_id, {micros} / 8.64E10 AS day, o_totalprice / 1000.0E0 AS trimp,
        o_totalprice AS distance_m, o_orderstatus <> 'F' AS has_hr, o_orderpriority AS filename FROM orders
 """
+#: The same samples 20 s apart: long efforts with stops, heart rates that rise, tags of descents.
+_EFFORTS = """
+SELECT ride_id, idx, idx * 20.0E0 AS t, CASE WHEN stop THEN 0.0E0 ELSE 7.0E0 + 0.5E0 * sin(idx / 7.0E0) END AS speed, CASE WHEN stop THEN 0.0E0 ELSE 180.0E0 + 12.0E0 * sin(idx / 3.0E0) + idx % 5 END AS watts,
+       118.0E0 + idx * 0.12E0 * (1 + ride_id % 3) + (hr - 95.0E0) / 20.0E0 AS hr, CASE WHEN stop THEN 'static' ELSE 'pedal' END AS mode
+FROM (SELECT *, idx % 40 BETWEEN 36 AND 38 OR (ride_id % 2 = 0 AND idx BETWEEN 48 AND 54) AS stop FROM ({points}))
+"""
+_TAGGED = """
+SELECT *, CASE WHEN (idx {div} 36 + ride_id) % 4 = 1 THEN 'coast' WHEN (idx {div} 36 + ride_id) % 4 = 2 AND idx % 12 = 3 THEN 'pedal' END AS label FROM ({points})
+"""
 POINTS_SQL = _POINTS.format(div="//", micros="epoch_us(ts)")
 RIDES_SQL = _RIDES.format(micros="epoch_us(o_orderdate)")
+EFFORTS_SQL = _EFFORTS.format(points=POINTS_SQL)
+TAGGED_SQL = _TAGGED.format(points=POINTS_SQL, div="//")
 
 
 def _view(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
@@ -33,6 +44,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "events", _POINTS.format(div="div", micros="unix_micros(CAST(ts AS timestamp))"))
 
 
+def efforts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ride_id, idx, t, speed, watts, hr, mode."""
+    return spark.sql(_EFFORTS.format(points="SELECT * FROM {p}"), p=points(spark, sf_dir))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples with a label column: coast, pedal or none."""
+    return spark.sql(_TAGGED.format(points="SELECT * FROM {p}", div="div"), p=points(spark, sf_dir))
+
+
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ride_id, route_id, day, trimp, distance_m, has_hr, filename."""
     return _view(spark, sf_dir, "orders", _RIDES.format(micros="unix_micros(CAST(o_orderdate AS timestamp))"))

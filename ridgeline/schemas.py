@@ -48,6 +48,15 @@ class Constants:
     kj_per_kcal: float = 4.184
     hr_grid: tuple[int, ...] = (130, 140, 150, 160)
     curve_minutes: tuple[int, ...] = (1, 2, 5, 10, 20, 30, 60)
+    # cardiac drift
+    drift_minutes: float = 8.0
+    drift_skip_s: float = 240.0
+    drift_watts: float = 60.0
+    drift_hr: float = 100.0
+    drift_smooth_s: float = 60.0
+    drift_gap_s: float = 90.0
+    drift_cv_power: float = 0.25
+    drift_cv_speed: float = 0.35
     # routes
     route_points: int = 120
     route_mean_m: float = 25.0
@@ -61,6 +70,7 @@ class Constants:
     coast_weights: tuple[float, ...] = (16.356, 0.8, -0.8, 1.0, -1.636)
     coast_scales: tuple[float, ...] = (0.15, 0.4, 0.4, 0.4)
     coast_radius: float = 3.0
+    trend_s: float = 30.0
 
 
 C = Constants()
