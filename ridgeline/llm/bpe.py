@@ -2,7 +2,9 @@
 
 The rank file's bytes are read on the driver and broadcast (a vocabulary, under ``MAX_RANK_BYTES``); each Python worker builds
 one tiktoken encoding from them. Texts over ``LONG`` characters are split first where no match of the pattern can
-span: before a blank or line end that follows a letter or digit, else between a letter and a digit.
+span: before a blank or line end that follows a letter or digit, else between a letter and a digit. Runs of over ``LONG``
+white-space characters, in which the regular-expression engine gives up, are found by a linear scan: under ``public_tokenizers.PATTERN`` such a
+run, without its last character unless the text ends there, is one match, which is merged by itself.
 
 Defined results: null text counts as empty and gives an empty array; empty text gives an empty array; repeated rows are
 encoded each; no rows give no rows; columns named like an output are replaced.
@@ -48,6 +50,33 @@ def safe_pieces(text: str, limit: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+def long_blanks(text: str) -> Iterator[tuple[int, int]]:
+    """The one match that each run of over ``LONG`` white-space characters begins with."""
+    at = 0
+    while at + LONG < len(text):  # a run of that length covers one of these places
+        if not text[at + LONG].isspace():
+            at += LONG + 1
+            continue
+        start = end = at + LONG
+        while start > at and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        if end - start > LONG:
+            yield start, end if end == len(text) else end - 1
+        at = end
+
+
+def encoded(enc: tiktoken.Encoding, text: str, pattern: str) -> Iterator[np.ndarray]:
+    """The ids of a whole text, in parts."""
+    at = 0
+    for start, end in long_blanks(text) if len(text) > LONG and pattern == public_tokenizers.PATTERN else ():
+        yield from (np.asarray(enc.encode_ordinary(p), np.int32) for p in safe_pieces(text[at:start]))
+        yield np.asarray(enc._encode_single_piece(text[start:end]), np.int32)
+        at = end
+    yield from (np.asarray(enc.encode_ordinary(p), np.int32) for p in safe_pieces(text[at:]))
+
+
 def _ranks(spark: SparkSession, path: str):
     with open(path, "rb") as f:
         ranks = f.read(MAX_RANK_BYTES + 1)
@@ -67,11 +96,9 @@ def encode(docs: DataFrame, text: str = "text", to: str = "token_ids", rank_file
         for batch in batches:
             parts, ends = [], [0]
             for value in batch:
-                n = 0
-                for piece in safe_pieces(value.as_py() or ""):
-                    parts.append(got := np.asarray(enc.encode_ordinary(piece), np.int32))
-                    n += len(got)
-                ends.append(ends[-1] + n)
+                own = list(encoded(enc, value.as_py() or "", pattern))
+                parts += own
+                ends.append(ends[-1] + sum(map(len, own)))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
         give_back()
 
