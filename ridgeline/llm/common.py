@@ -1,6 +1,7 @@
 """Shared helpers: Arrow text buffers, vectorised word and shingle hashes, session settings.
 
-Hashes are 64-bit content fingerprints: equal input gives the same value in every task, so no dictionary is exchanged.
+Hashes are 64-bit content fingerprints: equal input gives the same value in every task, so no dictionary is exchanged. Words are
+mixed eight bytes at a time, windows by doubling, and each step is non-linear.
 All kernels work on pieces of about ``PIECE`` bytes; a longer word or document only enlarges its own piece.
 """
 
@@ -8,39 +9,26 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE = 1 << 19
 MAX_BATCH_ROWS = 500
 BLOOM_BITS = 1 << 25  # 4 MB, whatever the input
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+LONG_WORD = 512  # bytes; longer words are hashed one by one
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0..n-1 of the hash base (or of its inverse) modulo 2^64; kept up to a few pieces' length."""
-    key = "inverse" if inverse else "base"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, PIECE + 1), _INVERSE if inverse else _BASE, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= 4 * PIECE:
-            _powers[key] = have
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,22 +64,38 @@ def runs(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order; not linear in either, so that no regular sequence meets its mirror image."""
+    return mix(mix(a * _A) ^ (b * _B))
+
+
+def eights(seg: np.ndarray) -> np.ndarray:
+    """For each place of a buffer, and the place after its end, the eight bytes from there (zeros past the end) as one number."""
+    return np.ndarray((len(seg) + 1,), "<u8", np.concatenate([seg, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def _words(seg: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one piece; cuts: positions where a document starts."""
-    space = _SPACE[seg]
-    before, after = np.ones(len(seg) + 1, bool), np.ones(len(seg) + 1, bool)
-    before[1:] = space_next = np.concatenate([space, [True]])[: len(seg)]
-    after[: len(seg) - 1] = space[1:]
-    del space_next
-    cuts = cuts[(cuts >= 0) & (cuts < len(seg))]
-    before[cuts] = True
-    after[cuts[cuts > 0] - 1] = True
-    word = ~space
-    starts = np.flatnonzero(word & before[: len(seg)])
-    ends = np.flatnonzero(word & after[: len(seg)]) + 1
-    sums = np.zeros(len(seg) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[seg] * powers(len(seg)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(len(seg), True)[starts]), starts, ends
+    word = ~_SPACE[seg]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    cuts = cuts[(cuts > 0) & (cuts < len(seg))]
+    first[cuts] = word[cuts]
+    last[cuts - 1] = word[cuts - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if lower:
+        seg = _LOWER[seg]
+    chunk, size = eights(seg), ends - starts
+    h = mix(mix(size.astype(np.uint64) * _A) ^ (chunk[starts] & _MASKS[np.minimum(size, 8)]))
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        h[more] = combine(h[more], chunk[starts[more] + at] & _MASKS[np.minimum(size[more] - at, 8)])
+        at += 8
+        more = more[size[more] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(seg[starts[k] : ends[k]].tobytes())
+    return h, starts, ends
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,23 +126,41 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     return h, s, e, np.searchsorted(s, offsets, "left")
 
 
-_WEIGHTS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def stretches(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k values from each place on, by doubling."""
+    out, done, cur, width = None, 0, h, 1
+    while True:
+        if k & width:
+            part = cur[done:]
+            out = part if out is None else combine(out[: len(part)], part)
+            done += width
+        width *= 2
+        if width > k:
+            return out[: max(0, len(h) - k + 1)]
+        half = width // 2
+        cur = combine(cur[: max(0, len(cur) - half)], cur[half:])
 
 
 def windows(h: np.ndarray, firsts: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's windows of k words, and where each row's windows begin; short: fewer words count as one window."""
     counts = np.diff(firsts)
     n = np.maximum(counts - k + 1, 0)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(len(h)), out=sums[1:])
-    if short:
-        n = np.where((counts > 0) & (counts < k), 1, n)
+    few = np.flatnonzero((counts > 0) & (counts < k)) if short else np.zeros(0, np.int64)
+    n[few] = 1
     begins = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     start = np.arange(begins[-1]) - begins[row] + firsts[:-1][row]
-    length = np.minimum(counts[row], k)
-    out = (sums[start + length] - sums[start]) * powers(len(h) + 1, True)[start]
-    return mix(out + length.astype(np.uint64) * _WEIGHTS[0]), begins
+    whole = stretches(h, k)
+    out = np.zeros(len(start), np.uint64)
+    long = counts[row] >= k
+    out[long] = whole[start[long]]
+    if len(few):
+        of = counts[few].astype(np.uint64) * _B
+        for j in range(k - 1):
+            own = counts[few] > j
+            of[own] = combine(of[own], h[firsts[few[own]] + j])
+        out[begins[few]] = of
+    return out, begins
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -174,6 +196,67 @@ def having_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFram
     return passed if 16 * ids.count() < BLOOM_BITS else passed.join(ids, key, "left_semi")
 
 
+def distinct_groups(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return first
+
+
+def cut_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each 64-bit key by its high bits."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def homes_of(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each doc_id."""
+    return (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def home_column(buckets: int):
+    """Column function: ``homes_of`` for a column of ids; null ids go to the bucket of 0."""
+
+    @F.arrow_udf(T.IntegerType())
+    def home(ids: pa.Array) -> pa.Array:
+        return pa.array(homes_of(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets).astype(np.int32))
+
+    return home
+
+
+def packed(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[list]:
+    """The columns' bytes for each bucket that has rows."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    columns = [c[order] for c in columns]
+    for b in range(buckets):
+        x, y = cuts[b], cuts[b + 1]
+        if y > x:
+            yield [b, *(c[x:y].tobytes() for c in columns)]
+
+
+def packed_table(rows: Iterable[list], names: list[str]) -> pa.Table:
+    """A table of packed rows: a bucket or home, then bytes."""
+    rows = list(rows)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.table({n: pa.array(c, pa.int32() if n in ("bucket", "home") else pa.binary()) for n, c in zip(names, columns, strict=True)})
+
+
+def joined(values: list, dtype) -> np.ndarray:
+    """One array of the bytes of several packed rows."""
+    return np.frombuffer(b"".join(v for v in values if v), dtype)
+
+
+def listed_ids(lists: DataFrame) -> DataFrame:
+    """doc_id: the documents in packed lists."""
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(docs, np.int64)))], ["doc_id"])
+
+    return lists.select("docs").mapInArrow(ids, "doc_id long").distinct()
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end; a Python worker that waits for its next task would keep it."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ from .common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node that is reachable) for every node of links(a long, b long).
+    """node, component (the least node that is reachable) for every node of links(a, b).
 
     Each round takes the least label among a node's neighbours and then that label's own label, so chains shrink by
     more than half; aggregates combine before they shuffle, so a node with very many links does no harm.

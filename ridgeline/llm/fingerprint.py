@@ -1,21 +1,22 @@
 """Operator 2: threshold-scaled document fingerprints.
 
-A sketch holds every distinct hash of a text's five-word shingles that is below ``2^64 / SCALE``; where none is, the least
-hash alone, so that no text with words has an empty sketch. Sketches merge by union (dropping a least hash that is above
-the threshold once another is below it), and their overlap estimates containment, also between a short and a very
-long document, because both keep the same fraction. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer than five words
-count as one shingle.
+A sketch holds every distinct hash of a text's five-word shingles that is below a fixed fraction of all hashes: ``2^64 / SCALE``, or all of
+them for a set of up to ``WHOLE`` shingles. The fraction is part of the sketch. Two sketches are compared at the smaller fraction of
+the two: hashes above its threshold are left out, so both keep the same part of their sets and their overlap estimates containment, also
+between a short and a very long document. Sketches merge in the same way, and the merged sketch is that of the union. Words are
+``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer than five words count as one shingle.
 
-A fingerprint is the ascending hashes as little-endian 64-bit values in base64.
+A fingerprint is the scale (1 or ``SCALE``), a colon, and the ascending hashes as little-endian 64-bit values in base64.
 
 Defined results: null and empty texts, and texts of white space, have the empty fingerprint; two empty fingerprints are alike
-(1), an empty and another are not (0); equal texts have equal fingerprints; no rows give no rows.
+(1), an empty and another are not (0); nor are two where the smaller one has no hash below the common threshold (0, unless they are equal); equal texts have equal fingerprints; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,44 +28,60 @@ from .common import buffers, runs, small_batches, table, texts_of, windows, word
 
 SHINGLE = 5
 SCALE = 4
+WHOLE = 256
 
 
-def sketches(texts: pa.Array, scale: int = SCALE, k: int = SHINGLE) -> list[np.ndarray]:
+@dataclass
+class Sketch:
+    """The hashes of a set, ascending, that are below 2^64 / scale."""
+
+    scale: int
+    hashes: np.ndarray
+
+    def at(self, scale: int) -> np.ndarray:
+        """The hashes below 2^64 / scale, where that is no larger than the own threshold."""
+        return self.hashes[: np.searchsorted(self.hashes, np.uint64(2**64 // scale - 1), "right")]
+
+
+def sketch_of(hashes: np.ndarray) -> Sketch:
+    """The sketch of a whole set of distinct ascending hashes."""
+    whole = Sketch(1, hashes)
+    return whole if len(hashes) <= WHOLE else Sketch(SCALE, whole.at(SCALE))
+
+
+def sketches(texts: pa.Array, k: int = SHINGLE) -> list[Sketch]:
     data, offsets = buffers(texts)
-    limit, out = np.uint64(2**64 // scale - 1), []
+    out = []
     for i, j in runs(offsets):
         h, _, _, firsts = word_hashes(data, offsets[i : j + 1], lower=True)
         shingles, begins = windows(h, firsts, k, short=True)
-        low = np.flatnonzero(shingles <= limit)
-        at = np.searchsorted(low, begins)
-        for d in range(j - i):
-            own = shingles[low[at[d] : at[d + 1]]]
-            if not len(own) and begins[d + 1] > begins[d]:
-                own = shingles[begins[d] : begins[d + 1]].min(keepdims=True)
-            out.append(np.unique(own))
+        out += [sketch_of(np.unique(shingles[a:b])) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
     return out
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merge(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of the union of two shingle sets."""
-    both = np.union1d(a, b)
-    low = both[both <= np.uint64(2**64 // scale - 1)]
-    return low if len(low) else both[:1]
+    if a.scale == b.scale == 1:
+        return sketch_of(np.union1d(a.hashes, b.hashes))
+    return Sketch(SCALE, np.union1d(a.at(SCALE), b.at(SCALE)))
 
 
-def to_text(sketch: np.ndarray) -> str:
-    return base64.b64encode(sketch.astype("<u8").tobytes()).decode()
+def to_text(sketch: Sketch) -> str:
+    return f"{sketch.scale}:{base64.b64encode(sketch.hashes.astype('<u8').tobytes()).decode()}" if sketch.scale > 1 or len(sketch.hashes) else ""
 
 
-def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u8")
+def from_text(fingerprint: str) -> Sketch:
+    scale, _, hashes = fingerprint.partition(":")
+    return Sketch(int(scale or 1), np.frombuffer(base64.b64decode(hashes), "<u8"))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of the smaller shingle set that the larger one holds."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    scale = max(a.scale, b.scale)
+    x, y = a.at(scale), b.at(scale)
+    if not len(x) or not len(y):
+        return float(a.scale == b.scale and np.array_equal(a.hashes, b.hashes))
+    return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y))
 
 
 @F.arrow_udf(T.StringType())

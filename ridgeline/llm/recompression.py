@@ -14,7 +14,7 @@ What a task has several times is combined before it is shuffled (one document fo
 all documents share costs a row a task.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; a null doc_id neither loses nor wins words; equal rows
-lose or keep the same words; rows that share a doc_id lose what any of them shares with a smaller id; no rows give no rows.
+lose or keep the same words; rows that share a doc_id lose what any of them shares with a smaller id; any 64-bit id is allowed; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, having_ids, mix, runs, small_batches, stored, table, texts_of, windows, word_hashes
+from .common import buffers, cut_of, distinct_groups, having_ids, home_column, homes_of, joined, listed_ids, mix, packed, packed_table, runs, small_batches, stored, table, texts_of, windows, word_hashes
 
 WINDOW = 50
 ROUNDS = 4
@@ -111,46 +111,6 @@ def anchors(h: np.ndarray, firsts: np.ndarray, window: int = WINDOW) -> np.ndarr
     return chosen
 
 
-def _cut(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each 64-bit key by its high bits."""
-    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each doc_id."""
-    return (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _home_column(buckets: int):
-    from pyspark.sql import types as T
-
-    @F.arrow_udf(T.IntegerType())
-    def home(ids: pa.Array) -> pa.Array:
-        return pa.array(_home(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets).astype(np.int32))
-
-    return home
-
-
-def _packed(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[list]:
-    """The columns' bytes for each bucket that has rows."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = [c[order] for c in columns]
-    for b in range(buckets):
-        x, y = int(cuts[b]), int(cuts[b + 1])
-        if y > x:
-            yield [b, *(c[x:y].tobytes() for c in columns)]
-
-
-def _table(rows: list[list], names: list[str]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.table({n: pa.array(c, pa.int32() if n in ("bucket", "home") else pa.binary()) for n, c in zip(names, columns, strict=True)})
-
-
-def _joined(values: list, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(v for v in values if v), dtype)
-
-
 def _shared_anchors(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     """home, docs, keys: anchors that a document shares with another one, packed by the document's home bucket."""
 
@@ -167,10 +127,10 @@ def _shared_anchors(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
             first = np.concatenate([[True], key[1:] != key[:-1]])
             size = np.diff(np.append(np.flatnonzero(first), len(key)))
             here = np.repeat(size > 1, size)  # two documents of this task have it: known to be shared
-            rows = [[len(key) % buckets, b"", b"", key[here].tobytes(), doc[here].tobytes()]]
-            sent, of = key[first], np.where(size > 1, -1, doc[first])
-            rows += [[*r, b"", b""] for r in _packed(_cut(sent, buckets), buckets, sent, of)]
-            return _table(rows, names).to_batches()[0]
+            rows = [[len(key) % buckets, b"", b"", b"", key[here].tobytes(), doc[here].tobytes()]]
+            sent = key[first]
+            rows += [[*r, b"", b""] for r in packed(cut_of(sent, buckets), buckets, sent, doc[first], size > 1)]
+            return packed_table(rows, names).to_batches()[0]
 
         for batch in batches:
             data, offsets = buffers(batch.column(1))
@@ -192,22 +152,22 @@ def _shared_anchors(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
         if count:
             yield flush()
 
-    names = ["bucket", "sent", "of", "keys", "docs"]
+    names = ["bucket", "sent", "of", "several", "keys", "docs"]
 
     def meet(group: pa.Table) -> pa.Table:
         c = {n: group.column(n).to_pylist() for n in names[1:]}
-        sent, of = _joined(c["sent"], np.uint64), _joined(c["of"], np.int64)
+        sent, of, several = joined(c["sent"], np.uint64), joined(c["of"], np.int64), joined(c["several"], bool)
         order = np.argsort(sent)
-        sent, of = sent[order], of[order]
+        sent, of, several = sent[order], of[order], several[order]
         same = np.zeros(len(sent), bool)
         same[1:] = sent[1:] == sent[:-1]
         same[:-1] |= same[1:]
         # sent twice: by two tasks, for two documents unless equal rows (which are copies, and settle by id)
-        same &= of >= 0
-        key, doc = np.concatenate([_joined(c["keys"], np.uint64), sent[same]]), np.concatenate([_joined(c["docs"], np.int64), of[same]])
-        return _table(list(_packed(_home(doc, homes), homes, doc, key)), ["home", "docs", "keys"])
+        same &= ~several
+        key, doc = np.concatenate([joined(c["keys"], np.uint64), sent[same]]), np.concatenate([joined(c["docs"], np.int64), of[same]])
+        return packed_table(list(packed(homes_of(doc, homes), homes, doc, key)), ["home", "docs", "keys"])
 
-    return docs.mapInArrow(send, "bucket int, sent binary, of binary, keys binary, docs binary").groupBy("bucket").applyInArrow(meet, "home int, docs binary, keys binary")
+    return docs.mapInArrow(send, "bucket int, sent binary, of binary, several binary, keys binary, docs binary").groupBy("bucket").applyInArrow(meet, "home int, docs binary, keys binary")
 
 
 def _lost_windows(docs: DataFrame, shared: DataFrame, buckets: int, homes: int) -> DataFrame:
@@ -216,8 +176,8 @@ def _lost_windows(docs: DataFrame, shared: DataFrame, buckets: int, homes: int)
 
     def send(lists: pa.Table, texts: pa.Table) -> pa.Table:
         if not len(lists) or not len(texts):
-            return _table([], names)
-        doc, key = _joined(lists.column("docs").to_pylist(), np.int64), _joined(lists.column("keys").to_pylist(), np.uint64)
+            return packed_table([], names)
+        doc, key = joined(lists.column("docs").to_pylist(), np.int64), joined(lists.column("keys").to_pylist(), np.uint64)
         order = np.lexsort((key, doc))
         doc, key = doc[order], key[order]
         data, offsets = buffers(texts.column("text").combine_chunks())
@@ -237,7 +197,7 @@ def _lost_windows(docs: DataFrame, shared: DataFrame, buckets: int, homes: int)
                     some = np.flatnonzero(np.isin(own, key[a:b]))
                     found.append((np.full(len(some), doc_ids[d]), hashes[begins[d - i] + some]))
         if not found:
-            return _table([], names)
+            return packed_table([], names)
         of, value = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((of, value))
         of, value = of[order], value[order]
@@ -251,37 +211,26 @@ def _lost_windows(docs: DataFrame, shared: DataFrame, buckets: int, homes: int)
         of, value = of[first], value[first]
         order = np.argsort(of, kind="stable")
         of, value = of[order], value[order]
-        rows += [[*r, b"", b""] for r in _packed(_cut(value, buckets), buckets, of, value)]
-        return _table(rows, names)
+        rows += [[*r, b"", b""] for r in packed(cut_of(value, buckets), buckets, of, value)]
+        return packed_table(rows, names)
 
     def settle(group: pa.Table) -> pa.Table:
         c = {n: group.column(n).to_pylist() for n in names[1:]}
-        of, value = _joined(c["docs"], np.int64), _joined(c["hashes"], np.uint64)
+        of, value = joined(c["docs"], np.int64), joined(c["hashes"], np.uint64)
         order = np.lexsort((of, value))
         of, value = of[order], value[order]
         first = np.ones(len(value), bool)
         first[1:] = value[1:] != value[:-1]
         lost = of > np.repeat(of[first], np.diff(np.append(np.flatnonzero(first), len(value))))
-        doc, value = np.concatenate([_joined(c["lost_docs"], np.int64), of[lost]]), np.concatenate([_joined(c["lost_hashes"], np.uint64), value[lost]])
+        doc, value = np.concatenate([joined(c["lost_docs"], np.int64), of[lost]]), np.concatenate([joined(c["lost_hashes"], np.uint64), value[lost]])
         order = np.argsort(doc, kind="stable")
-        return _table(list(_packed(_home(doc[order], homes), homes, doc[order], value[order])), ["home", "docs", "hashes"])
+        return packed_table(list(packed(homes_of(doc[order], homes), homes, doc[order], value[order])), ["home", "docs", "hashes"])
 
     left = shared.groupBy("home")
-    sent = left.cogroup(docs.withColumn("home", _home_column(homes)("doc_id")).groupBy("home")).applyInArrow(send, "bucket int, docs binary, hashes binary, lost_docs binary, lost_hashes binary")
+    sent = left.cogroup(docs.withColumn("home", home_column(homes)("doc_id")).groupBy("home")).applyInArrow(send, "bucket int, docs binary, hashes binary, lost_docs binary, lost_hashes binary")
     return sent.groupBy("bucket").applyInArrow(settle, "home int, docs binary, hashes binary")
 
 
-def listed_ids(lists: DataFrame) -> DataFrame:
-    """doc_id: the documents in packed lists."""
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for docs in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(docs, np.int64)))], ["doc_id"])
-
-    return lists.select("docs").mapInArrow(ids, "doc_id long").distinct()
-
-
 def kept_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for documents(doc_id, text)."""
     spark = docs.sparkSession
@@ -292,7 +241,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
     lost = _lost_windows(having_ids(some, listed_ids(shared)), shared, buckets, homes)
 
     def cut(lists: pa.Table, texts: pa.Table) -> pa.Table:
-        doc, lost_hash = _joined(lists.column("docs").to_pylist(), np.int64), _joined(lists.column("hashes").to_pylist(), np.uint64)
+        doc, lost_hash = joined(lists.column("docs").to_pylist(), np.int64), joined(lists.column("hashes").to_pylist(), np.uint64)
         order = np.argsort(doc, kind="stable")
         doc, lost_hash = doc[order], lost_hash[order]
         data, offsets = buffers(texts.column("text").combine_chunks())
@@ -318,7 +267,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
                 out[2].append(b" ".join(data[p:q].tobytes() for p, q in zip(s[at].tolist(), e[at].tolist(), strict=True)).decode())
         return pa.table({"doc_id": pa.array(keys, pa.int64()), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept": pa.array(out[2], pa.string())})
 
-    homed = docs.withColumn("home", _home_column(homes)("doc_id"))
+    homed = docs.withColumn("home", home_column(homes)("doc_id"))
     return lost.groupBy("home").cogroup(homed.groupBy("home")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 

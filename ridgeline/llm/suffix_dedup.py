@@ -12,7 +12,7 @@
 4. Documents take their places back and drop the bytes.
 
 Defined results: null text counts as empty; shorter texts lose nothing; equal rows are elsewhere to each other; a null doc_id
-neither loses bytes nor counts; rows that share a doc_id must share the text; no rows give no rows.
+neither loses bytes nor counts; rows that share a doc_id must share the text; any 64-bit id is allowed; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE, _BYTE, buffers, having_ids, mix, powers, runs, small_batches, stored, table, texts_of
-from .recompression import _cut, _home, _home_column, _joined, _packed, _table, listed_ids
+from .common import PIECE, buffers, combine, cut_of, distinct_groups, eights, having_ids, home_column, homes_of, joined, listed_ids, mix, packed, packed_table, runs, small_batches, stored, table, texts_of
 
 LENGTH = 400
 GRAM = 32
@@ -55,18 +54,22 @@ class Piece:
     def __init__(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray):
         self.lo, hi = int(begins[0]), int(ends[-1])
         self.seg = data[self.lo : hi]
-        n = len(self.seg)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.seg] * powers(n), out=self.sums[1:])
         counts = np.maximum(ends - begins - LENGTH + 1, 0)
         self.row = np.repeat(np.arange(len(begins)), counts)
         self.row_at = np.concatenate([[0], np.cumsum(counts)])
         self.start = np.arange(len(self.row)) - self.row_at[self.row] + (begins - self.lo)[self.row]
         if len(self.row):
-            self.grams = self.hashes(np.arange(n - GRAM + 1), GRAM)
-
-    def hashes(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return mix((self.sums[at + length] - self.sums[at]) * powers(len(self.seg) + 1, True)[at])
+            level, width = mix(eights(self.seg)[: len(self.seg) - 7]), 8
+            while width < GRAM:
+                level, width = combine(level[:-width], level[width:]), 2 * width
+            self.grams = level
+
+    def whole(self, start: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start there, of the grams that cover them."""
+        out = self.grams[start]
+        for at in [*range(GRAM, LENGTH - GRAM, GRAM), LENGTH - GRAM]:
+            out = combine(out, self.grams[start + at])
+        return out
 
     def runs(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, first window and number of windows of each run of windows that have their anchor at one place.
@@ -151,7 +154,7 @@ def _stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors_again(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     """home, docs, keys: anchors of a document that occur again; common: anchors that occur over COMMON times (home -1)."""
-    names = ["bucket", "sent", "of", "times", "keys", "docs"]
+    names = ["bucket", "sent", "of", "several", "times", "keys", "docs"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, count = [], [], 0
@@ -164,10 +167,10 @@ def _anchors_again(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
             at = np.flatnonzero(first)
             times = np.diff(np.append(at, len(key)))
             again = np.repeat(times > 1, times)
-            rows = [[len(key) % buckets, b"", b"", b"", key[again].tobytes(), doc[again].tobytes()]]
-            sent, of = key[first], np.where(times > 1, -1, doc[first])
-            rows += [[*r, b"", b""] for r in _packed(_cut(mix(sent), buckets), buckets, sent, of, times.astype(np.int32))]
-            return _table(rows, names).to_batches()[0]
+            rows = [[len(key) % buckets, b"", b"", b"", b"", key[again].tobytes(), doc[again].tobytes()]]
+            sent = key[first]
+            rows += [[*r, b"", b""] for r in packed(cut_of(mix(sent), buckets), buckets, sent, doc[first], times > 1, times.astype(np.int32))]
+            return packed_table(rows, names).to_batches()[0]
 
         for batch in batches:
             data, offsets = buffers(batch.column(1))
@@ -189,23 +192,23 @@ def _anchors_again(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
 
     def meet(group: pa.Table) -> pa.Table:
         c = {n: group.column(n).to_pylist() for n in names[1:]}
-        sent, of, times = _joined(c["sent"], np.uint64), _joined(c["of"], np.int64), _joined(c["times"], np.int32)
+        sent, of, several, times = joined(c["sent"], np.uint64), joined(c["of"], np.int64), joined(c["several"], bool), joined(c["times"], np.int32)
         rows = []
         if len(sent):
             order = np.argsort(sent)
-            sent, of, times = sent[order], of[order], times[order]
+            sent, of, several, times = sent[order], of[order], several[order], times[order]
             at = np.flatnonzero(np.concatenate([[True], sent[1:] != sent[:-1]]))
             total = np.add.reduceat(times.astype(np.int64), at)
-            again = np.repeat(total > 1, np.diff(np.append(at, len(sent)))) & (of >= 0)
+            again = np.repeat(total > 1, np.diff(np.append(at, len(sent)))) & ~several
             sent_again, of_again, common = sent[again], of[again], sent[at][total > COMMON]
             if len(common):
                 rows.append([-1, total[total > COMMON].tobytes(), common.tobytes()])
         else:
             sent_again, of_again = sent, of
-        key, doc = np.concatenate([_joined(c["keys"], np.uint64), sent_again]), np.concatenate([_joined(c["docs"], np.int64), of_again])
-        return _table(rows + list(_packed(_home(doc, homes), homes, doc, key)), ["home", "docs", "keys"])
+        key, doc = np.concatenate([joined(c["keys"], np.uint64), sent_again]), np.concatenate([joined(c["docs"], np.int64), of_again])
+        return packed_table(rows + list(packed(homes_of(doc, homes), homes, doc, key)), ["home", "docs", "keys"])
 
-    return docs.mapInArrow(send, "bucket int, sent binary, of binary, times binary, keys binary, docs binary").groupBy("bucket").applyInArrow(meet, "home int, docs binary, keys binary")
+    return docs.mapInArrow(send, "bucket int, sent binary, of binary, several binary, times binary, keys binary, docs binary").groupBy("bucket").applyInArrow(meet, "home int, docs binary, keys binary")
 
 
 def common_keys(again: DataFrame) -> np.ndarray:
@@ -225,7 +228,7 @@ def common_keys(again: DataFrame) -> np.ndarray:
 
 
 _LOST = ["lost_docs", "lost_starts", "lost_sizes"]
-_SENT = ["bucket", "keys", "docs", "starts", "sizes", "alone", "bytes", "hashes", "hash_docs", "hash_starts", *_LOST]
+_SENT = ["bucket", "keys", "docs", "starts", "sizes", "done", "alone", "bytes", "hashes", "hash_docs", "hash_starts", "hash_done", *_LOST]
 
 
 def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int, homes: int) -> DataFrame:
@@ -234,8 +237,8 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
 
     def send(lists: pa.Table, texts: pa.Table) -> pa.Table:
         if not len(lists) or not len(texts):
-            return _table([], _SENT)
-        listed, key = _joined(lists.column("docs").to_pylist(), np.int64), _joined(lists.column("keys").to_pylist(), np.uint64)
+            return packed_table([], _SENT)
+        listed, key = joined(lists.column("docs").to_pylist(), np.int64), joined(lists.column("keys").to_pylist(), np.uint64)
         order = np.lexsort((key, listed))
         listed, key = listed[order], key[order]
         data, offsets = buffers(texts.column("text").combine_chunks())
@@ -272,28 +275,26 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
                 offset = start + piece.lo - offsets[i + piece.row[first]]
                 # windows of one run have their anchor at one place, so they differ from each other
                 alone = run[first] == run[cold[at + size - 1]]
-                regions.append((primary[first], own, offset, size, alone, piece.hashes(start, size + LENGTH - 1) ^ mix(size.astype(np.uint64))))
+                regions.append((primary[first], own, offset, size, alone))
                 bodies += [piece.seg[s : s + k + LENGTH - 1].tobytes() for s, k in zip(start.tolist(), size.tolist(), strict=True)]
             hot = np.flatnonzero(candidate & ~rare)
             if len(hot):
-                single.append((piece.hashes(piece.start[hot], LENGTH), doc_ids[i + piece.row[hot]], piece.start[hot] + piece.lo - offsets[i + piece.row[hot]]))
+                single.append((piece.whole(piece.start[hot]), doc_ids[i + piece.row[hot]], piece.start[hot] + piece.lo - offsets[i + piece.row[hot]]))
         lost, rows = [], []
         if regions:
-            anchor, own, offset, size, alone, content = (np.concatenate(x) for x in zip(*regions, strict=True))
-            order = np.lexsort((content, anchor))
-            new = np.ones(len(order), bool)
-            new[1:] = (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
-            times = np.diff(np.append(np.flatnonzero(new), len(order)))
-            settled = order[np.repeat(times > 1, times)]
-            lost.append((own[settled], offset[settled], size[settled]))
-            own[settled] = -1  # equal regions of one task: none needs an answer, one goes on
-            order = order[new]
-            bucket = _cut(mix(anchor[order]), buckets)
+            anchor, own, offset, size, alone = (np.concatenate(x) for x in zip(*regions, strict=True))
+            # equal regions of one task: none needs an answer, one goes on
+            seen: dict[tuple[int, bytes], int] = {}
+            like = np.array([seen.setdefault(x, k) for k, x in enumerate(zip(anchor.tolist(), bodies, strict=True))])
+            done = np.bincount(like, minlength=len(like))[like] > 1
+            lost.append((own[done], offset[done], size[done]))
+            order = np.unique(like)
+            bucket = cut_of(mix(anchor[order]), buckets)
             order, bucket = order[np.argsort(bucket, kind="stable")], np.sort(bucket)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.unique(bucket).tolist():
                 o = order[cuts[b] : cuts[b + 1]]
-                rows.append([b, anchor[o].tobytes(), own[o].tobytes(), offset[o].tobytes(), size[o].astype(np.int32).tobytes(), alone[o].tobytes(), b"".join(bodies[x] for x in o.tolist()), *[b""] * 6])
+                rows.append([b, anchor[o].tobytes(), own[o].tobytes(), offset[o].tobytes(), size[o].astype(np.int32).tobytes(), done[o].tobytes(), alone[o].tobytes(), b"".join(bodies[x] for x in o.tolist()), *[b""] * 7])
         if single:
             value, own, offset = (np.concatenate(x) for x in zip(*single, strict=True))
             order = np.argsort(value)
@@ -303,28 +304,28 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
             times = np.diff(np.append(np.flatnonzero(new), len(value)))
             many = np.repeat(times > 1, times)
             lost.append((own[many], offset[many], np.ones(int(many.sum()), np.int64)))
-            own = np.where(many, -1, own)
-            for b, *packed in _packed(_cut(value[new], buckets), buckets, value[new], own[new], offset[new]):
-                rows.append([b, *[b""] * 6, *packed, *[b""] * 3])
+            for b, *values in packed(cut_of(value[new], buckets), buckets, value[new], own[new], offset[new], many[new]):
+                rows.append([b, *[b""] * 7, *values, *[b""] * 3])
         if lost:
             own, offset, size = (np.concatenate(x) for x in zip(*lost, strict=True))
-            rows.append([len(own) % buckets, *[b""] * 9, own.tobytes(), offset.astype(np.int64).tobytes(), size.astype(np.int64).tobytes()])
-        return _table(rows, _SENT)
+            rows.append([len(own) % buckets, *[b""] * 11, own.tobytes(), offset.astype(np.int64).tobytes(), size.astype(np.int64).tobytes()])
+        return packed_table(rows, _SENT)
 
     def settle(group: pa.Table) -> pa.Table:
         c = {n: group.column(n).to_pylist() for n in _SENT[1:]}
-        lost = [tuple(_joined(c[n], np.int64) for n in _LOST)]
-        value, own, offset = _joined(c["hashes"], np.uint64), _joined(c["hash_docs"], np.int64), _joined(c["hash_starts"], np.int64)
+        lost = [tuple(joined(c[n], np.int64) for n in _LOST)]
+        value, own, offset, done = joined(c["hashes"], np.uint64), joined(c["hash_docs"], np.int64), joined(c["hash_starts"], np.int64), joined(c["hash_done"], bool)
         if len(value):
             order = np.argsort(value)
-            value, own, offset = value[order], own[order], offset[order]
+            value, own, offset, done = value[order], own[order], offset[order], done[order]
             times = np.diff(np.append(np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])), len(value)))
-            many = np.repeat(times > 1, times) & (own >= 0)
+            many = np.repeat(times > 1, times) & ~done
             lost.append((own[many], offset[many], np.ones(int(many.sum()), np.int64)))
-        anchor = _joined(c["keys"], np.uint64)
+        anchor = joined(c["keys"], np.uint64)
         if len(anchor):
-            own, offset, size = _joined(c["docs"], np.int64).copy(), _joined(c["starts"], np.int64), _joined(c["sizes"], np.int32).astype(np.int64)
-            alone = _joined(c["alone"], bool)
+            own, done = joined(c["docs"], np.int64), joined(c["done"], bool).copy()
+            offset, size = joined(c["starts"], np.int64), joined(c["sizes"], np.int32).astype(np.int64)
+            alone = joined(c["alone"], bool)
             body, at = b"".join(c["bytes"]), np.concatenate([[0], np.cumsum(size + LENGTH - 1)]).tolist()
             text = [body[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             seen: dict[tuple[int, bytes], list[int]] = {}
@@ -333,36 +334,36 @@ def _repeats(docs: DataFrame, again: DataFrame, common: np.ndarray, buckets: int
             groups: dict[int, list[tuple[bytes, list[int]]]] = {}
             for (a, t), sites in seen.items():
                 if len(sites) > 1:
-                    s = np.array(sites)[own[sites] >= 0]
+                    s = np.array(sites)[~done[sites]]
                     lost.append((own[s], offset[s], size[s]))
-                    own[sites] = -1
+                    done[sites] = True
                 groups.setdefault(a, []).append((t, sites))
             batch, held = [], 0
             for distinct in groups.values():
                 # else all are settled, or nothing can be equal
-                if any(own[sites[0]] >= 0 for _, sites in distinct) and (len(distinct) > 1 or not alone[distinct[0][1][0]]):
+                if any(not done[sites[0]] for _, sites in distinct) and (len(distinct) > 1 or not alone[distinct[0][1][0]]):
                     batch += distinct
                     held += sum(len(t) for t, _ in distinct)
                 if held >= BATCH_BYTES:
-                    lost += _settled(batch, own, offset, size)
+                    lost += _settled(batch, done, own, offset, size)
                     batch, held = [], 0
-            lost += _settled(batch, own, offset, size)
+            lost += _settled(batch, done, own, offset, size)
         doc, start, length = (np.concatenate(x).astype(np.int64) for x in zip(*lost, strict=True))
-        return _table(list(_packed(_home(doc, homes), homes, doc, start, length)), ["home", "docs", "starts", "sizes"])
+        return packed_table(list(packed(homes_of(doc, homes), homes, doc, start, length)), ["home", "docs", "starts", "sizes"])
 
-    homed = docs.withColumn("home", _home_column(homes)("doc_id"))
+    homed = docs.withColumn("home", home_column(homes)("doc_id"))
     schema = ", ".join(f"{n} {'int' if n == 'bucket' else 'binary'}" for n in _SENT)
     sent = again.where("home >= 0").groupBy("home").cogroup(homed.groupBy("home")).applyInArrow(send, schema)
     return sent.groupBy("bucket").applyInArrow(settle, "home int, docs binary, starts binary, sizes binary")
 
 
-def _settled(batch: list, own: np.ndarray, offset: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _settled(batch: list, done: np.ndarray, own: np.ndarray, offset: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     if not batch:
         return []
     out = []
     for (_, sites), flags in zip(batch, repeated([t for t, _ in batch]), strict=True):
         k = sites[0]
-        if own[k] >= 0:
+        if not done[k]:
             a, n = _stretches(flags[: size[k]])
             out.append((np.full(len(a), own[k]), offset[k] + a, n))
     return out
@@ -379,7 +380,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ranges = _repeats(some, again, common_keys(again), buckets, homes)
 
     def cut(lists: pa.Table, texts: pa.Table) -> pa.Table:
-        own, start, size = (_joined(lists.column(n).to_pylist(), np.int64) for n in ("docs", "starts", "sizes"))
+        own, start, size = (joined(lists.column(n).to_pylist(), np.int64) for n in ("docs", "starts", "sizes"))
         order = np.argsort(own, kind="stable")
         own, start, size = own[order], start[order], size[order]
         data, offsets = buffers(texts.column("text").combine_chunks())
@@ -398,7 +399,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 column.append(value)
         return pa.table({"doc_id": pa.array(keys, pa.int64()), **{n: pa.array(x, pa.int64()) for n, x in zip(("n_bytes", "n_removed", "n_spans"), out, strict=False)}, "kept": pa.array(out[3], pa.binary())})
 
-    homed = docs.withColumn("home", _home_column(homes)("doc_id"))
+    homed = docs.withColumn("home", home_column(homes)("doc_id"))
     return ranges.groupBy("home").cogroup(homed.groupBy("home")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
