@@ -87,6 +87,71 @@ def test_op4_chains_and_families(spark, tmp_path):
     assert rows_of(ngram_join.op4_ngram_join(spark, str(tmp_path))) == sorted(linked_groups(rows), key=repr)
 
 
+NEGATIVE = [(-9 - i, " ".join(f"common{k}" for k in range(200)) + f" own{i}") for i in range(4)] + [(-2, "something else"), (7, None)]
+
+
+@pytest.fixture(scope="module")
+def negative(spark, tmp_path_factory):
+    """Negative ids, each document in a file and so in a task of its own."""
+    path = tmp_path_factory.mktemp("negative")
+    for row in NEGATIVE:
+        spark.createDataFrame([row], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize(("query", "want"), [(ngram_join.op4_ngram_join, linked_groups), (recompression.op5_recompression, lambda rows: kept_words(rows)), (suffix_dedup.op6_suffix_dedup, lambda rows: kept_bytes(rows))])
+def test_negative_ids(spark, negative, query, want):
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        assert rows_of(query(spark, negative)) == sorted(want(NEGATIVE), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_op4_one_id_with_several_texts(spark, tmp_path):
+    """A copy of another document and a long text of its own under one id, in tasks of their own."""
+    shared, own = " ".join(f"s{k}" for k in range(60)), " ".join(f"own{k}" for k in range(500))
+    rows = [(1, shared), (5, shared), (5, own), (8, own + " more"), (9, "a b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.op4_ngram_join(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 5: 1, 8: 1, 9: 9}
+
+
+def test_op4_near_copies_and_common_lines(spark, tmp_path):
+    """A family of near copies of which many don't link with its centre, truncated ones, and documents made of a few common lines."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(160)]
+    lines = [" ".join(f"l{i}x{k}" for k in range(25)) for i in range(12)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w[: rng.choice([160, 160, 150, 130, 110, 90])]))
+    texts += ["\n".join(rng.sample(lines, rng.randrange(3, 7))) for _ in range(150)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows_of(ngram_join.op4_ngram_join(spark, str(tmp_path))) == sorted(linked_groups(rows), key=repr)
+
+
+def test_words_that_mirror_each_other():
+    """Regular words on which a hash that is linear in its bytes collides."""
+    import pyarrow as pa
+
+    from ridgeline.llm.common import buffers, windows, word_hashes
+
+    turns = [bin(i).count("1") % 2 for i in range(4096)]
+    words = ["".join("ab"[x ^ flip] for x in turns[:n]) for n in (8, 64, 512, 1024, 4096) for flip in (0, 1)]
+    h, *_ = word_hashes(*buffers(pa.array([" ".join(words)])), lower=False)
+    assert len(set(h.tolist())) == len(words)
+    two = np.array([1, 2], np.uint64)
+    for n, k in ((64, 50), (1024, 1000)):
+        x = np.concatenate([two[turns[:n]], two[[1 - t for t in turns[:n]]]])
+        got, _ = windows(x, np.array([0, n, 2 * n]), k, short=False)
+        assert len(set(got.tolist())) == len({tuple(x[d * n + i : d * n + i + k].tolist()) for d in range(2) for i in range(n - k + 1)})
+
+
 def test_op4_empty(spark, nothing):
     assert ngram_join.op4_ngram_join(spark, nothing).count() == 0
 

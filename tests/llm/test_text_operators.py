@@ -49,6 +49,16 @@ def test_op1_safe_pieces(encoding):
         assert [x for p in bpe.safe_pieces(t, 20) for x in encoding.encode_ordinary(p)] == encoding.encode_ordinary(t)
 
 
+def test_op1_long_runs(spark, encoding):
+    """Runs that the regular-expression engine can't take: as many ids as single blanks, and the same bytes again."""
+    texts = [" " * 1_000_000 + "a", "b" + " " * 1_200_000, "x " + "\n\t" * 40_000 + " y", "é" * 60_000 + "\u3000" * 70_000 + "end"]
+    got = bpe.decode(bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))).orderBy("doc_id").collect()
+    assert [bytes(r["decoded"]).decode() for r in got] == texts
+    assert [len(r["token_ids"]) for r in got[:2]] == [1_000_000, 1_200_001]
+    for r, t in zip(got[2:], texts[2:], strict=True):
+        assert r["token_ids"] == encoding.encode_ordinary(t)
+
+
 def test_op1_ids_within_a_character(spark, encoding):
     ids = encoding.encode_ordinary("日本語")[:1]
     df = spark.createDataFrame([(ids,), (None,), ([],)], "token_ids array<int>")
@@ -89,10 +99,33 @@ def test_op2_edits_and_likeness(spark, folder, texts):
 def test_op2_merge_is_union():
     import pyarrow as pa
 
-    a, b = "a b c d e f g h " * 9 + "tail one", "x y z " * 40 + " more words to come"
-    one, two, both = fingerprint.sketches(pa.array([a, b, None]))
-    assert len(both) == 0 and (fingerprint.merge(one, two) == np.unique(np.concatenate([one, two]))).all()
-    assert (fingerprint.from_text(fingerprint.to_text(one)) == one).all()
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n))
+    for n, m in ((90, 120), (300, 20), (200, 200), (900, 700)):
+        a, b = words(n), words(m)
+        one, two, none = fingerprint.sketches(pa.array([a, b, None]))
+        both = shingles(a) | shingles(b)
+        merged = fingerprint.merge(one, two)
+        assert not len(none.hashes) and fingerprint.to_text(none) == "" and fingerprint.from_text("").scale == 1
+        assert merged.scale == (1 if len(both) <= fingerprint.WHOLE else fingerprint.SCALE) and (merged.scale > 1 or len(merged.hashes) == len(both))
+        assert merged.hashes.tolist() == np.union1d(one.at(merged.scale), two.at(merged.scale)).tolist()
+        again = fingerprint.from_text(fingerprint.to_text(merged))
+        assert again.scale == merged.scale and (again.hashes == merged.hashes).all()
+
+
+def test_op2_short_excerpts():
+    """Excerpts of documents of up to WHOLE shingles are found for certain, others as far as the common threshold has hashes of them."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    sketch = lambda words: fingerprint.sketches(pa.array([" ".join(words)]))[0]
+    for _ in range(50):
+        at = rng.randrange(150)
+        assert fingerprint.containment(sketch(text[at : at + 7]), sketch(text[:200])) == 1
+        at = rng.randrange(1900)
+        part = sketch(text[at : at + 60])
+        assert fingerprint.containment(part, sketch(text)) == float(len(part.at(fingerprint.SCALE)) > 0)
 
 
 def test_op2_empty(spark, nothing):
@@ -114,6 +147,33 @@ def test_op7_empty(spark, nothing):
     assert tokenstore.op7_token_store(spark, nothing).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_op7_same_as_the_library(spark, name):
+    """Special tokens in any case, words that only a poor hash takes for one another, and a tokenizer that does not split at blanks."""
+    path = public_tokenizers.path(name)
+    turns = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rng = random.Random(7)
+    texts = ["<|ENDOFTEXT|> <|EndOfText|> <|endoftext|>x <|endoftext|>", turns + " " + turns.translate({97: 98, 98: 97}), "a|b | don't ' s's 12,5", "e\u0301 x \u0301y a\u0085b"]
+    texts += ["".join(rng.choice("aB|'s.1é\u0301 \t\n\u0085İΣσς<>endoftext-|") for _ in range(60)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {}
+    for r in tokenstore.write_shards(df, path).collect():
+        keys, lengths, matrix = tokenstore.unpack(bytes(r["payload"]))
+        ends = np.cumsum(lengths)
+        found |= {k: matrix.ids()[e - n : e].tolist() for k, n, e in zip(keys.tolist(), lengths.tolist(), ends.tolist(), strict=True)}
+    tok = Tokenizer.from_file(path)
+    assert found == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_op7_column_functions(spark, docs):
+    shards = tokenstore.write_shards(docs.select("doc_id", "text"), shard_tokens=1 << 16)
+    asked = shards.select("payload", "tokens", tokenstore.counted("payload", F.lit(1)).alias("n"), tokenstore.token_at("payload", F.lit(3)).alias("third"), tokenstore.occurrence("payload", F.lit(1), F.lit(1)).alias("second"), tokenstore.token_at("payload", F.col("tokens")).alias("past"))
+    for r in asked.collect():
+        ids = tokenstore.unpack(bytes(r["payload"]))[2].ids()
+        ones = np.flatnonzero(ids == 1)
+        assert (r["n"], r["third"], r["second"], r["past"]) == (len(ones), ids[3] if len(ids) > 3 else None, ones[1] if len(ones) > 1 else -1, None)
+
+
 def test_op7_small_shards(spark, docs):
     shards = tokenstore.write_shards(docs.select("doc_id", "text"), shard_tokens=100)
     assert shards.count() > 3
@@ -217,6 +277,24 @@ def test_op9_leaves_clean_texts(text):
     assert pii.find_all(text) == [] and pii.redact(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "part"), [("host 192 dot 168 dot 1 dot 20 up", "192 dot 168 dot 1 dot 20"), ("see 10.0 DOT 0\tdot 1.", "10.0 DOT 0\tdot 1")]
+)
+def test_op9_said_addresses(text, part):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_all(text)] == [("ip", part)]
+
+
+def test_op9_long_texts():
+    """Numbers of thousands of digits, and runs that must not take a square's time."""
+    import time
+
+    assert pii.find("0" * 5000 + "1.1.1.1") == [(0, 1, 5007)] and pii.find("1" * 5000 + ".1.1.1") == []
+    began = time.process_time()
+    for t in (" " * 1_000_000 + "at", "x" + " " * 500_000 + "at dot" + " " * 500_000 + "[ at ]", "[" * 200_000 + " " * 200_000 + "(at)", "a@b.cc " * 30_000 + "(at)", "one-" * 100_000, "+" * 200_000 + "1" * 200_000):
+        pii.find_all(t)
+    assert time.process_time() - began < 60
+
+
 def test_op9_empty(spark, nothing):
     assert pii.op9_pii(spark, nothing).count() == 0
 
@@ -241,3 +319,46 @@ def test_op10_without_labels(spark, nothing, docs):
     assert langid.op10_language_id(spark, nothing).count() == 0
     model = langid.train(docs.where("false"), docs["text"], docs["lang"], docs["doc_id"])
     assert {r[0] for r in langid.predict(docs, model).select("language.lang_pred").collect()} == {"und"}
+
+
+def test_op10_same_as_plain_counts(spark):
+    """A plain count-and-log version in Python, on 200 rows."""
+    import math
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(200).select("doc_id", "text", "lang")
+    model = langid.train(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
+    got = {r["doc_id"]: r["language"] for r in langid.predict(docs, model).collect()}
+    rows = [r for r in docs.collect() if r["text"]]
+
+    def grams(text):
+        kept, word = [], False
+        for c in text:
+            if c.isalpha():
+                kept.append(c.lower() if len(c.lower()) == 1 else c)
+            elif word:
+                kept.append(" ")
+            word = c.isalpha()
+        return [(n, "".join(kept[i : i + n])) for n in langid.ORDERS for i in range(len(kept) - n + 1)]
+
+    def bucket(n, gram):
+        acc = 0
+        for c in gram:
+            acc = (acc * 0x100000001B3 + ord(c)) % 2**64
+        return ((acc + (n << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BUCKETS.bit_length() + 1)
+
+    langs = sorted({r["lang"] for r in rows if r["lang"]})
+    counts, sizes = {k: [1] * langid.BUCKETS for k in langs}, {k: 0 for k in langs}
+    for r in rows:
+        if r["lang"]:
+            sizes[r["lang"]] += 1
+            for g in grams(r["text"]):
+                counts[r["lang"]][bucket(*g)] += 1
+    total = {k: sum(c) for k, c in counts.items()}
+    for r in rows:
+        if not any(c.isalpha() for c in r["text"]):
+            continue
+        own = [bucket(*g) for g in grams(r["text"])]
+        score = {k: math.log(sizes[k] / sum(sizes.values())) + sum(math.log(counts[k][b] / total[k]) for b in own) for k in langs}
+        best = max(langs, key=lambda k: score[k])
+        share = 1 / sum(math.exp(min(0.0, score[k] - score[best])) for k in langs)
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(share, abs=1e-3)
