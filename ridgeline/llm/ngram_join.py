@@ -1,28 +1,32 @@
 """Operator 4: n-gram Jaccard join by filters under several global orders of the shingles, then exact verification.
 
 A document is the set of its five-word shingles' 64-bit hashes. Linked documents (Jaccard 0.8 or more) leave at most a
-fifth of either set unshared, so under any global order of the shingles they share one of the first ``n // 5 + 1``. Orders used:
+fifth of either set unshared, so under any global order of the shingles they share one of the larger set's first ``n // 5 + 1``
+that is also among the smaller set's first ``n // 9 + 1``. Orders used:
 
 1. ascending hash. Each document's first quarter is looked at: unless all but ``n // 5`` of these shingles occur in another
    document too, it has no link. What is left is looked at in full in the same way. Counts combine in each task before they
    shuffle (a shingle is sent once a task).
 2. ascending document frequency among what is left. Shingles that occur once fill the prefix first; a document with more than
    a fifth of them has no link. The rest of the prefix is the postings that candidates must share.
-3. descending and ascending hash again, on each candidate pair, before its sets are intersected.
+3. one order for each leader. The leader of a posting is the set in it that shares most of itself with others; every set is compared
+   with the leaders of its postings, exactly, and keeps how much they share. The leader's order puts shingles that the leader
+   lacks before those it has, each by document frequency. Two sets with one leader can link only if the smaller of their shares
+   of the leader is large enough alone, or if they have a prefix shingle under the leader's order that the leader lacks.
 
-Equal sets are one class. Candidates are not expanded into all pairs of a postings list: each class is first compared with one
-leader (the document that leads most of its prefix postings), which gives stars with known radii. Star centres that share a
-posting are compared next; where the triangle inequality of the Jaccard distance leaves a link possible between two stars, their
-members are compared with the other centre; and only where both centres' distances still allow it, members with members. All
-these comparisons are exact, so the components are those of all links.
+A pair is a candidate if it passes the filters of 2 and 3 and no links found so far put it in one component. As near copies of one text
+mostly link with its leader, and others have too small a share of it, few pairs are left of even a very large group. Every
+candidate is then verified, so the components are those of all links. Equal sets (by a 128-bit digest)
+are one class, a node named by one of its rows.
 
 Defined results: null or empty text, or text of white space, has no shingles and links with nothing; fewer than five words
 are one shingle; a null doc_id gets a null component; rows that share an id count as one document that has the links of each;
-no rows give no rows.
+any 64-bit id is allowed, negative ones too; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, give_back, having_ids, runs, small_batches, stored, table, texts_of, windows, word_hashes
+from .common import buffers, distinct_groups, give_back, having_ids, home_column, homes_of, joined, packed, packed_table, runs, small_batches, stored, table, texts_of, windows, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -48,105 +52,121 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         hashes, begins = windows(h, firsts, SHINGLE, short=True)
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             own = np.sort(hashes[a:b])
-            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+            out.append(own[distinct_groups(own)] if len(own) else own)
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, filters: bool) -> float:
-    """Jaccard similarity; where sizes rule out 0.8, their ratio (an upper bound). filters: -1 where the orders' prefixes rule it out."""
-    n, m = len(a), len(b)
-    if 5 * min(n, m) < 4 * max(n, m):
-        return min(n, m) / max(n, m)
-    if filters and not prefixes_meet(a, b):
-        return -1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (n + m - both)
-
-
-def prefixes_meet(a: np.ndarray, b: np.ndarray) -> bool:
-    """Do two sets share a prefix shingle under the ascending and under the descending order?"""
-    p, q = len(a) // 5 + 1, len(b) // 5 + 1
-    return bool(np.isin(a[:p], b[:q], assume_unique=True).any() and np.isin(a[-p:], b[-q:], assume_unique=True).any())
+_SENT = ["bucket", "tokens", "docs", "keys", "counts", "rows"]
+
+
+class _Sender:
+    """Shingles of one task's documents, sent once each: those that several of its documents have without a document."""
+
+    def __init__(self, buckets: int, whole: bool):
+        self.buckets, self.whole = buckets, whole
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens, self.owners, self.needs, self.count = [], [], [], 0
+
+    def add(self, key: int, own: np.ndarray) -> None:
+        """Take a document's sorted set: all of it, or its first quarter."""
+        n = len(own)
+        part = (own if self.whole else own[: n // 5 + max(1, -(-n // 20))]).copy()
+        self.tokens.append(part)
+        self.owners.append(np.full(len(part), key))
+        self.needs.append((key, len(part) - n // 5))  # so many of them must occur elsewhere
+        self.count += len(part)
+
+    def flush(self) -> pa.Table:
+        token, doc = np.concatenate(self.tokens), np.concatenate(self.owners)
+        keys, lacking = np.array(self.needs, np.int64).T
+        self.clear()
+        order = np.argsort(token, kind="stable")
+        token, doc = token[order], doc[order]
+        first = distinct_groups(token)
+        size = np.diff(np.append(np.flatnonzero(first), len(token)))
+        known, n = np.unique(doc[np.repeat(size > 1, size)], return_counts=True)
+        keys, counts = np.concatenate([known, keys]), np.concatenate([n, -lacking]).astype(np.int32)
+        rows_of = np.repeat([0, 1], [len(known), len(lacking)]).astype(np.int8)
+        out = [[len(token) % self.buckets, b"", b"", keys.tobytes(), counts.tobytes(), rows_of.tobytes()]]
+        token, doc, several = token[first], doc[first], size > 1
+        bucket = ((token >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(2 * bucket + several, kind="stable")  # within a bucket: those of one document first
+        token, doc, several, bucket = token[order], doc[order], several[order], bucket[order]
+        five = token.view(np.uint8).reshape(-1, 8)[:, :5]  # within a bucket; a collision only lets a document pass
+        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        for b in np.unique(bucket).tolist():
+            x, y = cuts[b], cuts[b + 1]
+            out.append([b, five[x:y].tobytes(), doc[x : y - int(several[x:y].sum())].tobytes(), b"", b"", b""])
+        return packed_table(out, _SENT)
+
+
+def _met(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, how many of their shingles others have (less how many must), and their rows, as one bucket shows it."""
+    token, doc, alone = [], [], []
+    for t, d in zip(group.column("tokens").to_pylist(), group.column("docs").to_pylist(), strict=True):
+        wide = np.zeros((len(t) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(t, np.uint8).reshape(-1, 5)
+        token.append(wide.view(np.uint64)[:, 0])
+        own = np.zeros(len(wide), np.int64)
+        own[: len(d) // 8] = np.frombuffer(d, np.int64)
+        doc.append(own)
+        alone.append(np.arange(len(wide)) < len(d) // 8)
+    keys, counts, rows = (joined(group.column(c).to_pylist(), t) for c, t in (("keys", np.int64), ("counts", np.int32), ("rows", np.int8)))
+    token, doc, alone = np.concatenate(token), np.concatenate(doc), np.concatenate(alone)
+    order = np.argsort(token)
+    token, doc, alone = token[order], doc[order], alone[order]
+    same = np.zeros(len(token), bool)
+    same[1:] = token[1:] == token[:-1]
+    same[:-1] |= same[1:]
+    own, n = np.unique(doc[same & alone], return_counts=True)
+    return np.concatenate([keys, own]), np.concatenate([counts, n]).astype(np.int64), np.concatenate([rows, np.zeros(len(own))]).astype(np.int64)
 
 
 def _suspects(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
     """Ids of the documents of which no more than a fifth of the shingles is their own, as far as the first quarter under
-    ascending hashes shows it, or the whole set."""
+    ascending hashes shows it, or the whole set; and ids that several rows have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, needs, count = [], [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            token, doc = np.concatenate(held), np.concatenate(ids)
-            order = np.argsort(token, kind="stable")
-            token, doc = token[order], doc[order]
-            first = np.concatenate([[True], token[1:] != token[:-1]])
-            size = np.diff(np.concatenate([np.flatnonzero(first), [len(token)]]))
-            many = np.repeat(size > 1, size)
-            own, n = np.unique(doc[many], return_counts=True)
-            keys, lacking = np.array(needs, np.int64).T
-            rows = [(len(keys) % buckets, b"", np.concatenate([own, keys]).tobytes(), np.concatenate([n, -lacking]).astype(np.int32).tobytes())]
-            token, doc = token[first], np.where(size > 1, -1, doc[first])
-            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            five = token.view(np.uint8).reshape(-1, 8)[:, :5]  # within a bucket; a collision only lets a document pass
-            rows += [(b, five[x:y].tobytes(), doc[x:y].tobytes(), b"") for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "tokens", "docs", "counts"])
-
+        sender = _Sender(buckets, whole)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for key, own in zip(keys.tolist(), shingle_sets(batch.column(1)), strict=True):
-                n = len(own)
-                if n:
-                    part = (own if whole else own[: n // 5 + max(1, -(-n // 20))]).copy()
-                    held.append(part)
-                    ids.append(np.full(len(part), key))
-                    needs.append((key, len(part) - n // 5))  # so many of them must occur elsewhere
-                    count += len(part)
-            if count >= CHUNK_TOKENS:
-                yield from flush()
-                held, ids, needs, count = [], [], [], 0
-        if count:
-            yield from flush()
+            for key, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                if len(own):
+                    sender.add(key, own)
+            if sender.count >= CHUNK_TOKENS:
+                yield from sender.flush().to_batches()
+        if sender.count:
+            yield from sender.flush().to_batches()
         give_back()
 
     def meet(group: pa.Table) -> pa.Table:
-        token, doc, ids, counts = [], [], [], []
-        for t, d, n in zip(*(group.column(c).to_pylist() for c in ("tokens", "docs", "counts")), strict=True):
-            if n:
-                ids.append(np.frombuffer(d, np.int64))
-                counts.append(np.frombuffer(n, np.int32).astype(np.int64))
-            else:
-                wide = np.zeros((len(t) // 5, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(t, np.uint8).reshape(-1, 5)
-                token.append(wide.view(np.uint64)[:, 0])
-                doc.append(np.frombuffer(d, np.int64))
-        if token:
-            token, doc = np.concatenate(token), np.concatenate(doc)
-            order = np.argsort(token)
-            token, doc = token[order], doc[order]
-            same = np.zeros(len(token), bool)
-            same[1:] = token[1:] == token[:-1]
-            same[:-1] |= same[1:]
-            own, n = np.unique(doc[same & (doc >= 0)], return_counts=True)
-            ids.append(own)
-            counts.append(n)
-        return pa.table({"doc_id": np.concatenate(ids), "shared": np.concatenate(counts)}) if ids else pa.table({"doc_id": pa.array([], pa.int64()), "shared": pa.array([], pa.int64())})
-
-    sent = docs.mapInArrow(send, "bucket int, tokens binary, docs binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared")).where("shared >= 0").select("doc_id")
-
-
-SET = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType())])
+        keys, counts, rows = _met(group)
+        return packed_table(packed(homes_of(keys, buckets), buckets, keys, counts, rows), ["home", "keys", "counts", "rows"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        keys, counts, rows = (joined(group.column(c).to_pylist(), np.int64) for c in ("keys", "counts", "rows"))
+        own, at = np.unique(keys, return_inverse=True)
+        shared, times = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        np.add.at(shared, at, counts)
+        np.add.at(times, at, rows)
+        return pa.table({"doc_id": own[(shared >= 0) | (times > 1)]})
+
+    sent = docs.mapInArrow(send, "bucket int, tokens binary, docs binary, keys binary, counts binary, rows binary")
+    met = sent.groupBy("bucket").applyInArrow(meet, "home int, keys binary, counts binary, rows binary")
+    return met.groupBy("home").applyInArrow(settle, "doc_id long")
+
+
+SET = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("class", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
 
 
 @F.arrow_udf(SET)
 def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Column function: set size, a hash of the whole set, and the sorted set as 64-bit values."""
+    """Column function: set size, a digest of the whole set, and the sorted set as 64-bit values."""
     for batch in batches:
-        sets = shingle_sets(batch)
-        sums = np.array([int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))) if len(s) else 0 for s in sets], np.uint64)
-        yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), pa.array(sums.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "class", "tokens"])
+        sets = [s.tobytes() for s in shingle_sets(batch)]
+        digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+        yield pa.StructArray.from_arrays([pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["n", "class", "tokens"])
     give_back()
 
 
@@ -168,98 +188,100 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, buckets: int, filters: bool) -> DataFrame:
-    """a, b, j (see similarity) for pairs(a, b) of nodes of sets(node, tokens).
+def compared(pairs: DataFrame, heads: DataFrame, others: DataFrame, buckets: int, room: bool) -> DataFrame:
+    """a, b, n_a, n_b, both (their common shingles) for pairs(a, b) of heads(node, n, tokens) and others(node, n, shared).
 
+    shared: a node's shingles that other nodes have too, by document frequency. room: also outside, the first ``n_b // 5 + 1`` shingles
+    of b under the leader a's order as far as a lacks them (without those of b alone, which come first), and before, how many those are.
     A node in very many pairs is dealt to several groups of about ``GROUP`` pairs."""
-    sets, pairs = sets.select("node", "tokens"), stored(pairs, "ngram-pairs")
-    heads = having_ids(sets, pairs.select(F.col("a").alias("node")), "node")
-    others = having_ids(sets, pairs.select(F.col("b").alias("node")), "node")
+    pairs = stored(pairs, "ngram-pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(others, "node")
-    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(heads.withColumnRenamed("node", "a"), "a")
+    right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(_renamed(others), "node")
+    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(_renamed(heads).withColumnRenamed("node", "a"), "a")
     bucket = F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket")
 
     def compare(heads: pa.Table, rows: pa.Table) -> pa.Table:
-        of = {(a, p): np.frombuffer(t, np.uint64) for a, p, t in zip(*(heads.column(c).to_pylist() for c in ("a", "part", "tokens")), strict=True)}
-        out = ([], [], [])
-        for a, p, b, t in zip(*(rows.column(c).to_pylist() for c in ("a", "part", "node", "tokens")), strict=True):
-            x, y = of[a, p], np.frombuffer(t, np.uint64)
-            for column, value in zip(out, (a, b, similarity(x, y, filters)), strict=True):
+        of = {(a, p): (n, np.frombuffer(t, np.uint64)) for a, p, n, t in zip(*(heads.column(c).to_pylist() for c in ("a", "part", "n", "tokens")), strict=True)}
+        out = ([], [], [], [], [], [], [])
+        for a, p, b, m, t in zip(*(rows.column(c).to_pylist() for c in ("a", "part", "node", "n", "shared")), strict=True):
+            n, x = of[a, p]
+            y = np.frombuffer(t, np.uint64)
+            has = x[np.minimum(np.searchsorted(x, y), n - 1)] == y
+            before = m - len(y)
+            outside = y[~has][: max(0, m // 5 + 1 - before)].view(np.int64) if room else []
+            for column, value in zip(out, (a, b, n, m, int(has.sum()), outside, before), strict=True):
                 column.append(value)
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "j": pa.array(out[2], pa.float64())})
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32())
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("a", "b", "n_a", "n_b", "both", "outside", "before"), out, types, strict=True)})
+
+    grouped = _renamed(left.select(bucket, "a", "part", "n", "tokens")).groupBy("bucket").cogroup(_renamed(right.select(bucket, "a", "part", "node", "n", "shared")).groupBy("bucket"))
+    return grouped.applyInArrow(compare, "a long, b long, n_a int, n_b int, both int, outside array<long>, before int")
+
 
-    return _renamed(left.select(bucket, "a", "part", "tokens")).groupBy("bucket").cogroup(_renamed(right.select(bucket, "a", "part", "node", "tokens")).groupBy("bucket")).applyInArrow(compare, "a long, b long, j double")
+LINKED = "9 * both >= 4 * (n_a + n_b)"  # Jaccard 0.8 or more, in whole numbers
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """token, node, n, central (the share of its shingles that others have): the second order's prefixes."""
+def _shared(sets: DataFrame) -> DataFrame:
+    """node, n, shared (its shingles that other nodes have too, rarest first) of the nodes that can have links."""
     every = sets.select("node", "n", F.explode(as_array("tokens")).alias("token"))
     often = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = every.join(often, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # no longer than a document
-    room = F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("n") - F.size("shared"))
-    prefix = shared.where(room > 0).select("node", "n", (F.size("shared") / F.col("n")).alias("central"), F.slice(F.sort_array("shared"), 1, room).alias("prefix"))
-    return prefix.select("node", "n", "central", F.explode("prefix.token").alias("token"))
+    shared = every.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # no longer than a document
+    return shared.where(F.col("n") - F.size("shared") <= F.floor(F.col("n") / 5)).select("node", "n", F.col("shared.token").alias("shared"))
+
+
+@F.arrow_udf(T.BinaryType())
+def as_bytes(arrays: pa.Array) -> pa.Array:
+    return pa.array([np.asarray(x.values, np.int64).tobytes() for x in arrays], pa.binary())
+
+
+def _candidates(probe: DataFrame, index: DataFrame, key: list[str], apart) -> DataFrame:
+    """a, b: nodes of two components with one key, a's size from b's to 5/4 of it; apart: what else must hold."""
+    one = probe.select(*key, F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("reach").alias("ra"))
+    two = index.select(*key, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("reach").alias("rb"))
+    sizes = ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))) & (5 * F.col("nb") >= 4 * F.col("na"))
+    return one.join(two, key).where((F.col("ca") != F.col("cb")) & sizes & apart).select("a", "b")
+
+
+def _mixed(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The rows of those keys that several components have, with the least n among them."""
+    stats = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).where("lo < hi").drop("lo", "hi")
+    return stored(rows.join(stats, key), name)
 
 
 def _links(sets: DataFrame, buckets: int) -> DataFrame:
     """Links a, b whose components are those of all links between the sets."""
-    postings = stored(_postings(sets), "ngram-postings")
-    nodes = postings.groupBy("node").agg(F.first("n").alias("n"), F.first("central").alias("central"))
-
-    # first: each node with one leader
-    lead = postings.groupBy("token").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"), F.col("n").alias("leader_n"))).alias("top"), F.count("*").alias("c")).where("c > 1")
-    fits = (F.col("node") != -F.col("top.minus")) & (5 * F.least("n", "top.leader_n") >= 4 * F.greatest("n", "top.leader_n"))
-    offers = postings.select("token", "node", "n").join(lead, "token").where(fits).groupBy("node", "top").agg(F.count("*").alias("times"))
-    best = offers.groupBy("node").agg(F.max(F.struct("times", "top")).alias("best"))
-    first = stored(verified(best.select((-F.col("best.top.minus")).alias("a"), F.col("node").alias("b")), sets, buckets, True).where("j >= 0.8"), "ngram-first")
-    links = first.select("a", "b")
-
-    # a star: a leader and its linked nodes, with their distance to it; every other node is a star of its own
-    member = first.select(F.col("b").alias("node"), F.col("a").alias("star"), (1 - F.col("j")).alias("off"))
-    alone = nodes.select("node").join(member, "node", "left_anti").select("node", F.col("node").alias("star"), F.lit(0.0).alias("off"))
-    centres = first.select(F.col("a").alias("node"), F.col("a").alias("star"), F.lit(0.0).alias("off")).distinct()
-    stars = member.union(alone).union(centres).groupBy("node", "star").agg(F.min("off").alias("off"))
+    shared = stored(_shared(sets), "ngram-shared")
+    n, own = F.col("n"), F.col("n") - F.size("shared")
+    prefix = shared.select("node", "n", (F.size("shared") / n).alias("central"), own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), F.floor(n / 5).cast("int") + 1 - own)).alias("at", "token"))
+    postings = stored(prefix.select("token", "node", "n", "central", (F.col("own") + F.col("at") <= F.floor(n / 9)).alias("index")), "ngram-postings")
+    heads, others = sets.select("node", "n", "tokens"), shared.select("node", "n", as_bytes("shared").alias("shared"))
+
+    # every node against the leaders of its postings
+    lead = postings.groupBy("token").agg(F.max(F.struct("central", "n", "node")).alias("top"), F.count("*").alias("c")).where("c > 1").select("token", F.col("top.node").alias("leader"))
+    led = stored(postings.join(lead, "token"), "ngram-led")
+    pairs = led.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    shares = stored(compared(pairs, heads, others, buckets, True), "ngram-shares")
+    links = shares.where(LINKED).select("a", "b")
     component = components(links)
-    stars = stored(stars.join(component, "node", "left").select("node", "star", "off", F.coalesce("component", "node").alias("component")), "ngram-stars")
-
-    # second: centres of stars that share a posting but not yet a component
-    spots = postings.select("token", "node").join(stars, "node").groupBy("token", "star", "component").agg(F.max("off").alias("radius"))
-    mixed = spots.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    spots = stored(spots.join(mixed, "token", "left_semi"), "ngram-spots")
-    other = spots.select("token", F.col("star").alias("star_b"), F.col("component").alias("component_b"))
-    pairs = spots.join(other, "token").where("star < star_b AND component <> component_b").select(F.col("star").alias("a"), F.col("star_b").alias("b")).distinct()
-    between = stored(verified(pairs, sets, buckets, False), "ngram-between")
-    radius = stars.groupBy("star").agg(F.max("off").alias("radius"))
-    links = links.union(between.where("j >= 0.8").select("a", "b"))
-    slack = 1e-9
-    near = between.where("j < 0.8").join(radius.toDF("a", "ra"), "a").join(radius.toDF("b", "rb"), "b").where(F.col("ra") + F.col("rb") + 0.2 + slack >= 1 - F.col("j")).where("ra + rb > 0")
-    near = stored(near.select("a", "b", F.col("j")), "ngram-near")
-    if near.isEmpty():
-        return links
-
-    # third: members with the centre of the other star, where their components still differ
-    def ends() -> DataFrame:
-        component = components(links)
-        return stored(stars.select("node", "star", "off").join(component, "node", "left").select("node", "star", "off", F.coalesce("component", "node").alias("component")), "ngram-ends")
-
-    at = ends()
-    of = at.where("node = star").select(F.col("star").alias("other"), F.col("component").alias("other_component"))
-    sides = near.select(F.col("a").alias("star"), F.col("b").alias("other"), "j").union(near.select("b", "a", "j"))
-    # a member that is further from the other centre than 0.4 has no link to that star
-    tries = at.join(sides, "star").join(of, "other").where(F.col("component") != F.col("other_component")).where(1 - F.col("j") - F.col("off") <= 0.4 + slack)
-    reach = stored(verified(tries.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), sets, buckets, False).where(F.col("j") >= 0.6 - slack), "ngram-reach")
-    links = links.union(reach.where("j >= 0.8").select("a", "b"))
-
-    # last: members of two such stars, both near enough to both centres
-    at = ends().join(reach.select(F.col("a").alias("other"), F.col("b").alias("node"), (1 - F.col("j")).alias("far")), "node")
-    spots = postings.select("token", "node", "n").join(at, "node")
-    one = spots.where("star < other").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("off").alias("oa"), F.col("far").alias("fa"), F.col("component").alias("ca"), "star", "other")
-    two = spots.where("star > other").select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("off").alias("ob"), F.col("far").alias("fb"), F.col("component").alias("cb"), F.col("other").alias("star"), F.col("star").alias("other"))
-    # distances to each centre may differ by 0.2 at most
-    possible = (F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("ob")) <= 0.2 + slack) & (F.abs(F.col("fb") - F.col("oa")) <= 0.2 + slack) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
-    last = one.join(two, ["token", "star", "other"]).where(possible).select("a", "b").distinct()
-    return links.union(verified(last, sets, buckets, True).where("j >= 0.8").select("a", "b"))
+
+    # reach: the size up to which a set can link with this one by what both have of the leader
+    has = shares.select(F.col("a").alias("leader"), F.col("b").alias("node"), "both", "outside", "before")
+    itself = led.where("leader = node").select("leader", "node", n.alias("both"), F.array().cast("array<long>").alias("outside"), F.lit(0).alias("before")).distinct()
+    reach = F.floor((9 * F.col("both") - 4 * n) / 4).alias("reach")
+    nodes = shared.select("node", "n").join(component, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    has = stored(has.unionByName(itself).join(nodes, "node").select("*", reach), "ngram-has")
+
+    # second order, where the leader's part alone allows a link
+    spots = _mixed(led.select("token", "leader", "node", "index").join(has.drop("outside", "before", "both"), ["leader", "node"]), ["token"], "ngram-spots")
+    able = spots.where("reach >= least")
+    inner = _candidates(able, able.where("index AND reach >= n"), ["token"], (F.col("ra") >= F.col("nb")) & (F.col("rb") >= F.col("na")))
+
+    # third order: shingles that the leader lacks, where its part alone does not
+    lacked = has.select("leader", "node", "n", "component", "reach", "before", F.posexplode("outside").alias("at", "token")).withColumn("index", F.col("before") + F.col("at") <= F.floor(n / 9))
+    lacked = _mixed(lacked, ["leader", "token"], "ngram-lacked")
+    outer = _candidates(lacked, lacked.where("index"), ["leader", "token"], (F.col("ra") < F.col("nb")) | (F.col("rb") < F.col("na")))
+    found = compared(inner.union(outer).distinct(), heads, others, buckets, False)
+    return links.union(found.where(LINKED).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -271,13 +293,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for whole in (False, True):
         suspects = stored(_suspects(docs, buckets, whole), "ngram-suspects")
         docs = having_ids(docs, suspects)
-    every = stored(docs.select("doc_id", shingle_set("text").alias("s")).select("doc_id", "s.*"), "ngram-every")
-    classes = stored(every.groupBy("class").agg(F.min("doc_id").alias("node")), "ngram-classes")
+    rows = docs.select("doc_id", shingle_set("text").alias("s")).select("doc_id", "s.*").where("n > 0")
+    every = stored(rows.withColumn("row", F.monotonically_increasing_id()), "ngram-every")
+    classes = stored(every.groupBy("class").agg(F.min("row").alias("node")), "ngram-classes")
     # one set for each class; a few copies may come along, which then link to their like
-    sets = having_ids(every.select(F.col("doc_id").alias("node"), "n", "tokens"), classes.select("node"), "node")
-    component = components(_links(sets, buckets))
-    member = every.select("doc_id", "class").join(classes, "class").join(component, "node", "left")
-    return member.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    sets = having_ids(every.select(F.col("row").alias("node"), "n", "tokens"), classes.select("node"), "node")
+    member = stored(every.select("doc_id", "class").join(classes, "class").select("doc_id", "node"), "ngram-members")
+    # rows that share an id belong together
+    repeated = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    same = member.select("doc_id", F.col("node").alias("b")).join(repeated.select("doc_id", "a"), "doc_id").where("a <> b").select("a", "b")
+    component = components(_links(sets, buckets).union(same))
+    member = stored(member.join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "ngram-grouped")
+    least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return member.join(least, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
