@@ -39,23 +39,27 @@ def similarities(prints: DataFrame, key: str = "ride_id") -> DataFrame:
 def grouped(rides: DataFrame, edges: DataFrame, key: str = "ride_id", started: str = "started_at") -> DataFrame:
     """Each ride's route, named by its first ride: rides in the order of their start join the reference whose mean distance is least.
 
-    References are settled in rounds: a ride whose earlier look-alikes are all settled is settled next, in parallel; a ride joins a
-    look-alike only if that is a reference. Rounds are as many as the longest chain of look-alikes, never one a ride."""
+    A ride with a reference among its earlier look-alikes is none itself; one of which all earlier look-alikes are known to be none is one. Both
+    are settled as soon as they are known, so a thousand equal rides take two rounds."""
     order = rides.select(key, started)
     links = edges.where("same_route").select(F.col("later").alias("a"), F.col("earlier").alias("b"), "mean_m")
     s = lambda n: order.select(F.col(key).alias(n), F.struct(started, key).alias(f"_{n}"))
     links = links.join(s("a"), "a").join(s("b"), "b")
     links = links.select(F.when(F.col("_b") < F.col("_a"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_b") < F.col("_a"), F.col("b")).otherwise(F.col("a")).alias("b"), "mean_m")
     links = stored(links, "route-links")
-    settled = order.select(F.col(key).alias("node")).join(links.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("route"))
+    firsts = order.select(F.col(key).alias("node")).join(links.select(F.col("a").alias("node")), "node", "left_anti")
+    settled = stored(firsts.select("node", F.lit(True).alias("reference")), "route-settled")
     while True:
-        done = settled.select(F.col("node").alias("b"), F.col("route").alias("b_route"))
-        open_ = links.join(settled.select(F.col("node").alias("a")), "a", "left_anti").join(done, "b", "left")
-        ready = open_.groupBy("a").agg(F.count(F.when(F.col("b_route").isNull(), 1)).alias("waiting"), F.min(F.when(F.col("b_route") == F.col("b"), F.struct("mean_m", "b"))).alias("best")).where("waiting = 0")
-        new = ready.select(F.col("a").alias("node"), F.coalesce("best.b", "a").alias("route"))
+        known = settled.select(F.col("node").alias("b"), "reference")
+        open_ = links.join(settled.select(F.col("node").alias("a")), "a", "left_anti").join(known, "b", "left")
+        state = open_.groupBy("a").agg(F.max(F.coalesce("reference", F.lit(False))).alias("joins"), F.count_if(F.col("reference").isNull()).alias("waiting"))
+        new = stored(state.where("joins OR waiting = 0").select(F.col("a").alias("node"), (~F.col("joins")).alias("reference")), "route-settled")
         if new.isEmpty():
-            return settled.select(F.col("node").alias(key), F.col("route").alias("ref_ride_id"))
+            break
         settled = stored(settled.unionByName(new), "route-settled")
+    reference = settled.where("reference").select(F.col("node").alias("b"))
+    nearest = links.join(settled.where("NOT reference").select(F.col("node").alias("a")), "a").join(reference, "b").groupBy("a").agg(F.min(F.struct("mean_m", "b")).alias("best"))
+    return settled.join(nearest, settled["node"] == nearest["a"], "left").select(F.col("node").alias(key), F.coalesce("best.b", "node").alias("ref_ride_id"))
 
 
 def local_track(points: DataFrame, key: str, lat: str, lon: str) -> DataFrame:

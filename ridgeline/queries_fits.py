@@ -69,10 +69,22 @@ def route_clusters(spark, sf_dir):
     return routes.grouped(p.groupBy("ride_id").agg(F.min("t").alias("started_at")), edges)
 
 
-@query(P + "SELECT ride_id, round_even(t, 0) + 631065600 t, hr, round(round_even((elev + 500) * 5, 0) / 5.0E0 - 500, 6) alt_raw, round(round_even(speed * 1000, 0) / 1000.0E0, 6) speed FROM p")
+_DEGREES = "round(round_even({c} * 2147483648.0E0 / 180.0E0, 0) * 180.0E0 / 2147483648.0E0, 6) {c}"
+
+
+@query(P + "SELECT ride_id, round_even(t, 0) + 631065600 t, hr, round(round_even((elev + 500) * 5, 0) / 5.0E0 - 500, 6) alt_raw, round(round_even(speed * 1000, 0) / 1000.0E0, 6) speed, " + _DEGREES.format(c="lat") + ", " + _DEGREES.format(c="lon") + " FROM p")
 def binary_roundtrip(spark, sf_dir):
     files = activity.encoded(points(spark, sf_dir)).withColumn("path", F.col("ride_id").cast("string"))
-    return activity.decode(files).select(F.col("path").cast("long").alias("ride_id"), "t", F.col("hr").cast("double").alias("hr"), r6("alt_raw"), r6("speed"))
+    return activity.decode(files).select(F.col("path").cast("long").alias("ride_id"), "t", F.col("hr").cast("double").alias("hr"), r6("alt_raw"), r6("speed"), r6("lat"), r6("lon"))
+
+
+@query(P + """, s AS (SELECT *, CASE WHEN speed >= 0.3 THEN t - lag(t) OVER (PARTITION BY ride_id ORDER BY t) END step FROM p)
+SELECT ride_id, round_even(min(t), 0) + 631065600 start_t, round_even(max(t), 0) + 631065600 end_t, round(round_even(coalesce(sum(step), 0) * 1000, 0) / 1000.0E0, 6) duration_s, CAST(count(*) AS INTEGER) point_count, 2 sport,
+round(round_even((max(t) - min(t)) * 1000, 0) / 1000.0E0, 6) total_elapsed, round(round_even(max_by(dist, t) * 100, 0) / 100.0E0, 6) total_distance, round_even(max(hr), 0) max_hr FROM s GROUP BY ride_id""")
+def binary_metadata(spark, sf_dir):
+    files = activity.encoded(points(spark, sf_dir), summary=True).withColumn("path", F.col("ride_id").cast("string"))
+    found = activity.decode_metadata(files)
+    return found.select(F.col("path").cast("long").alias("ride_id"), "start_t", "end_t", r6("duration_s"), "point_count", "sport", r6("total_elapsed"), r6("total_distance"), "max_hr")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END fresh FROM events),

@@ -194,21 +194,82 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return decode(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fit").load(path))
 
 
-def encode(rows: list[dict[str, int]], fields: list[tuple[int, int, int]], message: int = RECORD) -> bytes:
-    """A file of one message type: fields are (number, size, base type), rows map field numbers to values (absent: invalid)."""
-    body = bytes([0x40, 0, 0]) + struct.pack("<H", message) + bytes([len(fields)]) + b"".join(bytes(f) for f in fields)
-    for row in rows:
-        body += b"\0" + b"".join(struct.pack("<" + TYPES[base][0], row.get(n, TYPES[base][1])) for n, _, base in fields)
+#: Fields of the session and file messages, and what their numbers are divided by.
+SESSION_FIELDS = {"total_elapsed": (7, 1000.0), "total_timer": (8, 1000.0), "total_distance": (9, 100.0), "avg_speed": (14, 1000.0), "max_speed": (15, 1000.0), "avg_hr": (16, 1.0), "max_hr": (17, 1.0), "total_ascent": (22, 1.0), "total_descent": (23, 1.0)}
+FILE_FIELDS = {"type": 0, "manufacturer": 1, "product": 2, "serial": 3}
+METADATA = "path string, start_t double, end_t double, duration_s double, point_count int, sport int, created_t double, " + ", ".join(f"{n} double" for n in SESSION_FIELDS) + ", " + ", ".join(f"{n} long" for n in FILE_FIELDS)
+
+
+def metadata(path: str, data: bytes) -> dict[str, object]:
+    """A row of METADATA. Later messages of a kind win. The duration is the device's timer (moving time); where it has none, the records' span."""
+    row: dict[str, object] = {"path": path}
+    times, far = [], None
+    for message, v, clock in messages(data):
+        if message == SESSION:
+            row |= {n: v[k] / by for n, (k, by) in SESSION_FIELDS.items() if k in v} | ({"start_t": float(v[2] + EPOCH)} if 2 in v else {}) | ({"sport": v[5]} if 5 in v else {})
+        elif message == FILE_ID:
+            row |= {n: v[k] for n, k in FILE_FIELDS.items() if k in v} | ({"created_t": float(v[4] + EPOCH)} if 4 in v else {})
+        elif message == SPORT and 0 in v:
+            row["sport"] = v[0]
+        elif message == RECORD and clock is not None:
+            times.append((float(clock + EPOCH), v[5] / 100 if 5 in v else None))
+    times.sort(key=lambda x: x[0])
+    row["point_count"] = len(times)
+    if times:
+        row.setdefault("start_t", times[0][0])
+        far = times[-1][1]
+        row |= {"end_t": times[-1][0], "duration_s": row.get("total_timer") or max(0.0, times[-1][0] - times[0][0])}
+        row.setdefault("total_distance", far or 0.0)
+    return row
+
+
+def decode_metadata(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One row of METADATA for each file that is an activity."""
+    names = [c.split()[0] for c in METADATA.split(", ")]
+    types = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(n, types[c.split()[1]]) for n, c in zip(names, METADATA.split(", "), strict=True)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found.append(metadata(p, body or b""))
+                except ValueError:
+                    continue
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in found], schema)
+
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(rows, METADATA)
+
+
+def encode_all(parts: list[tuple[int, list[tuple[int, int, int]], list[dict[str, int]]]]) -> bytes:
+    """A file of several messages: (message, fields, rows), with fields as for ``encode``."""
+    body = b""
+    for local, (message, fields, rows) in enumerate(parts):
+        body += bytes([0x40 | local, 0, 0]) + struct.pack("<H", message) + bytes([len(fields)]) + b"".join(bytes(f) for f in fields)
+        body += b"".join(bytes([local]) + b"".join(struct.pack("<" + TYPES[base][0], row.get(n, TYPES[base][1])) for n, _, base in fields) for row in rows)
     head = struct.pack("<BBHI4s", 14, 0x10, 2132, len(body), b".FIT")
     head += struct.pack("<H", crc(head, 0xA001, True))
     return head + body + struct.pack("<H", crc(head + body, 0xA001, True))
 
 
+def encode(rows: list[dict[str, int]], fields: list[tuple[int, int, int]], message: int = RECORD) -> bytes:
+    """A file of one message type: fields are (number, size, base type), rows map field numbers to values (absent: invalid)."""
+    return encode_all([(message, fields, rows)])
+
+
+SUMMARY_FIELDS = [(2, 4, 0x86), (5, 1, 0x02), (7, 4, 0x86), (8, 4, 0x86), (9, 4, 0x86), (16, 1, 0x02), (17, 1, 0x02)]
 ALTITUDE_FIELDS = [(TIMESTAMP, 4, 0x86), (0, 4, 0x85), (1, 4, 0x85), (2, 2, 0x84), (3, 1, 0x02), (5, 4, 0x86), (6, 2, 0x84), (78, 4, 0x86)]
 
 
-def encoded(points: DataFrame, key: str = "ride_id") -> DataFrame:
-    """One activity file (key, content binary) for each ride of points(key, t, lat, lon, elev, hr, dist, speed): the inverse of ``decode``."""
+def moving_ms(line: list[dict]) -> float:
+    """Milliseconds between samples that move at 0.3 m/s or more."""
+    return sum(b["t"] - a["t"] for a, b in zip(line, line[1:], strict=False) if (b["speed"] or 0) >= 0.3) * 1000
+
+
+def encoded(points: DataFrame, key: str = "ride_id", summary: bool = False) -> DataFrame:
+    """One activity file (key, content binary) for each ride of points(key, t, lat, lon, elev, hr, dist, speed): the inverse of ``decode``.
+    summary: with a session message."""
     line = F.array_sort(F.collect_list(F.struct("t", "lat", "lon", "elev", "hr", "dist", "speed")))
     rides = points.groupBy(key).agg(line.alias("p"))
 
@@ -221,7 +282,13 @@ def encoded(points: DataFrame, key: str = "ride_id") -> DataFrame:
                 code = None if p["elev"] is None else round((p["elev"] + 500) * 5)
                 row = {TIMESTAMP: round(p["t"]), 0: p["lat"] and round(p["lat"] * 2**31 / 180), 1: p["lon"] and round(p["lon"] * 2**31 / 180), 2: code, 3: p["hr"] and round(p["hr"]), 5: p["dist"] and round(p["dist"] * 100), 6: p["speed"] and round(p["speed"] * 1000), 78: code}
                 rows.append({k: v for k, v in row.items() if v is not None})
-            out.append(encode(rows, ALTITUDE_FIELDS))
+            parts = [(RECORD, ALTITUDE_FIELDS, rows)]
+            if summary and line:
+                beats = [p["hr"] for p in line if p["hr"] is not None]
+                session = {2: round(line[0]["t"]), 5: 2, 7: round((line[-1]["t"] - line[0]["t"]) * 1000), 8: round(moving_ms(line)), 9: round((line[-1]["dist"] or 0) * 100)}
+                session |= {16: round(sum(beats) / len(beats)), 17: round(max(beats))} if beats else {}
+                parts.append((SESSION, SUMMARY_FIELDS, [session]))
+            out.append(encode_all(parts))
         return pa.array(out, pa.binary())
 
     return rides.select(key, write("p").alias("content"))
