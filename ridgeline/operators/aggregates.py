@@ -73,21 +73,28 @@ def hr_energy(df: DataFrame, key: str, time: str, hr: str, sex: str = "male", we
     return sums.select(key, (F.col("_kj") / C.kj_per_kcal).alias("hr_kcal"), "covered_s", "span_s")
 
 
-def calories(df: DataFrame, key: str, time: str, hr: str, watts: str) -> DataFrame:
-    """kcal by heart rate where it covers half of the time, else by work at 23.9 % efficiency; with bands."""
-    power = work_kj(df, key, time, watts)
-    both = hr_energy(df, key, time, hr).join(power, key)
-    coverage = F.col("covered_s") / F.when(F.col("span_s") > 0, F.col("span_s"))
-    by_hr = F.coalesce(coverage >= 0.5, F.lit(False)) & F.col("hr_kcal").isNotNull()
-    work = F.col("work_kj") / C.kj_per_kcal
-    kcal = F.when(by_hr, F.col("hr_kcal")).otherwise(work / 0.239)
+def calories(df: DataFrame, key: str, time: str, hr: str, watts: str, low: str, high: str, moving: DataFrame | None = None, sex: str | None = "male", weight: float = C.weight_kg, age: float = C.age) -> DataFrame:
+    """kcal by heart rate where it covers half of the moving time, else by work at the gross efficiency; both ways are reported.
+
+    low, high: the power's band, which becomes the work's. moving: key, moving_s (else the span of the samples). Without a sex the male equation holds
+    and the band is wider. By heart rate there is also the mean power that the energy implies, with a band of energy and efficiency together."""
+    both = hr_energy(df, key, time, hr, sex or "male", weight, age)
+    for column, name in ((watts, "work"), (low, "work_lo"), (high, "work_hi")):
+        both = both.join(work_kj(df, key, time, column).withColumnRenamed("work_kj", name), key)
+    both = both.join(moving, key, "left") if moving is not None else both.withColumn("moving_s", F.lit(None).cast("double"))
+    seconds = F.coalesce("moving_s", "span_s")
+    both = both.withColumn("_s", seconds).withColumn("hr_coverage", F.when(seconds > 0, F.col("covered_s") / F.when(seconds > 0, seconds)).otherwise(F.lit(0.0)))
+    by_hr = F.coalesce((F.col("hr_kcal") > 0) & (F.col("hr_coverage") >= C.hr_coverage), F.lit(False))
+    share = C.hr_energy_share if sex else C.hr_energy_share_unknown
+    of_work = lambda c: F.col(c) / C.kj_per_kcal / C.gross_efficiency
+    implied = F.when(by_hr & (F.col("_s") > 0), F.col("hr_kcal") * C.kj_per_kcal * C.gross_efficiency * 1000 / F.when(F.col("_s") > 0, F.col("_s")))
+    below, above = ((share**2 + ((e - C.gross_efficiency) / C.gross_efficiency) ** 2) ** 0.5 for e in C.efficiency_range)
     return both.select(
-        key,
-        F.when(by_hr, "hr").otherwise("power").alias("method"),
-        kcal.alias("kcal"),
-        F.when(by_hr, kcal * (1 - 0.15)).otherwise(work / 0.25).alias("lo"),
-        F.when(by_hr, kcal * (1 + 0.15)).otherwise(work / 0.20).alias("hi"),
-    )
+        key, F.when(by_hr, "hr").otherwise("power").alias("method"), F.when(by_hr, F.col("hr_kcal")).otherwise(of_work("work")).alias("kcal"),
+        F.greatest(F.when(by_hr, F.col("hr_kcal") * (1 - share)).otherwise(of_work("work_lo")), F.lit(0.0)).alias("lo"), F.greatest(F.when(by_hr, F.col("hr_kcal") * (1 + share)).otherwise(of_work("work_hi")), F.lit(0.0)).alias("hi"),
+        F.when(F.col("hr_kcal") > 0, F.col("hr_kcal")).alias("hr_kcal"), "hr_coverage", implied.alias("hr_watts"), (implied * (1 - below)).alias("hr_watts_lo"), (implied * (1 + above)).alias("hr_watts_hi"),
+        of_work("work").alias("power_kcal"), of_work("work_lo").alias("power_lo"), of_work("work_hi").alias("power_hi"),
+    )
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, key: str | None = None) -> DataFrame:
@@ -170,3 +177,25 @@ def last_days(rides: DataFrame, day: str, days: float, **sums: str) -> DataFrame
     latest = rides.agg(F.max(day).alias("_last"))
     recent = rides.join(F.broadcast(latest), F.col(day) > F.col("_last") - days)
     return recent.agg(F.count("*").alias("n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+
+
+def axis_domain(df: DataFrame, key: str, value: str, low: str, high: str, clip_share: float = 0.7) -> DataFrame:
+    """A chart's limits: the values' 2nd and 98th percentile, widened to the middle ``clip_share`` of the band's edges and padded by 6 %; eight values
+    at most count whole; equal limits get room."""
+    edges = df.select(key, F.col(value).cast("double").alias("v"), F.explode(F.array(F.lit(None).cast("double"), F.col(low).cast("double"), F.col(high).cast("double"))).alias("e"))
+    tail = (1 - clip_share) / 2
+    once = F.when(F.col("e").isNull(), F.col("v"))
+    sums = edges.groupBy(key).agg(F.count(once).alias("n"), F.min(once).alias("a"), F.max(once).alias("b"), F.percentile(once, F.lit(0.02)).alias("p"), F.percentile(once, F.lit(0.98)).alias("q"), F.count("e").alias("m"), F.percentile("e", F.lit(tail)).alias("lo"), F.percentile("e", F.lit(1 - tail)).alias("hi"))
+    robust = F.col("n") > 8
+    least, most = F.when(robust, F.col("p")).otherwise(F.col("a")), F.when(robust, F.col("q")).otherwise(F.col("b"))
+    least, most = F.when(F.col("m") > 4, F.least(least, "lo")).otherwise(least), F.when(F.col("m") > 4, F.greatest(most, "hi")).otherwise(most)
+    pad = F.when(least == most, F.greatest(F.abs(least) * 0.08, F.lit(1.0))).otherwise((most - least) * F.when(robust, 0.06).otherwise(0.08))
+    return sums.select(key, (least - pad).alias("lo"), (most + pad).alias("hi"))
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, share: float = 0.95) -> DataFrame:
+    """Mean, and the value at the rank that a share of the rows reaches: key, mean, rank_value."""
+    w = Window.partitionBy(key)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    at = F.least(F.floor(F.col("_n") * share).cast("long") + 1, F.col("_n"))
+    return rows.groupBy(key).agg(F.avg(value).alias("mean"), F.max(F.when(F.col("_r") == at, F.col(value))).alias("rank_value"))

@@ -74,3 +74,15 @@ def merged_axis(*series: DataFrame) -> DataFrame:
 def younger_than(rows: DataFrame, time: str, now: DataFrame, age: float) -> DataFrame:
     """Rows no older than an age; now: one row with that column."""
     return rows.crossJoin(F.broadcast(now)).where(F.col(time) >= F.col("now") - age).drop("now")
+
+
+def importable(records: Column, size: Column, least: int = 20, most: int = 200_000, most_bytes: int = 64 << 20) -> Column:
+    """May a file be imported: enough records, not too many, not too large."""
+    return F.coalesce(records.between(least, most) & (size <= most_bytes), F.lit(False))
+
+
+def stride_within(df: DataFrame, key: str, order: str, n: int, low: int = 240, high: int = 5000) -> DataFrame:
+    """Every k-th row of a key's series, so that about n rows are left; n is held between two bounds."""
+    w = Window.partitionBy(key)
+    step = F.greatest(F.floor(F.count("*").over(w) / min(max(n, low), high)), F.lit(1))
+    return df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_step", step).where(F.col("_i") % F.col("_step") == 0).drop("_i", "_step")

@@ -42,7 +42,7 @@ def metrics(points: DataFrame, key: str = "ride_id", time: str = "t", max_hr: fl
     tables = [
         A.normalized_power(points, key, time, "watts_est"),
         A.trimp(points, key, time, "hr", max_hr),
-        A.calories(points, key, time, "hr", "watts_est").select(key, "method", "kcal"),
+        A.calories(points, key, time, "hr", "watts_est", "watts_lo", "watts_hi").select(key, "method", "kcal"),
         A.elevation_gain(points, key, "along", "elev_smooth"),
         I.vam(points, key, "idx", time, "grade", "elev_smooth", C.climb),
         W.best_window(points, key, time, "watts_est", 300.0, "best_5m"),

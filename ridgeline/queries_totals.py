@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from .catalog import query, r6
 from .functions.physio import hr_zones, vo2max
 from .operators import aggregates as A
-
 from .operators import islands as I
+from .operators.frames import ordered
 from .plans.views import RIDES_SQL, points, rides
 from .queries_time import BY, INTEGRAL, P, _runs
 from .schemas import C
@@ -79,10 +79,21 @@ def hr_energy(spark, sf_dir):
     return A.hr_energy(points(spark, sf_dir), "ride_id", "t", "hr").select("ride_id", r6("hr_kcal"), r6("covered_s"), r6("span_s"))
 
 
-@query(P + WORK + ENERGY + """, b AS (SELECT *, work_kj / 4.184E0 w, coalesce(covered_s / nullif(span_s, 0) >= 0.5, false) AND hr_kcal IS NOT NULL by_hr FROM e JOIN k USING (ride_id))
-SELECT ride_id, CASE WHEN by_hr THEN 'hr' ELSE 'power' END "method", round(CASE WHEN by_hr THEN hr_kcal ELSE w / 0.239E0 END, 6) kcal, round(CASE WHEN by_hr THEN hr_kcal * 0.85E0 ELSE w / 0.25E0 END, 6) lo, round(CASE WHEN by_hr THEN hr_kcal * 1.15E0 ELSE w / 0.2E0 END, 6) hi FROM b""")
+_BELOW, _ABOVE = ((C.hr_energy_share_unknown**2 + ((e - C.gross_efficiency) / C.gross_efficiency) ** 2) ** 0.5 for e in C.efficiency_range)
+
+
+@query(P + WORK + ENERGY + f""", v AS (SELECT ride_id, sum(CASE WHEN mode = 'static' THEN 0.0E0 ELSE dt END) moving_s FROM (SELECT *, coalesce(t - lag(t) OVER ({BY} t), 0.0E0) dt FROM p) GROUP BY ride_id),
+c AS (SELECT *, CASE WHEN moving_s > 0 THEN covered_s / nullif(moving_s, 0) ELSE 0.0E0 END cover, work_kj / 4.184E0 / 0.239E0 w FROM e JOIN k USING (ride_id) JOIN v USING (ride_id)), b AS (SELECT *, coalesce(hr_kcal > 0 AND cover >= 0.5, false) by_hr FROM c),
+h AS (SELECT *, CASE WHEN by_hr AND moving_s > 0 THEN hr_kcal * 4.184E0 * 0.239E0 * 1000 / nullif(moving_s, 0) END hw FROM b)
+SELECT ride_id, CASE WHEN by_hr THEN 'hr' ELSE 'power' END "method", round(CASE WHEN by_hr THEN hr_kcal ELSE w END, 6) kcal, round(CASE WHEN by_hr THEN hr_kcal * 0.78E0 ELSE w * 0.8E0 END, 6) lo, round(CASE WHEN by_hr THEN hr_kcal * 1.22E0 ELSE w * 1.3E0 END, 6) hi,
+round(CASE WHEN hr_kcal > 0 THEN hr_kcal END, 6) hr_kcal, round(cover, 6) hr_coverage, round(hw, 6) hr_watts, round(hw * (1 - {_BELOW!r}::DOUBLE), 6) hr_watts_lo, round(hw * (1 + {_ABOVE!r}::DOUBLE), 6) hr_watts_hi, round(w, 6) power_kcal FROM h""")
 def calories(spark, sf_dir):
-    return A.calories(points(spark, sf_dir), "ride_id", "t", "hr", "watts").select("ride_id", "method", r6("kcal"), r6("lo"), r6("hi"))
+    """For a rider of unknown sex, with a power band and the time without standing."""
+    p = points(spark, sf_dir).withColumn("low", F.col("watts") * 0.8).withColumn("high", F.col("watts") * 1.3)
+    step = F.when(F.col("mode") == "static", F.lit(0.0)).otherwise(F.coalesce(F.col("t") - F.lag("t").over(ordered("ride_id", "t")), F.lit(0.0)))
+    moving = p.withColumn("_s", step).groupBy("ride_id").agg(F.sum("_s").alias("moving_s"))
+    found = A.calories(p, "ride_id", "t", "hr", "watts", "low", "high", moving, sex=None)
+    return found.select("ride_id", "method", *map(r6, ("kcal", "lo", "hi", "hr_kcal", "hr_coverage", "hr_watts", "hr_watts_lo", "hr_watts_hi", "power_kcal")))
 
 
 @query(P + """, g AS (SELECT ride_id, least(CAST(floor((least(greatest(watts / 1000 - 0.2E0, -0.2E0), 0.2E0) + 0.2E0) / 0.02E0) AS INTEGER), 19) bin FROM p)

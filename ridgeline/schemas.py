@@ -46,6 +46,11 @@ class Constants:
     ctl_days: float = 42.0
     atl_days: float = 7.0
     kj_per_kcal: float = 4.184
+    gross_efficiency: float = 0.239
+    efficiency_range: tuple[float, float] = (0.20, 0.25)
+    hr_energy_share: float = 0.15
+    hr_energy_share_unknown: float = 0.22
+    hr_coverage: float = 0.5
     hr_grid: tuple[int, ...] = (130, 140, 150, 160)
     curve_minutes: tuple[int, ...] = (1, 2, 5, 10, 20, 30, 60)
     # cardiac drift
