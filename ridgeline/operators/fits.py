@@ -17,14 +17,27 @@ from ..schemas import C
 CRR_BOX, CDA_BOX, MAX_WIND = (0.001, 0.012, 1e6), (0.15, 0.6, 1e4), 20.0
 
 
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares; two columns by their scaled normal equations, unless those are close to singular."""
+    if a.shape[1] == 2:
+        size = np.sqrt((a * a).sum(0))
+        if size.all():
+            u = a / size
+            mixed = float(u[:, 0] @ u[:, 1])
+            left, det = u.T @ b, 1 - mixed * mixed
+            if det > 1e-8:
+                return np.array([left[0] - mixed * left[1], left[1] - mixed * left[0]]) / det / size
+    return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
 def robust_lines(a: np.ndarray, b: np.ndarray, rounds: int = 6) -> np.ndarray:
     """Least squares, then so many rounds with rows reweighted by their residual over the median size of all."""
-    x = np.linalg.lstsq(a, b, rcond=None)[0]
+    x = solved(a, b)
     for _ in range(rounds):
         r = b - a @ x
         scale = max(1.4826 * float(np.median(np.abs(r))), 1e-9)
         weight = 1 / np.sqrt(np.maximum(1.0, (r / scale) ** 2))
-        x = np.linalg.lstsq(a * weight[:, None], b * weight, rcond=None)[0]
+        x = solved(a * weight[:, None], b * weight)
     return x
 
 
@@ -113,10 +126,11 @@ def loop_calibration(steps: DataFrame, key: str = "ride_id", mass: float = 86.0,
     """Rolling resistance, drag area and wind of each ride from its coasting segments.
 
     steps: key, segment, dt, v, heading (radians), dv2 (change of speed squared), rise. Over a segment the lost energy is
-    rolling plus drag against the air speed; for a wind, those two follow by robust least squares, and the simplex finds the wind.
-    Rides with fewer segments, or with all headings in half a circle, give no row."""
-    columns = [key, "crr", "cda", "wind", "wind_dir", "r2", "n_segments"]
-    schema = f"{key} bigint, crr double, cda double, wind double, wind_dir double, r2 double, n_segments int"
+    rolling plus drag against the air speed; for a wind, those two follow by robust least squares, and the simplex finds the wind. The deviations of the
+    two come from the residuals and the linear system at the optimum.
+    Rides with fewer segments, or with all headings in half a circle, give no row; ``without_wind`` fits the latter."""
+    columns = [key, "crr", "cda", "wind", "wind_dir", "r2", "n_segments", "crr_sigma", "cda_sigma"]
+    schema = f"{key} bigint, crr double, cda double, wind double, wind_dir double, r2 double, n_segments int, crr_sigma double, cda_sigma double"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({c: [] for c in columns})
@@ -143,17 +157,56 @@ def loop_calibration(steps: DataFrame, key: str = "ride_id", mass: float = 86.0,
             return float(((lost - a @ x) ** 2).mean()) / max(float((lost**2).mean()), 1e-9) + outside + max(0.0, float(np.hypot(*wind)) - MAX_WIND) ** 2
 
         seeds = [np.zeros(2)] + [3 * np.array([math.cos(k * math.pi / 3), math.sin(k * math.pi / 3)]) for k in range(6)]
-        wind, _ = min((simplex(cost, s) for s in seeds), key=lambda r: r[1])
+        wind, least_cost = np.zeros(2), math.inf
+        for s in seeds:
+            found, value = simplex(cost, s)
+            if value < least_cost:
+                wind, least_cost = found, value
+            if value < 1e-9:  # of the energies' mean square: nothing is left to explain
+                break
         a, x = system(wind)
         total = float(((lost - lost.mean()) ** 2).sum())
         r2 = 1 - float(((lost - a @ x) ** 2).sum()) / total if total else 0.0
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "crr": [x[0]], "cda": [x[1]], "wind": [float(np.hypot(*wind))], "wind_dir": [float(np.degrees(np.arctan2(wind[1], wind[0])) % 360)], "r2": [r2], "n_segments": [len(names)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "crr": [x[0]], "cda": [x[1]], "wind": [float(np.hypot(*wind))], "wind_dir": [float(np.degrees(np.arctan2(wind[1], wind[0])) % 360)], "r2": [r2], "n_segments": [len(names)], **_deviations(a, lost - a @ x, len(names) - 4)})
 
     return steps.groupBy(key).applyInPandas(fit, schema)
 
 
+def _deviations(a: np.ndarray, left: np.ndarray, freedom: int) -> dict[str, list[float]]:
+    cov = np.linalg.pinv(a.T @ a) * float((left**2).sum()) / max(1, freedom)
+    return {f"{n}_sigma": [float(np.sqrt(max(cov[k, k], 0.0)))] for k, n in enumerate(("crr", "cda"))}
+
+
+def without_wind(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho: float = 1.225, least: int = 2) -> DataFrame:
+    """The plain fit of both constants where a ride's headings can't tell its wind: key, crr, cda, r2, n_segments; all sums are Spark's."""
+    sums = steps.groupBy(key, "segment").agg(
+        F.sum(mass * C.gravity * F.col("v") * F.col("dt")).alias("a"), F.sum(0.5 * rho * F.pow("v", F.lit(3.0)) * F.col("dt")).alias("b"), F.sum(-0.5 * mass * F.col("dv2") - mass * C.gravity * F.col("rise")).alias("y")
+    )
+    products = [F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "a"), ("a", "b"), ("b", "b"), ("a", "y"), ("b", "y"), ("y", "y"))]
+    s = sums.groupBy(key).agg(*products, F.sum("y").alias("sy"), F.count("*").cast("int").alias("n_segments")).where(F.col("n_segments") >= least)
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    s = s.withColumn("_det", F.when(F.abs(det) > 1e-9, det)).where("_det IS NOT NULL")
+    s = s.withColumn("crr", (F.col("ay") * F.col("bb") - F.col("by") * F.col("ab")) / F.col("_det")).withColumn("cda", (F.col("by") * F.col("aa") - F.col("ay") * F.col("ab")) / F.col("_det"))
+    left, total = F.col("yy") - F.col("crr") * F.col("ay") - F.col("cda") * F.col("by"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("n_segments")
+    return s.select(key, "crr", "cda", (1 - left / F.when(total > 0, total)).alias("r2"), "n_segments")
+
+
+def loop_or_plain(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho: float = 1.225) -> DataFrame:
+    """Each ride's fit with its wind, if that is within the plausible limits, else without: also recovered (is the wind its own)."""
+    inside = F.col("crr").between(*CRR_BOX[:2]) & F.col("cda").between(*CDA_BOX[:2]) & (F.col("wind") <= MAX_WIND)
+    own = stored(loop_calibration(steps, key, mass, rho).where(inside).withColumn("recovered", F.lit(True)), "fit-loops")
+    plain = without_wind(steps, key, mass, rho).join(own.select(key), key, "left_anti").withColumn("recovered", F.lit(False))
+    return own.unionByName(plain, allowMissingColumns=True)
+
+
 def pooled_calibration(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho: float = 1.225, rounds: int = 4) -> dict[str, float]:
-    """One rolling resistance and drag area for all rides, each ride with its own wind.
+    """``pooled_fits`` without the rides' winds."""
+    return pooled_fits(steps, key, mass, rho, rounds)[0]
+
+
+def pooled_fits(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho: float = 1.225, rounds: int = 4) -> tuple[dict[str, float], DataFrame]:
+    """One rolling resistance and drag area for all rides, each ride with its own wind: the two with their deviations, r2 and numbers of rides and segments,
+    and the table of winds (key, dir in radians, wind). Nothing comes of fewer than two rides or three segments.
 
     Spark sums the normal equations over every ride's segments with that ride's wind; the driver solves two unknowns, and the
     winds are then fitted again, ride by ride, with the two held."""
@@ -167,15 +220,18 @@ def pooled_calibration(steps: DataFrame, key: str = "ride_id", mass: float = 86.
         across = F.col("wind") * F.sin(F.col("dir") - F.col("heading"))
         drag = 0.5 * rho * F.sqrt(along * along + across * across) * along * F.col("v") * F.col("dt")
         seg = at.groupBy(key, "segment").agg(F.sum(mass * C.gravity * F.col("v") * F.col("dt")).alias("a"), F.sum(drag).alias("b"), F.sum(-0.5 * mass * F.col("dv2") - mass * C.gravity * F.col("rise")).alias("y"))
-        s = seg.agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "a"), ("a", "b"), ("b", "b"), ("a", "y"), ("b", "y"))], F.count("*").alias("n")).first()
-        if not s["n"]:
-            return {}
+        s = seg.agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "a"), ("a", "b"), ("b", "b"), ("a", "y"), ("b", "y"))], F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum("y").alias("sy"), F.count("*").alias("n"), F.count_distinct(key).alias("rides")).first()
+        if s["rides"] < 2 or s["n"] < 3:
+            return {}, winds
         det = s["aa"] * s["bb"] - s["ab"] ** 2
         if abs(det) < 1e-9:
-            return {}
-        answer = {"crr": (s["ay"] * s["bb"] - s["by"] * s["ab"]) / det, "cda": (s["by"] * s["aa"] - s["ay"] * s["ab"]) / det, "n_segments": s["n"]}
+            return {}, winds
+        answer = {"crr": (s["ay"] * s["bb"] - s["by"] * s["ab"]) / det, "cda": (s["by"] * s["aa"] - s["ay"] * s["ab"]) / det, "n_segments": s["n"], "n_rides": s["rides"]}
+        left = max(s["yy"] - answer["crr"] * s["ay"] - answer["cda"] * s["by"], 0.0)
+        total, spread = s["yy"] - s["sy"] ** 2 / s["n"], left / max(1, s["n"] - 2 - 2 * s["rides"])
+        answer |= {"r2": 1 - left / total if total > 0 else 0.0, "crr_sigma": math.sqrt(max(spread * s["bb"] / det, 0.0)), "cda_sigma": math.sqrt(max(spread * s["aa"] / det, 0.0))}
         winds = _winds(steps, key, mass, rho, answer["crr"], answer["cda"])
-    return answer
+    return answer, stored(winds, "fit-winds")
 
 
 def _winds(steps: DataFrame, key: str, mass: float, rho: float, crr: float, cda: float) -> DataFrame:

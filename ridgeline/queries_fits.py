@@ -54,6 +54,42 @@ def pooled_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "crr double, cda double, n_segments bigint")
 
 
+def _known_steps(spark, sf_dir):
+    """Coasting steps of rides whose constants and winds are known: every ride of the view, its segments of twelve samples in different directions, with
+    the descent that the energy balance asks for."""
+    w = Window.partitionBy("ride_id").orderBy("idx")
+    p = points(spark, sf_dir).select("ride_id", "idx", F.floor(F.col("idx") / 12).alias("segment"), (9.0 + 3.0 * F.sin(F.col("idx") / 3.0 + F.col("ride_id"))).alias("a"))
+    p = p.withColumn("b", F.lead("a").over(w)).withColumn("same", F.lead("segment").over(w) == F.col("segment")).where("same")
+    heading, v, dv2 = F.col("segment") * 2.4, (F.col("a") + F.col("b")) / 2, F.col("b") * F.col("b") - F.col("a") * F.col("a")
+    wind, to = 1.0 + F.col("ride_id") % 4, F.radians(F.lit(10.0) + (F.col("ride_id") * 37) % 340)
+    along, across = v + wind * F.cos(heading - to), wind * F.sin(to - heading)
+    lost = _CRR * 86.0 * 9.80665 * v + _CDA * 0.5 * 1.225 * F.sqrt(along * along + across * across) * along * v
+    return p.select("ride_id", "segment", F.lit(1.0).alias("dt"), v.alias("v"), heading.cast("double").alias("heading"), dv2.alias("dv2"), (-(0.5 * 86.0 * dv2 + lost) / (86.0 * 9.80665)).alias("rise"))
+
+
+_CRR, _CDA = 0.005, 0.32
+_KNOWN = P + ", s AS (SELECT ride_id FROM (SELECT ride_id, idx // 12 g, count(*) n FROM p GROUP BY ALL HAVING count(*) > 1) GROUP BY ride_id HAVING count(*) >= 5) SELECT ride_id, 0.005E0 crr, 0.32E0 cda, CAST(1 + ride_id % 4 AS DOUBLE) wind, CAST(10 + (ride_id * 37) % 340 AS DOUBLE) wind_dir"
+
+
+@query(_KNOWN + ", true recovered FROM s")
+def loop_fit_known(spark, sf_dir):
+    """Rides of five segments or more: four unknowns are found again."""
+    steps = storage.stored(_known_steps(spark, sf_dir), "fit-steps")
+    found = fits.loop_or_plain(steps).where("n_segments >= 5")
+    return found.select("ride_id", F.round("crr", 4).alias("crr"), F.round("cda", 2).alias("cda"), F.round("wind", 1).alias("wind"), F.round("wind_dir", 0).alias("wind_dir"), "recovered")
+
+
+@query(_KNOWN + ", true AS ok FROM s")
+def pooled_fit_known(spark, sf_dir):
+    """One row for each ride of the pool, with the shared constants and its own wind."""
+    steps = storage.stored(_known_steps(spark, sf_dir), "fit-steps")
+    many = steps.groupBy("ride_id").agg(F.count_distinct("segment").alias("n")).where("n >= 5")
+    found, winds = fits.pooled_fits(steps.join(many.select("ride_id"), "ride_id", "left_semi"))
+    constants = [F.lit(found.get(k)).cast("double") for k in ("crr", "cda")]
+    fine = F.lit(bool(found) and found["n_rides"] >= 2 and found["r2"] > 0.6 and found["crr_sigma"] < 1e-4)
+    return winds.select("ride_id", F.round(constants[0], 4).alias("crr"), F.round(constants[1], 2).alias("cda"), F.round("wind", 1).alias("wind"), F.round((F.degrees("dir") + 360) % 360, 0).alias("wind_dir"), fine.alias("ok"))
+
+
 @query()
 def fit_classifier(spark, sf_dir):
     rows = points(spark, sf_dir).where("hr IS NOT NULL").select((F.col("hr") / 180 - 0.7).alias("a"), (F.col("watts") / 1000).alias("b"), (F.col("mode") == "coast").cast("int").alias("y"))
