@@ -87,6 +87,19 @@ def nearest_segment(points: DataFrame, segments: DataFrame, point_id: list[str],
     return points.join(best, point_id, "left").select(*points.columns, F.col("_b.seg").alias("seg"), F.col("_b._d").alias("metres"))
 
 
+def match_ratio(matched: DataFrame, key: str, metres: str) -> DataFrame:
+    """The share of each key's points that a segment was found for, and their number: key, ratio, snapped."""
+    return matched.groupBy(key).agg(F.avg(F.col(metres).isNotNull().cast("double")).alias("ratio"), F.count(metres).alias("snapped"))
+
+
+def with_late(rows: DataFrame, old: DataFrame, new: DataFrame, key: str, value: str, to: str) -> DataFrame:
+    """Rows with reference data that may arrive after them: the later delivery's value where it has one, else the earlier one's; also late, whether it
+    came with the later delivery, so that what rests on it is to be computed again."""
+    first, later = (d.groupBy(key).agg(F.last(value, True).alias(n)) for d, n in ((old, "_old"), (new, "_new")))
+    both = rows.join(first, key, "left").join(later, key, "left")
+    return both.withColumn(to, F.coalesce("_new", "_old")).withColumn("late", F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))).drop("_old", "_new")
+
+
 def segments_around(points: DataFrame, segments: DataFrame, lat: str, lon: str, south: float, west: float) -> DataFrame:
     """All pairs of a point and a segment(seg, lat1, lon1, lat2, lon2) whose start is under ``south`` and ``west`` degrees away from it.
     Segments are dealt to the grid cells (of that size) around their start, points to their own cell."""

@@ -63,6 +63,11 @@ def upserted(old: DataFrame, new: DataFrame, key: str | list[str], version: str)
     return first_in(old.unionByName(new), key, F.col(version).desc())
 
 
+def unpivoted(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """A row for each key and column: key, metric, value."""
+    return df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_x")).select(key, "_x.*")
+
+
 def merged_axis(*series: DataFrame) -> DataFrame:
     """The distinct x values of several series."""
     every = series[0].select("x")

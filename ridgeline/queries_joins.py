@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import query, r6
+from .functions import checks
 from .functions import geo as G
 from .functions import physio as H
 from .operators import folds, joins as J, selection as S
@@ -105,6 +106,12 @@ def nn_segment_30m(spark, sf_dir):
     return found.select("ride_id", "idx", F.round("metres", 5).alias("metres"))
 
 
+@query(P + _ROADS + _SEGMENT + ", b AS (SELECT ride_id, idx, min(metres) metres FROM m WHERE metres <= 30 GROUP BY ALL) SELECT ride_id, round(avg(CASE WHEN b.metres IS NULL THEN 0.0E0 ELSE 1.0E0 END), 6) ratio, count(b.metres) snapped FROM p LEFT JOIN b USING (ride_id, idx) GROUP BY ride_id")
+def map_match_ratio(spark, sf_dir):
+    found = J.nearest_segment(points(spark, sf_dir).select("ride_id", "idx", "lat", "lon"), _roads(spark, sf_dir), ["ride_id", "idx"], "lat", "lon")
+    return J.match_ratio(found, "ride_id", "metres").select("ride_id", r6("ratio"), "snapped")
+
+
 @query(P + ", b AS (SELECT ride_id, min(lat) south, min(lon) west, max(lat) north, max(lon) east FROM p GROUP BY ride_id) SELECT a.ride_id a, b.ride_id b FROM b a JOIN b ON a.ride_id < b.ride_id AND a.south - 0.001 <= b.north + 0.001 AND b.south - 0.001 <= a.north + 0.001 AND a.west - 0.001 <= b.east + 0.001 AND b.west - 0.001 <= a.east + 0.001")
 def bbox_overlap_pairs(spark, sf_dir):
     boxes = points(spark, sf_dir).groupBy("ride_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
@@ -295,26 +302,23 @@ def alt_encode_decode(spark, sf_dir):
 
 @query("SELECT page_id, left(regexp_replace(trim(regexp_replace(regexp_replace(url, '.*[/\\\\]', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '.'), '^$', 'upload'), 120) AS name FROM pages")
 def sanitize_name(spark, sf_dir):
-    base = F.regexp_replace("url", r".*[/\\]", "")
-    clean = F.regexp_replace(F.trim(F.regexp_replace(base, "[^A-Za-z0-9._-]+", "_"), F.lit(".")), "^$", "upload")
-    return _table(spark, sf_dir, "pages").select("page_id", F.substring(clean, 1, 120).alias("name"))
+    return _table(spark, sf_dir, "pages").select("page_id", checks.file_name("url").alias("name"))
 
 
 @query("SELECT event_id, CAST(hour(ts + INTERVAL 1 HOUR) AS INTEGER) local_hour, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d') local_day FROM events")
 def local_hour_pick(spark, sf_dir):
-    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "+01:00")
+    local = checks.local_time("ts", "+01:00")
     return _table(spark, sf_dir, "events").select("event_id", F.hour(local).alias("local_hour"), F.date_format(local, "yyyy-MM-dd").alias("local_day"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events")
 def nested_property(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return _table(spark, sf_dir, "events").select("event_id", checks.first_of("props", ["$.k"]).cast("long").alias("k"))
 
 
 @query(R + "SELECT ride_id, unnest(['trimp', 'distance_m']) metric, round(unnest([trimp, distance_m]), 6) \"value\" FROM r")
 def unpivot_curve(spark, sf_dir):
-    series = F.explode(F.create_map(F.lit("trimp"), F.col("trimp"), F.lit("distance_m"), F.col("distance_m"))).alias("metric", "value")
-    return rides(spark, sf_dir).select("ride_id", series).select("ride_id", "metric", r6("value"))
+    return S.unpivoted(rides(spark, sf_dir), "ride_id", ["trimp", "distance_m"]).select("ride_id", "metric", r6("value"))
 
 
 @query(R + "SELECT route_id, count(*) FILTER (filename LIKE '1%') urgent, count(*) FILTER (filename LIKE '2%') high, count(*) FILTER (filename LIKE '5%') low FROM r GROUP BY route_id")

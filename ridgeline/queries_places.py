@@ -103,6 +103,22 @@ def rides_with_weather(spark, sf_dir):
     return r.join(e, F.floor("day") == F.col("d") - 10000, "left").select("ride_id", r6("wind"))
 
 
+@query(R + ", o AS (SELECT route_id, max(trimp) v FROM r WHERE has_hr AND route_id % 3 > 0 GROUP BY route_id), n AS (SELECT route_id, max(trimp) v FROM r WHERE NOT has_hr GROUP BY route_id) SELECT ride_id, round(coalesce(n.v, o.v), 6) wind, n.v IS NOT NULL AND n.v IS DISTINCT FROM o.v late FROM r LEFT JOIN o USING (route_id) LEFT JOIN n USING (route_id)")
+def late_weather(spark, sf_dir):
+    """Reference values of which some come with a later delivery."""
+    r = rides(spark, sf_dir)
+    best = lambda d: d.groupBy("route_id").agg(F.max("trimp").alias("v"))
+    return J.with_late(r.select("ride_id", "route_id"), best(r.where("has_hr AND route_id % 3 > 0")), best(r.where("NOT has_hr")), "route_id", "v", "wind").select("ride_id", r6("wind"), "late")
+
+
+@query("SELECT event_id, round(\"value\", 6) plain, CAST(json_extract_string(doc, '$.calories.kcal') AS DOUBLE) kcal, user_id FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE json_object('calories', json_object('kcal', user_id * 2)) END doc FROM events)")
+def ride_summaries(spark, sf_dir):
+    """A list's rows: the plain columns, and the headline out of the nested document, where there is one."""
+    e = _table(spark, sf_dir, "events")
+    doc = F.when(F.col("event_id") % 5 != 0, F.to_json(F.struct(F.struct((F.col("user_id") * 2).alias("kcal")).alias("calories"))))
+    return e.select("event_id", r6("value", "plain"), checks.first_of(doc, ["$.calories.kcal"]).alias("kcal"), "user_id")
+
+
 # --- stored rides
 
 @query(P + " SELECT ride_id, idx, round(CASE WHEN ride_id % 3 = 0 THEN watts * 2 + 1 ELSE watts END, 6) watts FROM p")

@@ -26,8 +26,13 @@ def without_repeats(stream: DataFrame, time: str = "modificationTime", key: str
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def import_batches(files: DataFrame, table: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None):
-    """Start the import: decode each batch's files that the table does not have yet, append their records, then do what follows
+def few_enough(rides: DataFrame, most: int = 50) -> bool:
+    """May a heavy fit over all rides follow by itself: only in a library of up to so many rides, of which no more are looked at."""
+    return rides.limit(most + 1).count() <= most
+
+
+def import_batches(files: DataFrame, table: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, quiet: str | None = None):
+    """Start the import (of what there is; with ``quiet``, such as "1500 milliseconds", again and again, what arrives within it as one batch): decode each batch's files that the table does not have yet, append their records, then do what follows
     (one batch at a time, so heavy fits never overlap). A batch that is retried writes the same partition again."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -44,7 +49,7 @@ def import_batches(files: DataFrame, table: str, checkpoint: str, then: Callable
         if then:
             then(rows, number)
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**({"processingTime": quiet} if quiet else {"availableNow": True})).start()
 
 
 def sessions(events: DataFrame, key: str, time: str, value: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

@@ -10,6 +10,7 @@ from ridgeline.functions import checks
 from ridgeline.operators import aggregates, efforts, fits, folds, joins, routes
 from ridgeline.plans import storage
 from ridgeline.sources import activity
+from ridgeline.streaming import imports
 
 SAMPLES = "ride_id long, idx long, t double, speed double, watts double, hr double, mode string"
 
@@ -176,3 +177,21 @@ def test_checks_of_odd_values(spark):
     names = spark.createDataFrame([("../..",), ("a b.fit",), ("c:\\x\\...",)], "p string")
     assert [r[0] for r in names.select(checks.file_name("p")).collect()] == ["upload", "a_b.fit", "upload"]
     assert [r[0] for r in spark.createDataFrame([(59.6,), (3600.0,), (7.0,)], "s double").select(checks.duration_text("s")).collect()] == ["1:00", "1:00:00", "0:07"]
+
+
+def test_heavy_fits_only_in_small_libraries(spark):
+    assert imports.few_enough(spark.range(50)) and not imports.few_enough(spark.range(51))
+
+
+def test_import_in_quiet_intervals(spark, tmp_path):
+    drop, table = tmp_path / "drop", str(tmp_path / "table")
+    drop.mkdir()
+    for n in range(3):
+        (drop / f"{n}.fit").write_bytes(activity.encode([{253: 100 + 50 * n + k, 0: 10**8, 1: 10**8} for k in range(25)], activity.ALTITUDE_FIELDS))
+    batches = []
+    stream = imports.import_batches(imports.without_repeats(imports.arriving_files(spark, str(drop))), table, str(tmp_path / "log"), lambda rows, n: batches.append(n), quiet="500 milliseconds")
+    try:
+        stream.processAllAvailable()
+        assert spark.read.parquet(table).count() == 75 and len(batches) == 1
+    finally:
+        stream.stop()
