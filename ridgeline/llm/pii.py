@@ -2,7 +2,7 @@
 
 Base spans are regular-expression matches on the text itself. Then transducers rewrite the text: lookalike and full-width
 characters to ASCII, invisible ones to nothing, "(at)", "[dot]" and "name at host dot org" to signs, runs of spelled digits to
-digits. Each keeps, for every character it writes, the source characters it came from, so that a match on the rewritten text
+digits, numbers joined by "dot" to addresses. Each keeps, for every character it writes, the source characters it came from, so that a match on the rewritten text
 maps back. Matches there are added unless a base span of the same kind holds them, so spans may overlap; base spans stay as they are.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; spans that start together are in the
@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -57,7 +58,7 @@ def find(text: str) -> list[Span]:
     """The base spans of a text."""
     spans = list(_emails(text)) if "@" in text else []
     if _DIGIT.search(text):
-        spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if 12 <= len(digits := re.sub("[^0-9]", "", m[0])) <= 19 and _luhn(digits):
                 spans.append((m.start(), 2, m.end()))
@@ -80,7 +81,7 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 
 @lru_cache(maxsize=1)
-def _table() -> tuple[dict[str, str], re.Pattern]:
+def _table() -> dict[str, str]:
     """Characters to rewrite: lookalikes, and all whose compatibility form is one ASCII letter, digit or sign."""
     table = dict(LOOKALIKES) | {c: "" for c in INVISIBLE}
     for i in [*range(0x2000, 0x2500), *range(0x660, 0x66A), *range(0x6F0, 0x6FA), *range(0x966, 0x970), *range(0xFE50, 0xFE70), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]:
@@ -90,17 +91,23 @@ def _table() -> tuple[dict[str, str], re.Pattern]:
             to = str(unicodedata.decimal(c))
         if c not in table and len(to) == 1 and " " < to < "\x7f":
             table[c] = to
-    return table, re.compile("[" + "".join(map(re.escape, table)) + "]")
+    return table
+
+
+@lru_cache(maxsize=256)
+def _any_of(chars: str) -> re.Pattern:
+    return re.compile("[" + re.escape(chars) + "]")
 
 
 #: Top-level domains that a domain in words must end in.
 TOP = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|co|ai|me|tv|uk|de|fr|es|it|nl|be|ch|pt|pl|se|no|dk|fi|ie|eu|us|ca|mx|br|ar|au|nz|jp|cn|in|kr|ru|za"
 _WORD = "(?:" + "|".join(SPELLED) + ")"
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ -]+)?{_WORD}(?:[ -]+{_WORD}){{3,}}(?![A-Za-z])", re.I)
-_SIGN = re.compile(r"[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
+_SIGN = re.compile(r"[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>]", re.I)  # and the blanks around it
 _SAID = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{TOP})(?![A-Za-z])", re.I)
 _HALF_SAID = re.compile(rf"@[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{TOP})(?![A-Za-z])", re.I)
-_PAUSE = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
+_SAID_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:[ \t]+dot[ \t]+|\.)[0-9]{1,3}){3}(?![0-9])", re.I)
+_PAUSE = re.compile(r"(?<![ \t])[ \t]+(at|dot)[ \t]+", re.I)
 #: Letters that a pattern without regard to case takes for "i" and "s", besides those that lower() gives.
 _FOLDS = str.maketrans("ıſ", "is", "\u0307")
 
@@ -111,15 +118,14 @@ class Tape:
     def __init__(self, text: str):
         self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
 
-    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str]) -> Tape:
-        """Replace each match; every character of a replacement comes from the whole match."""
+    def rewrite(self, pieces: Iterable[tuple[int, int, str]]) -> Tape:
+        """Put each (start, end, new) in place, in ascending order; every character of new comes from the whole of what it replaces."""
         parts, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            parts += [self.text[at : m.start()], new]
-            starts += [*self.starts[at : m.start()], *[self.starts[m.start()]] * len(new)]
-            ends += [*self.ends[at : m.start()], *[self.ends[m.end() - 1]] * len(new)]
-            at = m.end()
+        for begin, end, new in pieces:
+            parts += [self.text[at:begin], new]
+            starts += [*self.starts[at:begin], *[self.starts[begin]] * len(new)]
+            ends += [*self.ends[at:begin], *[self.ends[end - 1]] * len(new)]
+            at = end
         if at:
             self.text = "".join(parts) + self.text[at:]
             self.starts, self.ends = starts + [*self.starts[at:]], ends + [*self.ends[at:]]
@@ -129,39 +135,52 @@ class Tape:
         return self.starts[start], self.ends[end - 1]
 
 
-def _digits(m: re.Match) -> str:
-    words = re.split("[ -]+", m[0].lower().translate(_FOLDS))
-    return "".join("+" if w == "plus" else SPELLED[w] for w in words)
+def _digits(words: str) -> str:
+    return "".join("+" if w == "plus" else SPELLED[w] for w in re.split("[ -]+", words.lower().translate(_FOLDS)))
+
+
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Signs in brackets, each with the blanks around it."""
+    done = 0
+    for m in _SIGN.finditer(text):
+        start, end = m.span()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        done = end
+        yield start, end, _sign(m[1])
+
+
+def _sign(word: str) -> str:
+    return {"at": "@", "dot": "."}.get(word.lower(), word)
+
+
+def _said(text: str, pattern: re.Pattern) -> list[tuple[int, int, str]]:
+    """The "at" and "dot" within the matches of a pattern, with the blanks around them."""
+    return [(m.start() + p.start(), m.start() + p.end(), _sign(p[1])) for m in pattern.finditer(text) for p in _PAUSE.finditer(m[0])]
 
 
 def reveal(text: str) -> Tape:
     """The text after all transducers."""
-    table, odd = _table()
     tape = Tape(text)
-    if not text.isascii():
-        tape.rewrite(odd, lambda m: table[m[0]])
+    if not text.isascii() and (odd := _table().keys() & set(text)):
+        table = _table()
+        tape.rewrite([(m.start(), m.end(), table[m[0]]) for m in _any_of("".join(sorted(odd))).finditer(text)])
     # each test holds wherever its pattern matches
     low = tape.text.lower()
     if any(b in low for b in "[({<"):
-        tape.rewrite(_SIGN, lambda m: {"at": "@", "dot": "."}.get(m[1].lower(), m[1]))
+        tape.rewrite(_bracketed(tape.text))
     if "dot" in low:
-        for pattern in (_SAID, _HALF_SAID):
-            spots = [(p.start() + m.start(), p.end() + m.start()) for m in pattern.finditer(tape.text) for p in _PAUSE.finditer(m[0])]
-            if spots:
-                tape = _signs(tape, spots)
+        for pattern in (_SAID, _HALF_SAID, _SAID_IP):
+            tape.rewrite(_said(tape.text, pattern))
     if "ı" in low or "ſ" in low or "\u0307" in low:
         low = low.translate(_FOLDS)
     if sum(low.count(w + " ") + low.count(w + "-") for w in SPELLED) >= 3:
-        tape.rewrite(_SPELLED, _digits)
+        tape.rewrite([(m.start(), m.end(), _digits(m[0])) for m in _SPELLED.finditer(tape.text)])
     return tape
 
 
-def _signs(tape: Tape, spots: list[tuple[int, int]]) -> Tape:
-    """Write the sign for each said "at" or "dot"."""
-    chosen = dict(spots)
-    return tape.rewrite(_PAUSE, lambda m: {"at": "@", "dot": "."}[m[1].lower()] if chosen.get(m.start()) == m.end() else m[0])
-
-
 def find_all(text: str, base: list[Span] | None = None) -> list[Span]:
     """Base spans and those that the transducers reveal."""
     base = find(text) if base is None else base
@@ -169,9 +188,11 @@ def find_all(text: str, base: list[Span] | None = None) -> list[Span]:
     if tape.text == text:
         return base
     spans = set(base)
+    known = [[s for s in base if s[1] == kind] for kind in range(len(KINDS))]  # of one kind, they don't overlap
     for start, kind, end in find(tape.text):
         a, b = tape.source(start, end)
-        if not any(k == kind and s <= a and b <= e for s, k, e in base):
+        at = bisect_right(known[kind], a, key=lambda s: s[0]) - 1
+        if at < 0 or b > known[kind][at][2]:
             spans.add((a, kind, b))
     return sorted(spans)
 
