@@ -1,11 +1,11 @@
 """Operator 8: mixing to target weights by iterative proportional fitting, in DataFrame functions alone.
 
-Documents are summed into cells (source, language, topic; tokens). Raking scales one margin after another to its targets; only
-one factor for each value of each margin is kept, in small tables written between the steps. A cell's weight is the
+Documents are summed into cells (source, language, topic; tokens). Raking scales one margin after another to its targets, in a small
+table of cells that is written after each sweep. A cell's weight is the
 product of its three factors; weights divided by the largest are the probabilities with which documents are sampled, so
 expected tokens follow the targets and nothing has to be repeated. The draw is a hash of seed and doc_id: the same on every run.
 
-Joins with factors have no hint: Spark broadcasts them where they are small, else it shuffles and splits hot values.
+The join with the cells' weights has no hint: Spark broadcasts them where they are small, else it shuffles and splits hot values.
 
 Defined results: a null source, language or topic counts as the value ``''``; null text has no tokens, and it or a text
 without keyword topic ``none``; a value without a target keeps factor 1, as does a margin value without tokens; repeated ids are drawn alike; no rows give no rows;
@@ -14,7 +14,7 @@ columns of the documents stay, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -45,20 +45,28 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return shares.select(margin, (F.col("target") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> dict[str, DataFrame]:
-    """Factors of each margin. cells: source, lang, topic, w; targets: by margin, its values and their target."""
-    factors = {m: t.select(m, F.lit(1.0).alias(f"f_{m}")) for m, t in targets.items()}
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+    """The cells (source, lang, topic, w) with a factor f_<margin> and a target t_<margin> for each margin; targets: by margin, its values and their target.
+
+    A margin's sums are windows over the cells that share a value, so a sweep over all margins is one job and one small table."""
+    raked = cells
+    for m in MARGINS:
+        raked = raked.join(targets[m].select(m, F.col("target").alias(f"t_{m}")), m, "left").withColumn(f"f_{m}", F.lit(1.0))
     for _ in range(sweeps):
         for m in MARGINS:
-            scaled, weight = cells, F.col("w")
-            for other in MARGINS:
-                if other != m:
-                    scaled = scaled.join(factors[other], other, "left")
-                    weight = weight * F.coalesce(F.col(f"f_{other}"), F.lit(1.0))
-            sums = scaled.groupBy(m).agg(F.sum(weight).alias("s"))
-            new = targets[m].join(sums, m, "left").select(m, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(F.lit(1.0)).alias(f"f_{m}"))
-            factors[m] = stored(new, "mix-factor")
-    return factors
+            a, b = (F.col(f"f_{x}") for x in MARGINS if x != m)
+            total = F.sum(F.col("w") * a * b).over(Window.partitionBy(m))
+            raked = raked.withColumn("_s", total).withColumn(f"f_{m}", F.when(F.col("_s") > 0, F.coalesce(F.col(f"t_{m}") / F.col("_s"), F.lit(1.0))).otherwise(F.lit(1.0))).drop("_s")
+        raked = stored(raked, "mix-sweep")
+    return raked
+
+
+def residuals(raked: DataFrame) -> DataFrame:
+    """How far each margin's sums are from its targets after raking: margin, residual (the largest difference)."""
+    weight = F.col("w") * F.col("f_source") * F.col("f_lang") * F.col("f_topic")
+    long = raked.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value"), F.col(f"t_{m}").alias("target"), weight.alias("x")) for m in MARGINS])).alias("r")).select("r.*")
+    sums = long.where("target IS NOT NULL").groupBy("margin", "value").agg(F.sum("x").alias("x"), F.first("target").alias("target"))
+    return sums.groupBy("margin").agg(F.max(F.abs(F.col("x") - F.col("target"))).alias("residual"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic_of: Column | None = None) -> DataFrame:
@@ -69,12 +77,8 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id:
     total = sums.agg(F.sum("tokens")).first()[0] or 1
     cells = sums.select(*MARGINS, (F.col("tokens") / F.lit(float(total))).alias("w"))
     targets = targets or {m: tempered(cells, m, TEMPERATURE[m]) for m in MARGINS}
-    factors = rake(cells, targets)
-    weights = cells
-    for m in MARGINS:
-        weights = weights.join(factors[m], m, "left")
-    weight = F.coalesce(F.col("f_source"), F.lit(1.0)) * F.coalesce(F.col("f_lang"), F.lit(1.0)) * F.coalesce(F.col("f_topic"), F.lit(1.0))
-    weights = stored(weights.select(F.struct(*MARGINS).alias("cell"), weight.alias("weight")), "mix-weights")
+    weight = F.col("f_source") * F.col("f_lang") * F.col("f_topic")
+    weights = stored(rake(cells, targets).select(F.struct(*MARGINS).alias("cell"), weight.alias("weight")), "mix-weights")
     most = weights.agg(F.max("weight")).first()[0] or 1.0
     every = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), keys.alias("k"))
     joined = every.join(weights, F.struct("k.source", "k.lang", "k.topic") == F.col("cell"), "left")
