@@ -14,35 +14,38 @@ from ridgeline.llm import bpe, langid, mixing, ngram_join, pii
 from ridgeline.llm.common import small_batches, stored, table, texts_of
 
 
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without text or letters go. A missing lang is filled in."""
+    """Documents in a language that can be told; those without text or letters go. A missing lang is filled in. A null id changes nothing, repeated rows
+    are each told, further columns stay whatever their names."""
     model = langid.train(docs, docs["text"], docs["lang"], docs["doc_id"])
-    told = langid.predict(docs, model, to="told_language").where(F.col("told_language.lang_pred") != langid.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "told_language.lang_pred")).select(*docs.columns)
+    to = "told"
+    while to in docs.columns:
+        to += "_"
+    told = langid.predict(docs, model, to=to).where(F.col(f"{to}.lang_pred") != langid.UNKNOWN)
+    return told.withColumn("lang", F.coalesce("lang", f"{to}.lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group of near copies; all others."""
+    """One document, the least doc_id, of each group of near copies; all others. Rows without an id stay; rows that share the id that is kept all stay."""
     found = ngram_join.near_duplicates(texts_of(docs))
     away = found.where("component_id <> doc_id").select("doc_id")
     return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with each piece of personal data replaced by its kind."""
+    """Texts with each piece of personal data replaced by its kind; a null text stays null. All rows stay."""
     small_batches(spark)
     clean = docs.withColumn("text", pii.redacted(F.col("text")))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are drawn with calibrated probabilities."""
+    """The documents that are drawn with calibrated probabilities; rows that share an id, or have none, are drawn alike."""
     return mixing.mixed(docs).where("mix.sampled").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, and whether their decoding gives the text's bytes."""
+    """Each document's token ids, and whether their decoding gives the text's bytes; one row for each row."""
     done = bpe.decode(bpe.encode(docs.select(*docs.columns)))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return done.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
