@@ -47,7 +47,7 @@ def cardiac_drift(spark, sf_dir):
     return efforts.cardiac_drift(effort_view(spark, sf_dir), max_hr=MAX_HR)
 
 
-@query(E + ", " + _STEADY + " SELECT ride_id, block, n_points, round(lo, 6) t_start, round(hi, 6) t_end, round(since, 6) warm_s FROM b")
+@query(E + ", " + _STEADY + " SELECT ride_id, CAST(block AS BIGINT) block, n_points, round(lo, 6) t_start, round(hi, 6) t_end, round(since, 6) warm_s FROM b")
 def steady_blocks(spark, sf_dir):
     rows = efforts.steady_blocks(effort_view(spark, sf_dir), "ride_id", "t", "hr", "watts", "mode", F.lit(MAX_HR))
     return rows.groupBy("ride_id", "block").agg(F.count("*").alias("n_points"), r6(F.min("t"), "t_start"), r6(F.max("t"), "t_end"), r6(F.min("_since"), "warm_s"))
@@ -67,7 +67,7 @@ i AS (SELECT * FROM (SELECT *, sum(CASE WHEN ok AND NOT coalesce(was, false) THE
 _COAST = f"CASE WHEN label = 'coast' THEN {_DOWN} WHEN label IN ('pedal', 'brake') THEN false ELSE {_DOWN} AND (hr IS NULL OR hr < 0.78 * 225) END"
 
 
-@query(T + ", " + _runs(_COAST) + " SELECT ride_id, island, count(*) n_points, round(min(t), 6) t_start, round(max(t), 6) t_end FROM i GROUP BY ride_id, island HAVING count(*) >= 10")
+@query(T + ", " + _runs(_COAST) + " SELECT ride_id, CAST(island AS BIGINT) island, count(*) n_points, round(min(t), 6) t_start, round(max(t), 6) t_end FROM i GROUP BY ride_id, island HAVING count(*) >= 10")
 def coast_runs_tagged(spark, sf_dir):
     from .operators.islands import segments
 
@@ -83,7 +83,7 @@ bool_or(label IN ('pedal', 'brake')) veto, bool_or(label = 'coast') tag FROM x G
 
 
 @query(T + ", " + _runs(_DOWN) + ", " + _features("ride_id, island", "i") + f""", z AS (SELECT *, 16.356E0 * (0.78E0 - mean_hr / {MAX_HR}) + 0.8E0 * CASE WHEN n_hr >= 3 AND span > 30 THEN least(greatest(-6.0E0 * slope, -1.0E0), 1.0E0) ELSE 0.0E0 END - 0.8E0 * coalesce(sd / 0.3E0, 0.0E0) + low - 1.636E0 z FROM f WHERE n >= 10)
-SELECT ride_id, island, n, round(t_start, 6) t_start, round(t_end, 6) t_end, CASE WHEN coalesce(tag, false) THEN 'manual' ELSE 'auto' END source FROM z WHERE NOT coalesce(veto, false) AND (coalesce(tag, false) OR coalesce(mean_hr IS NOT NULL AND 1 / (1 + exp(-least(greatest(z, -40.0E0), 40.0E0))) >= 0.9, false))""")
+SELECT ride_id, CAST(island AS BIGINT) island, n, round(t_start, 6) t_start, round(t_end, 6) t_end, CASE WHEN coalesce(tag, false) THEN 'manual' ELSE 'auto' END source FROM z WHERE NOT coalesce(veto, false) AND (coalesce(tag, false) OR coalesce(mean_hr IS NOT NULL AND 1 / (1 + exp(-least(greatest(z, -40.0E0), 40.0E0))) >= 0.9, false))""")
 def effective_coasts(spark, sf_dir):
     found = efforts.effective_coasts(tagged(spark, sf_dir), "ride_id", "idx", "t", "grade", "speed", "hr", "label", MAX_HR)
     return found.select("ride_id", "island", "n", r6("t_start"), r6("t_end"), "source")
@@ -220,12 +220,12 @@ def moving_flags(spark, sf_dir):
 
 # --- checks of single values
 
-@query("SELECT c_custkey, CASE WHEN len(z) = 5 AND list_bool_and(list_transform(z, lambda x: x.lo >= 30 AND x.lo < x.hi AND x.hi <= 250)) THEN CAST(z[5].hi AS BIGINT) END top FROM (SELECT c_custkey, list_transform(range(4 + c_custkey % 2), lambda k: {'lo': 25 + c_custkey % 40 + 30 * k, 'hi': 25 + c_custkey % 40 + 30 * (k + 1)}) z FROM customer)")
+@query("SELECT c_custkey, CASE WHEN len(z) = 5 AND list_bool_and(list_transform(z, lambda x: x.lo >= 30 AND x.lo < x.hi AND x.hi <= 250)) THEN CAST(z[5].hi AS DOUBLE) END top FROM (SELECT c_custkey, list_transform(range(4 + c_custkey % 2), lambda k: {'lo': 25 + c_custkey % 40 + 30 * k, 'hi': 25 + c_custkey % 40 + 30 * (k + 1)}) z FROM customer)")
 def valid_hr_zones(spark, sf_dir):
     k = F.col("c_custkey")
     zone = lambda i: F.struct((25 + k % 40 + 30 * i).alias("lo"), (25 + k % 40 + 30 * (i + 1)).alias("hi"))
     zones = F.transform(F.sequence(F.lit(0), (3 + k % 2).cast("int")), zone)
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.element_at(checks.valid_zones(zones), 5)["hi"].alias("top"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.element_at(checks.valid_zones(zones), 5)["hi"].cast("double").alias("top"))
 
 
 @query(P + " SELECT ride_id, idx, CASE WHEN watts * 4 - 200 BETWEEN -100 AND 1000 AND (NOT (lat BETWEEN 49.5 AND 61.0 AND lon BETWEEN -8.7 AND 2.1) OR watts * 4 - 200 <= 700) THEN round(watts * 4 - 200, 6) END elev, CASE WHEN watts * 4 - 200 BETWEEN 0 AND 400 THEN round(watts * 4 - 200, 6) END usable FROM p")
