@@ -2,8 +2,13 @@
 
 Documents are range-partitioned by id; each task encodes its documents, in ascending order, into shards of about
 ``SHARD_TOKENS`` ids. A shard is one compressed file body: a header, the documents' ids and lengths, and one bit-plane per
-bit of the largest id. Rank counts every 512 bits let it answer access, count and occurrence queries without unpacking the
-ids. Shards are written through Spark's own writer (one row a shard), so any store that Spark can write will do.
+bit of the largest id. Each plane is compressed in blocks of ``PLANE_BLOCK`` bytes, with a directory of the blocks' places and of the
+ones before every ``BLOCK`` bits, so that access, count and occurrence queries unpack one block a plane and none of the ids.
+``token_at``, ``counted`` and ``occurrence`` ask them of a table of shards. Shards are written through Spark's own writer (one row a
+shard), so any store that Spark can write will do.
+
+Words and the pattern's matches in them are encoded once a worker and remembered by their bytes, where the tokenizer is of the kind that drops
+white space before it merges (``splits_at_space`` looks at its file); with any other, whole texts are encoded.
 
 Defined results: null and empty texts hold the end id alone; repeated ids stay separate documents, in the order of their
 texts; a null id comes first; no rows give no shards; a document longer than a shard gets a larger shard of its own.
@@ -11,37 +16,71 @@ texts; a null id comes first; no rows give no shards; a document longer than a s
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import buffers, runs, small_batches, stored, table, texts_of, word_hashes
+from .common import buffers, runs, small_batches, stored, table, texts_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-MAX_WORDS = 1 << 21  # that one Python worker remembers
-_MAGIC = b"WVM1"
+PLANE_BLOCK = 1 << 12
+MAX_UNITS = 1 << 20  # that one Python worker remembers: some 150 MB
+#: Fixed value: the pattern of the kind of tokenizer that is encoded word by word.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MAGIC = b"WVM2"
+_BETWEEN = b"|"
+# words with other characters than ASCII, or what the tokenizer's pattern matches in words of ASCII
+_UNIT = re.compile(rb"[^ \t-\r\x80-\xff]*+[\x80-\xff][^ \t-\r]*|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9\x80-\xff]+", re.I)
+
+
+class Plane:
+    """One bit-plane: bytes, in compressed blocks or plain, and the number of ones before every BLOCK bits."""
+
+    def __init__(self, ranks: np.ndarray, blocks: list[bytes] | None = None, plain: np.ndarray | None = None):
+        self.ranks, self.blocks, self.plain = ranks, blocks, plain
+
+    @classmethod
+    def of(cls, plain: np.ndarray) -> Plane:
+        ones = np.bitwise_count(np.pad(plain, (0, -len(plain) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
+        return cls(np.concatenate([[0], np.cumsum(ones)]), plain=plain)
+
+    def part(self, lo: int, hi: int) -> np.ndarray:
+        """Bytes lo to hi, which lie in one block."""
+        if self.plain is not None:
+            return self.plain[lo:hi]
+        k = lo // PLANE_BLOCK
+        return np.frombuffer(_unpacked(self.blocks[k]), np.uint8)[lo - k * PLANE_BLOCK : hi - k * PLANE_BLOCK]
+
+    def whole(self) -> np.ndarray:
+        return self.plain if self.plain is not None else np.frombuffer(b"".join(map(_unpacked, self.blocks)), np.uint8)
+
+
+def _unpacked(block: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(block)
 
 
 class WaveletMatrix:
     """Bit-planes of an id sequence, highest bit first; each plane stably sorts zeros before ones for the next."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[Plane]):
         self.n, self.planes = n, planes
-        self.zeros = [n - int(np.bitwise_count(p).sum()) for p in planes]
-        self.ranks = [np.concatenate([[0], np.cumsum(np.bitwise_count(np.pad(p, (0, -len(p) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64))]) for p in planes]
+        self.zeros = [n - int(p.ranks[-1]) for p in planes]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -50,23 +89,25 @@ class WaveletMatrix:
         planes = []
         for b in range(bits - 1, -1, -1):
             one = (at >> b & 1).astype(bool)
-            planes.append(np.packbits(one))
+            planes.append(Plane.of(np.packbits(one)))
             at = np.concatenate([at[~one], at[one]])
         return cls(len(ids), planes)
 
     def _rank1(self, k: int, i: int) -> int:
         block = i // BLOCK
-        tail = self.planes[k][block * (BLOCK // 8) : -(-i // 8)].copy()
-        if i % 8 and len(tail):
+        if not i % BLOCK:
+            return int(self.planes[k].ranks[block])
+        tail = self.planes[k].part(block * (BLOCK // 8), -(-i // 8)).copy()
+        if i % 8:
             tail[-1] &= 0xFF << (8 - i % 8) & 0xFF
-        return int(self.ranks[k][block]) + int(np.bitwise_count(tail).sum())
+        return int(self.planes[k].ranks[block]) + int(np.bitwise_count(tail).sum())
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k in range(len(self.planes)):
-            one = self.planes[k][i >> 3] >> (7 - (i & 7)) & 1
+        for k, plane in enumerate(self.planes):
+            one = plane.part(i >> 3, (i >> 3) + 1)[0] >> (7 - (i & 7)) & 1
             value = value << 1 | int(one)
             r = self._rank1(k, i)
             i = self.zeros[k] + r if one else i - r
@@ -97,9 +138,10 @@ class WaveletMatrix:
         return at
 
     def _select(self, k: int, bit: int, nth: int) -> int:
-        have = self.ranks[k] if bit else np.arange(len(self.ranks[k])) * BLOCK - self.ranks[k]
+        ones = self.planes[k].ranks
+        have = ones if bit else np.arange(len(ones)) * BLOCK - ones
         block = int(np.searchsorted(have, nth, "right")) - 1
-        bits = np.unpackbits(self.planes[k][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)])[: self.n - block * BLOCK]
+        bits = np.unpackbits(self.planes[k].part(block * (BLOCK // 8), (block + 1) * (BLOCK // 8)))[: self.n - block * BLOCK]
         return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - have[block]])
 
     def ids(self) -> np.ndarray:
@@ -107,7 +149,7 @@ class WaveletMatrix:
         dtype = np.uint16 if len(self.planes) <= 16 else np.uint32
         at = np.zeros(self.n, dtype)
         for b, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
-            one = np.unpackbits(plane, count=self.n).astype(bool)
+            one = np.unpackbits(plane.whole(), count=self.n).view(bool)
             above = np.empty(self.n, dtype)
             above[~one], above[one] = at[:zeros], at[zeros:] | dtype(1 << b)
             at = above
@@ -115,77 +157,139 @@ class WaveletMatrix:
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
-    body = b"".join([doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), *(p.tobytes() for p in matrix.planes)])
-    return _MAGIC + struct.pack("<QQB", matrix.n, len(doc_ids), len(matrix.planes)) + zstandard.ZstdCompressor(level=1).compress(body)
+    """Header, documents, then each plane's directory (ones before every BLOCK bits, sizes of blocks) and blocks."""
+    deflate = zstandard.ZstdCompressor(level=1).compress
+    docs = deflate(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes())
+    out = [_MAGIC, struct.pack("<QQBI", matrix.n, len(doc_ids), len(matrix.planes), len(docs)), docs]
+    for plane in matrix.planes:
+        raw = plane.whole().tobytes()
+        blocks = [deflate(raw[a : a + PLANE_BLOCK]) for a in range(0, len(raw), PLANE_BLOCK)]
+        ranks = deflate(plane.ranks.astype("<u4" if matrix.n < 2**32 else "<u8").tobytes())
+        out += [struct.pack("<II", len(ranks), len(blocks)), ranks, np.array([len(b) for b in blocks], "<u4").tobytes(), *blocks]
+    return b"".join(out)
 
 
 def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+    """The documents, and the matrix with its planes still compressed."""
     if payload[:4] != _MAGIC:
         raise ValueError("not a shard")
-    n, docs, planes = struct.unpack_from("<QQB", payload, 4)
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[21:]), np.uint8)
-    doc_ids, lengths = body[: 8 * docs].view("<i8"), body[8 * docs : 16 * docs].view("<i8")
-    size = -(-n // 8)
-    return doc_ids, lengths, WaveletMatrix(n, [body[16 * docs + k * size : 16 * docs + (k + 1) * size] for k in range(planes)])
+    n, docs, planes, size = struct.unpack_from("<QQBI", payload, 4)
+    at = 4 + struct.calcsize("<QQBI")
+    listed = np.frombuffer(_unpacked(payload[at : at + size]), "<i8")
+    at += size
+    out = []
+    for _ in range(planes):
+        size, blocks = struct.unpack_from("<II", payload, at)
+        at += 8
+        ranks = np.frombuffer(_unpacked(payload[at : at + size]), "<u4" if n < 2**32 else "<u8").astype(np.int64)
+        at += size
+        ends = at + 4 * blocks + np.concatenate([[0], np.cumsum(np.frombuffer(payload, "<u4", blocks, at), dtype=np.int64)])
+        out.append(Plane(ranks, [payload[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]))
+        at = int(ends[-1])
+    return listed[:docs], listed[docs:], WaveletMatrix(n, out)
+
+
+def splits_at_space(spec: str) -> bool:
+    """Is this a tokenizer of which no match and no merge goes across ASCII white space? Its file must be of a known kind: composed
+    characters, white space to blanks, lower case; matches of a pattern, without white space, as bytes; BPE."""
+    j = json.loads(spec)
+    normal = (j.get("normalizer") or {}).get("normalizers") or [j.get("normalizer") or {}]
+    split = (j.get("pre_tokenizer") or {}).get("pretokenizers") or [j.get("pre_tokenizer") or {}]
+    known = all(x.get("type") in (None, "NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in normal)
+    first, *rest = split
+    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern") == {"Regex": PATTERN}
+    plain = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in rest)
+    special = all(not any(x[k] for k in ("lstrip", "rstrip", "single_word")) and not any(c.isspace() for c in x["content"]) for x in j.get("added_tokens", ()))
+    return bool(known and dropped and plain and special and j["model"]["type"] == "BPE" and not j.get("truncation") and not j["model"].get("dropout"))
+
+
+class _Memo(dict):
+    """Strings in the order in which they were first asked for, and the ids of those that are learnt."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def __missing__(self, word: bytes) -> int:
+        place = len(self)
+        self.new.append(word)
+        self[word] = place
+        return place
+
+    def learn(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the new strings, one after another."""
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size, self.ids, self.new = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids]), []
+
+    def all_ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places, one after another, and where each one's end."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.begin[places] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class WordEncoder:
-    """Encode texts word by word, remembering words. White space always ends a match of this kind of tokenizer (white space is
-    dropped before the merges), and so does the step from an ASCII letter to a full stop or comma."""
+    """Encode texts unit by unit, remembering units by their bytes; or whole texts, where units can't be told apart.
 
-    _unit = re.compile(r"[A-Za-z]+(?![^ \t\n\x0b\x0c\r.,])|[.,]+(?![^ \t\n\x0b\x0c\r])|[^ \t\n\x0b\x0c\r]+")
+    A unit is a match of the tokenizer's pattern within a word of ASCII (each match is merged by itself), or a whole word with other characters. Texts in
+    which a special token may stand are encoded whole."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.store = np.zeros(0, np.uint32)
-        self.units: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        split = [self._unit.findall(w) for w in words]
-        if len(self.units) > MAX_WORDS // 4:
-            self.units = {}
-        new = list({v for us in split for u in us if (v := u.lower() if u.isascii() else u) not in self.units})
-        for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.units[u] = tuple(e.ids)
-        ids, sizes = [], []
-        for us in split:
-            before = len(ids)
-            for u in us:
-                ids += self.units[u.lower() if u.isascii() else u]
-            sizes.append(len(ids) - before)
-        at = np.searchsorted(self.known, hashes)
-        sizes = np.array(sizes, np.int64)
-        self.begin = np.insert(self.begin, at, len(self.store) + np.cumsum(sizes) - sizes)
-        self.size = np.insert(self.size, at, sizes)
-        self.known = np.insert(self.known, at, hashes)
-        self.store = np.concatenate([self.store, np.array(ids, np.uint32)])
+        between = self.tokenizer.encode(_BETWEEN.decode(), add_special_tokens=False).ids
+        # a sign of which the id, with its word end, is its own and no part of any other word's
+        self.by_unit, self.between = splits_at_space(spec) and len(between) == 1, between[0] if between else None
+        self.units = _Memo()
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encode new units, many at once with a word between them that none of them can give; those with its sign in them one by one."""
+        new = self.units.new
+        apart = [u for u in new if _BETWEEN in u]
+        one_by_one = dict(zip(apart, self._whole(apart), strict=True))
+        lines = [(b" " + _BETWEEN + b" ").join(b"" if u in one_by_one else u for u in new[a : a + 1000]) for a in range(0, len(new), 1000)]
+        sizes, ids = [], []
+        for a, got in zip(range(0, len(new), 1000), self._whole(lines), strict=True):
+            cuts = np.flatnonzero(got == self.between)
+            size = np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1
+            got = got[got != self.between]
+            for k in [k for k, u in enumerate(new[a : a + 1000]) if u in one_by_one] if one_by_one else ():
+                at, own = int(size[:k].sum()), one_by_one[new[a + k]]
+                got, size[k] = np.concatenate([got[:at], own, got[at:]]), len(own)
+            sizes.append(size)
+            ids.append(got)
+        self.units.learn(np.concatenate(sizes), np.concatenate(ids))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and each row's number of ids."""
-        h, s, e, firsts = word_hashes(data, offsets, lower=False)
-        if not len(h):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        uniq, where, word = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > MAX_WORDS:
-            self.forget()
-        at = np.searchsorted(self.known, uniq)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != uniq if len(self.known) else np.ones(len(uniq), bool))
-        if len(new):
-            raw = data[offsets[0] : offsets[-1]].tobytes()
-            self._learn(uniq[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip((s[where[new]] - offsets[0]).tolist(), (e[where[new]] - offsets[0]).tolist(), strict=True)])
-            at = np.searchsorted(self.known, uniq)
-        size, begin = self.size[at][word], self.begin[at][word]
-        ends = np.cumsum(size)
-        ids = self.store[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
-        return ids, np.diff(np.concatenate([[0], ends])[firsts])
+        raw = data[offsets[0] : offsets[-1]].tobytes()
+        texts = [raw[a:b] for a, b in zip((offsets[:-1] - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), strict=True)]
+        if not self.by_unit or b"<|" in raw:
+            apart = [k for k, t in enumerate(texts) if not self.by_unit or b"<|" in t]
+            ids: list = [None] * len(texts)
+            for k, got in zip(apart, self._whole([texts[k] for k in apart]), strict=True):
+                ids[k] = got
+            for k, t in enumerate(texts):
+                if ids[k] is None:
+                    ids[k] = self._by_unit([t])[0]
+            return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.array([len(x) for x in ids], np.int64)
+        return self._by_unit(texts)
+
+    def _by_unit(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.units) > MAX_UNITS:
+            self.units = _Memo()
+        units = [_UNIT.findall(t) for t in texts]
+        counts = np.fromiter(map(len, units), np.int64, len(units))
+        places = np.fromiter(map(self.units.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+        if self.units.new:
+            self._learn()
+        ids, ends = self.units.all_ids(places)
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 @lru_cache(maxsize=2)
@@ -249,6 +353,35 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return shards.mapInArrow(documents, "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _asked(returns: T.DataType, ask) -> Column:
+    """A column function of payloads and arguments that asks each shard."""
+
+    @F.arrow_udf(returns)
+    def answer(payloads: pa.Array, *arguments: pa.Array) -> pa.Array:
+        out = []
+        for payload, *values in zip(payloads, *arguments, strict=True):
+            given = [v.as_py() for v in values]
+            out.append(None if payload.as_py() is None or None in given else ask(unpack(payload.as_py())[2], *given))
+        return pa.array(out, pa.int64())
+
+    return answer
+
+
+def token_at(payload: Column | str, position: Column | str) -> Column:
+    """The id at a place of a shard (null outside of it)."""
+    return _asked(T.LongType(), lambda m, i: m[i] if 0 <= i < m.n else None)(payload, position)
+
+
+def counted(payload: Column | str, symbol: Column | str) -> Column:
+    """How often an id occurs in a shard."""
+    return _asked(T.LongType(), lambda m, x: m.count(x))(payload, symbol)
+
+
+def occurrence(payload: Column | str, symbol: Column | str, nth: Column | str) -> Column:
+    """The place of an id's nth occurrence in a shard, from 0 (-1: there are fewer)."""
+    return _asked(T.LongType(), lambda m, x, n: m.occurrence(x, n))(payload, symbol, nth)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids and read each document back from the shards, with its place in the whole sequence."""
     shards = write_shards(texts_of(table(spark, sf_dir, "documents")))
