@@ -195,6 +195,9 @@ def compared(pairs: DataFrame, heads: DataFrame, others: DataFrame, buckets: int
     of b under the leader a's order as far as a lacks them (without those of b alone, which come first), and before, how many those are.
     A node in very many pairs is dealt to several groups of about ``GROUP`` pairs."""
     pairs = stored(pairs, "ngram-pairs")
+    # only what the pairs name is shuffled
+    heads = having_ids(heads, pairs.select(F.col("a").alias("node")), "node")
+    others = having_ids(others, pairs.select(F.col("b").alias("node")), "node")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node")).join(_renamed(others), "node")
     left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(_renamed(heads).withColumnRenamed("node", "a"), "a")
