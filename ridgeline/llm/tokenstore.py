@@ -45,8 +45,10 @@ MAX_UNITS = 1 << 20  # that one Python worker remembers: some 150 MB
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MAGIC = b"WVM2"
 _BETWEEN = b"|"
-# words with other characters than ASCII, or what the tokenizer's pattern matches in words of ASCII
-_UNIT = re.compile(rb"[^ \t-\r\x80-\xff]*+[\x80-\xff][^ \t-\r]*|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9\x80-\xff]+", re.I)
+# what the tokenizer's pattern matches in words of ASCII; words with other characters are whole
+_SHORT = rb"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]"
+_ASCII_UNIT = re.compile(rb"[A-Za-z]+|[0-9]|" + _SHORT + rb"|[^ \t-\rA-Za-z0-9]+")
+_UNIT = re.compile(rb"[A-Za-z]+(?=[ \t-\r])|[^ \t-\r\x80-\xff]*+[\x80-\xff][^ \t-\r]*|" + _SHORT + rb"|[A-Za-z]+|[0-9]|[^ \t-\rA-Za-z0-9\x80-\xff]+")
 
 
 class Plane:
@@ -283,7 +285,7 @@ class WordEncoder:
     def _by_unit(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.units) > MAX_UNITS:
             self.units = _Memo()
-        units = [_UNIT.findall(t) for t in texts]
+        units = [(_ASCII_UNIT if t.isascii() else _UNIT).findall(t) for t in texts]
         counts = np.fromiter(map(len, units), np.int64, len(units))
         places = np.fromiter(map(self.units.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
         if self.units.new:
