@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,18 +184,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _marked(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The rows as structs, and whether a bitmap of the ids has a row's id. BLOOM_BITS / 8 bytes at most go to all tasks."""
+    hashed = lambda d: F.pmod(F.xxhash64(d[key]), F.lit(BLOOM_BITS)) + 1
+    bits = ids.select(hashed(ids).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    packed_rows = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), hashed(rows).alias("_hash"))
+    at = F.bitmap_bit_position("_hash")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
+    return packed_rows.join(F.broadcast(bits), F.bitmap_bucket_number("_hash") == F.col("_part"), "left"), bit
+
+
+def _unpacked(marked: DataFrame, columns: list[str]) -> DataFrame:
+    return marked.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def having_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows with these ids, and perhaps a few others: a bitmap of fixed size goes to all tasks, so that nothing is
-    shuffled. Where the ids are too many for it, an exact join follows."""
-    hashed = F.pmod(F.xxhash64(key), F.lit(BLOOM_BITS)) + 1
-    bits = ids.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    # BLOOM_BITS / 8 bytes at most
-    at = F.bitmap_bit_position(hashed)
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    passed = rows.join(F.broadcast(bits), F.bitmap_bucket_number(hashed) == F.col("_part")).where((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).select(*rows.columns)
+    shuffled. Where the ids are too many for it, an exact join follows. Callers must not mind the others."""
+    marked, bit = _marked(rows, ids, key)
+    passed = _unpacked(marked.where(bit), rows.columns)
     return passed if 16 * ids.count() < BLOOM_BITS else passed.join(ids, key, "left_semi")
 
 
+def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Exactly the rows without these ids (a null id stays): only rows whose id the bitmap has are shuffled, to an exact join."""
+    marked, bit = _marked(rows, ids, key)
+    doubtful = _unpacked(marked.where(bit), rows.columns)
+    return _unpacked(marked.where(~bit), rows.columns).union(doubtful.join(ids, key, "left_anti").select(*[doubtful[c] for c in rows.columns]))
+
+
 def distinct_groups(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     first = np.ones(len(ordered), bool)
