@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import bpe, langid, mixing, ngram_join, pii
-from ridgeline.llm.common import small_batches, stored, table, texts_of
+from ridgeline.llm.common import small_batches, stored, table, texts_of, without_ids
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the least doc_id, of each group of near copies; all others. Rows without an id stay; rows that share the id that is kept all stay."""
     found = ngram_join.near_duplicates(texts_of(docs))
     away = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, stored(away, "pipeline-away"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
