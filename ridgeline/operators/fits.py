@@ -200,13 +200,13 @@ def loop_or_plain(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rh
 
 
 def pooled_calibration(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho: float = 1.225, rounds: int = 4) -> dict[str, float]:
-    """``pooled_fits`` without the rides' winds."""
-    return pooled_fits(steps, key, mass, rho, rounds)[0]
+    """``pooled_fits`` without the rides' winds and without its gates."""
+    return pooled_fits(steps, key, mass, rho, rounds, least_rides=1, least=1)[0]
 
 
-def pooled_fits(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho: float = 1.225, rounds: int = 4) -> tuple[dict[str, float], DataFrame]:
+def pooled_fits(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho: float = 1.225, rounds: int = 4, least_rides: int = 2, least: int = 3) -> tuple[dict[str, float], DataFrame]:
     """One rolling resistance and drag area for all rides, each ride with its own wind: the two with their deviations, r2 and numbers of rides and segments,
-    and the table of winds (key, dir in radians, wind). Nothing comes of fewer than two rides or three segments.
+    and the table of winds (key, dir in radians, wind). Nothing comes of fewer than ``least_rides`` or ``least`` segments.
 
     Spark sums the normal equations over every ride's segments with that ride's wind; the driver solves two unknowns, and the
     winds are then fitted again, ride by ride, with the two held."""
@@ -221,7 +221,7 @@ def pooled_fits(steps: DataFrame, key: str = "ride_id", mass: float = 86.0, rho:
         drag = 0.5 * rho * F.sqrt(along * along + across * across) * along * F.col("v") * F.col("dt")
         seg = at.groupBy(key, "segment").agg(F.sum(mass * C.gravity * F.col("v") * F.col("dt")).alias("a"), F.sum(drag).alias("b"), F.sum(-0.5 * mass * F.col("dv2") - mass * C.gravity * F.col("rise")).alias("y"))
         s = seg.agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "a"), ("a", "b"), ("b", "b"), ("a", "y"), ("b", "y"))], F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum("y").alias("sy"), F.count("*").alias("n"), F.count_distinct(key).alias("rides")).first()
-        if s["rides"] < 2 or s["n"] < 3:
+        if s["rides"] < least_rides or s["n"] < least:
             return {}, winds
         det = s["aa"] * s["bb"] - s["ab"] ** 2
         if abs(det) < 1e-9:
