@@ -23,14 +23,22 @@ def with_elevation(points: DataFrame, key: str = "ride_id", order: str = "idx",
     return p.withColumn("grade", clip(F.col("grade_raw"), -C.grade_limit, C.grade_limit)).drop("elev_filled", "elev_med", "grade_raw")
 
 
-def with_power(points: DataFrame, key: str = "ride_id", time: str = "t", order: str = "idx", headwind: Column | None = None, temp_c: float = 15.0, pressure: float = 1013.0) -> DataFrame:
-    """watts_est, watts_lo, watts_hi, mode and confidence of every sample; no power while coasting or standing."""
+def with_power(points: DataFrame, key: str = "ride_id", time: str = "t", order: str = "idx", headwind: Column | None = None, temp_c: float = 15.0, pressure: float = 1013.0, label: str | None = None) -> DataFrame:
+    """``powered`` by the smoothed speed and its acceleration, with the air's density by altitude."""
     p = W.acceleration(W.savgol(points, key, order, "speed", "v"), key, time, "v")
-    rho = air_density(temp_c, pressure, "elev_smooth")
-    parts = power_band("v", "accel", "grade", rho, C.weight_kg + C.bike_kg + C.kit_kg, headwind=F.lit(0.0) if headwind is None else headwind)
-    state = mode("grade", "v")
+    return powered(p, "v", "accel", air_density(temp_c, pressure, "elev_smooth"), headwind=headwind, label=label)
+
+
+def powered(points: DataFrame, speed: str, accel: str | float, rho: Column | float, mass: float = C.weight_kg + C.bike_kg + C.kit_kg, headwind: Column | None = None, label: str | None = None) -> DataFrame:
+    """watts_est, watts_lo, watts_hi, mode and confidence of every sample; no power while coasting or standing.
+
+    label: the column of tags; a descent that is tagged ``pedal`` is pedalled, with the power that its energy balance leaves."""
+    parts = power_band(speed, accel, "grade", rho, mass, headwind=F.lit(0.0) if headwind is None else headwind)
+    state = mode("grade", speed)
+    if label:
+        state = F.when(F.coalesce(F.col(label) == "pedal", F.lit(False)), mode(F.lit(0.0), speed)).otherwise(state)
     on = lambda c: F.when(state == "pedal", F.greatest(c, F.lit(0.0))).otherwise(F.lit(0.0))
-    return p.withColumns({"watts_est": on(parts["watts"]), "watts_lo": on(parts["lo"]), "watts_hi": on(parts["hi"]), "confidence": confidence(parts["gravity"], parts["watts"]), "mode": state})
+    return points.withColumns({"watts_est": on(parts["watts"]), "watts_lo": on(parts["lo"]), "watts_hi": on(parts["hi"]), "confidence": confidence(parts["gravity"], parts["watts"]), "mode": state})
 
 
 def metrics(points: DataFrame, key: str = "ride_id", time: str = "t", max_hr: float = 180.0) -> DataFrame:

@@ -6,9 +6,11 @@ files that ``binaryFile`` has read, so that any store Spark reads will do.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +25,41 @@ FIELDS = {0: "lat_raw", 1: "lon_raw", 2: "alt_code", 3: "hr", 4: "cadence", 5: "
 SCHEMA = "path string, idx int, t double, lat double, lon double, speed double, dist double, alt_raw double, hr int, cadence int, grade_device double, crc_valid boolean, crc_kind string"
 
 
+LANES, LONG = 2048, 1 << 16  # files of so many bytes have the checksums of that many stretches computed side by side
+
+
+@functools.cache
+def _crc_table(polynomial: int, reflected: bool) -> np.ndarray:
+    """What each byte does to a checksum of 0."""
+    value = np.arange(256, dtype=np.uint16) if reflected else np.arange(256, dtype=np.uint16) << 8
+    for _ in range(8):
+        value = np.where(value & 1, value >> 1 ^ polynomial, value >> 1) if reflected else np.where(value & 0x8000, value << 1 ^ polynomial, value << 1)
+        value = value.astype(np.uint16)
+    return value
+
+
 def crc(data: bytes, polynomial: int, reflected: bool) -> int:
-    """CRC-16 with a start of 0: most significant bit first, or reflected."""
-    value = 0
-    for byte in data:
-        value ^= byte if reflected else byte << 8
-        for _ in range(8):
-            if reflected:
-                value = value >> 1 ^ (polynomial if value & 1 else 0)
-            else:
-                value = (value << 1 ^ (polynomial if value & 0x8000 else 0)) & 0xFFFF
+    """CRC-16 with a start of 0: most significant bit first, or reflected.
+
+    Such a checksum is linear: equal stretches go through the table side by side, and so do the 16 single bits followed by as many zero bytes, which
+    tell what a stretch does to the checksum before it. Zeros in front change nothing, so the first stretch is filled up with them."""
+    table = _crc_table(polynomial, reflected)
+    if len(data) < LONG:
+        value, by = 0, table.tolist()
+        for byte in data:
+            value = value >> 8 ^ by[(value ^ byte) & 0xFF] if reflected else value << 8 & 0xFFFF ^ by[value >> 8 ^ byte]
+        return value
+    steps = -(-len(data) // LANES)
+    body = np.concatenate([np.zeros(steps * LANES - len(data), np.uint8), np.frombuffer(data, np.uint8)])
+    body = np.ascontiguousarray(np.concatenate([body.reshape(LANES, steps), np.zeros((16, steps), np.uint8)]).T)
+    state = np.concatenate([np.zeros(LANES, np.uint16), np.uint16(1) << np.arange(16, dtype=np.uint16)])
+    for row in body:
+        state = state >> 8 ^ table[(state ^ row) & 0xFF] if reflected else state << 8 ^ table[state >> 8 ^ row]
+    after, value = state[LANES:].tolist(), 0
+    for lane in state[:LANES].tolist():
+        for k in range(16):
+            lane ^= after[k] if value >> k & 1 else 0
+        value = lane
     return value
 
 
@@ -47,18 +74,26 @@ def checksum(data: bytes) -> tuple[bool | None, str | None]:
     return False, None
 
 
+def whole(data: bytes, end: int) -> None:
+    if end > len(data):
+        raise ValueError("the file ends within a definition")
+
+
 class Definition:
-    """Layout of one local message type."""
+    """Layout of one local message type; ValueError if the file ends within it."""
 
     def __init__(self, data: bytes, at: int, developer: bool):
+        whole(data, at + 5)
         self.order = ">" if data[at + 1] else "<"
         self.message = struct.unpack_from(self.order + "H", data, at + 2)[0]
         n = data[at + 4]
+        whole(data, at + 5 + 3 * n + developer)
         self.fields = [tuple(data[at + 5 + 3 * k : at + 8 + 3 * k]) for k in range(n)]
         self.end = at + 5 + 3 * n
         self.extra = 0
         if developer:
             m = data[self.end]
+            whole(data, self.end + 1 + 3 * m)
             self.extra = sum(data[self.end + 2 + 3 * k] for k in range(m))
             self.end += 1 + 3 * m
 
@@ -86,6 +121,8 @@ def messages(data: bytes) -> Iterator[tuple[int, dict[int, int], int | None]]:
     A compressed header adds its five bits to the running time; an offset of 31 escapes: the next byte replaces the time's low byte."""
     if len(data) < 12 or data[8:12] != b".FIT":
         raise ValueError("not an activity file")
+    if data[0] < 12:
+        raise ValueError("the header is too short")
     at, end = data[0], min(data[0] + struct.unpack_from("<I", data, 4)[0], len(data))
     local: dict[int, Definition] = {}
     clock: int | None = None
@@ -95,6 +132,8 @@ def messages(data: bytes) -> Iterator[tuple[int, dict[int, int], int | None]]:
         if header & 0x80:
             kind, offset = header >> 5 & 3, header & 0x1F
             if offset == 31:
+                if at >= end:
+                    return
                 base = (clock or 0) & ~0xFF | data[at]
                 if clock is not None:
                     clock = base + 256 if base < clock else base
@@ -102,7 +141,7 @@ def messages(data: bytes) -> Iterator[tuple[int, dict[int, int], int | None]]:
             elif clock is not None:
                 clock += offset
             d = local.get(kind)
-            if d is None:
+            if d is None or at + d.size(True) > end:
                 return
             values = d.values(data, at, True)
             at += d.size(True)
@@ -172,21 +211,29 @@ class ActivitySource(DataSource):
         return _Reader(self.options["path"])
 
 
+_ARROW = pa.schema([("path", pa.string()), ("idx", pa.int32()), *[(c, pa.float64()) for c in ("t", "lat", "lon", "speed", "dist", "alt_raw")], ("hr", pa.int32()), ("cadence", pa.int32()), ("grade_device", pa.float64()), ("crc_valid", pa.bool_()), ("crc_kind", pa.string())])
+
+
 def decode(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Records of files that are rows with a path and their bytes; files that are not activities give no rows."""
-    schema = pa.schema([("path", pa.string()), ("idx", pa.int32()), *[(c, pa.float64()) for c in ("t", "lat", "lon", "speed", "dist", "alt_raw")], ("hr", pa.int32()), ("cadence", pa.int32()), ("grade_device", pa.float64()), ("crc_valid", pa.bool_()), ("crc_kind", pa.string())])
+    """Records of files that are rows with a path and their bytes; files that are not activities, or end within a definition, give no rows."""
+    return outcomes(files, path, content).where("error IS NULL").drop("error")
+
+
+def outcomes(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """The records of all files, with a column error: a file that can't be read is one row with its path and the reason, and harms no other."""
+    schema = _ARROW.append(pa.field("error", pa.string()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    found = records(p, body or b"")
-                except ValueError:
-                    continue
+                    found = [(*r, None) for r in records(p, body or b"")]
+                except ValueError as e:
+                    found = [(p, *[None] * (len(schema) - 2), str(e))]
                 columns = list(zip(*found, strict=True)) if found else [[] for _ in schema]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(rows, SCHEMA)
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(rows, SCHEMA + ", error string")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -267,9 +314,9 @@ def moving_ms(line: list[dict]) -> float:
     return sum(b["t"] - a["t"] for a, b in zip(line, line[1:], strict=False) if (b["speed"] or 0) >= 0.3) * 1000
 
 
-def encoded(points: DataFrame, key: str = "ride_id", summary: bool = False) -> DataFrame:
+def encoded(points: DataFrame, key: str = "ride_id", summary: bool = False, fields: list[tuple[int, int, int]] = ALTITUDE_FIELDS) -> DataFrame:
     """One activity file (key, content binary) for each ride of points(key, t, lat, lon, elev, hr, dist, speed): the inverse of ``decode``.
-    summary: with a session message."""
+    summary: with a session message; fields: what a record holds."""
     line = F.array_sort(F.collect_list(F.struct("t", "lat", "lon", "elev", "hr", "dist", "speed")))
     rides = points.groupBy(key).agg(line.alias("p"))
 
@@ -282,7 +329,7 @@ def encoded(points: DataFrame, key: str = "ride_id", summary: bool = False) -> D
                 code = None if p["elev"] is None else round((p["elev"] + 500) * 5)
                 row = {TIMESTAMP: round(p["t"]), 0: p["lat"] and round(p["lat"] * 2**31 / 180), 1: p["lon"] and round(p["lon"] * 2**31 / 180), 2: code, 3: p["hr"] and round(p["hr"]), 5: p["dist"] and round(p["dist"] * 100), 6: p["speed"] and round(p["speed"] * 1000), 78: code}
                 rows.append({k: v for k, v in row.items() if v is not None})
-            parts = [(RECORD, ALTITUDE_FIELDS, rows)]
+            parts = [(RECORD, fields, rows)]
             if summary and line:
                 beats = [p["hr"] for p in line if p["hr"] is not None]
                 session = {2: round(line[0]["t"]), 5: 2, 7: round((line[-1]["t"] - line[0]["t"]) * 1000), 8: round(moving_ms(line)), 9: round((line[-1]["dist"] or 0) * 100)}
