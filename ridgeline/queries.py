@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_fits, queries_imports, queries_joins, queries_places, queries_rides, queries_time, queries_totals  # noqa: F401  (register)
+from . import queries_fits, queries_imports, queries_joins, queries_places, queries_rides, queries_time, queries_totals, queries_winds  # noqa: F401  (register)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
