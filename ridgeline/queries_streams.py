@@ -24,7 +24,7 @@ def coast_segments_function(spark, sf_dir):
 @query(f"""WITH r AS (SELECT route_id, ride_id, day, trimp FROM ({RIDES_SQL})), e AS (SELECT a.route_id rider, a.ride_id id, a.day,
 sum(b.trimp * exp(-(a.day - b.day) / 42.0E0)) * (1 - exp(-1 / 42.0E0)) ctl, sum(b.trimp * exp(-(a.day - b.day) / 7.0E0)) * (1 - exp(-1 / 7.0E0)) atl
 FROM r a JOIN r b ON b.route_id = a.route_id AND (b.day < a.day OR (b.day = a.day AND b.ride_id <= a.ride_id)) GROUP BY ALL)
-SELECT rider, id, round(day, 6) AS day, round(ctl, 6) ctl, round(atl, 6) atl, false late FROM e""")
+SELECT rider, id, round(day, 6) AS day, round(ctl, 6) ctl, round(atl, 6) atl FROM e""")
 def late_load(spark, sf_dir):
     """Riders' loads from a stream in which every third ride comes a batch, some 400 days, later than its day."""
     r = rides(spark, sf_dir).select(F.col("route_id").cast("long").alias("rider"), F.col("ride_id").cast("long").alias("id"), F.col("day").cast("double").alias("day"), F.col("trimp").cast("double").alias("trimp"))
@@ -37,7 +37,7 @@ def late_load(spark, sf_dir):
     r.agg(F.lit(-1).cast("long").alias("rider"), F.lit(-1).cast("long").alias("id"), (F.max("day") + 2000).alias("day"), F.lit(0.0).alias("trimp")).where("day IS NOT NULL").write.mode("append").parquet(f"{out}/in")
     _to_the_end(spark, out, schema)
     found = spark.read.parquet(f"{out}/out")
-    return found.where("rider >= 0").select("rider", "id", r6("day"), r6("ctl"), r6("atl"), "late")
+    return found.where("rider >= 0").select("rider", "id", r6("day"), r6("ctl"), r6("atl"))
 
 
 def _to_the_end(spark, out: str, schema) -> None:

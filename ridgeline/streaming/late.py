@@ -21,12 +21,12 @@ def _folded(last: float | None, ctl: float, atl: float, day: float, load: float)
 
 
 def training_load(events: DataFrame, key: str = "rider", day: str = "day", id: str = "id", load: str = "trimp", delay: str = "14 days", provisional: bool = False) -> DataFrame:
-    """Long and short load after every event, once the watermark has passed its day: key, id, day, ctl, atl, final, late. Any order of arrival within the delay gives the batch's result.
+    """Long and short load after every event, once the watermark has passed its day: key, id, day, ctl, atl, final. Any order of arrival within the delay gives the batch's result.
 
     The state of a key is the load up to the last settled event and the events that are not settled, ordered by (day, id); a timer at the first of these settles it without
     new events. provisional: what a batch adds is also told at once, with final = false, together with everything after it that it changes. An event behind the
-    watermark and behind a settled one can't be placed any more: it goes out with null loads and ``late``, so that a batch run can take it up."""
-    schema = f"{key} long, {id} long, {day} double, ctl double, atl double, final boolean, late boolean"
+    watermark can't be placed any more: Spark leaves it out and counts it (numRowsDroppedByWatermark in the query's progress)."""
+    schema = f"{key} long, {id} long, {day} double, ctl double, atl double, final boolean"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,9 +37,6 @@ def training_load(events: DataFrame, key: str = "rider", day: str = "day", id: s
             for frame in frames:
                 for d, i, x in zip(frame[day], frame[id], frame[load].fillna(0.0), strict=True):
                     event = float(d), int(i), float(x)
-                    if last is not None and d < last:
-                        out.append((k[0], event[1], event[0], None, None, True, True))
-                        continue
                     waiting.append(event)
                     first_new = event if first_new is None else min(first_new, event)
         waiting.sort()
@@ -49,7 +46,7 @@ def training_load(events: DataFrame, key: str = "rider", day: str = "day", id: s
             d, i, x = waiting[settled]
             ctl, atl = _folded(last, ctl, atl, d, x)
             last, settled = d, settled + 1
-            out.append((k[0], i, d, ctl, atl, True, False))
+            out.append((k[0], i, d, ctl, atl, True))
         waiting = waiting[settled:]
         if provisional and first_new is not None:
             then, a, b = last, ctl, atl
@@ -57,7 +54,7 @@ def training_load(events: DataFrame, key: str = "rider", day: str = "day", id: s
                 a, b = _folded(then, a, b, event[0], event[2])
                 then = event[0]
                 if event >= first_new:
-                    out.append((k[0], event[1], event[0], a, b, False, False))
+                    out.append((k[0], event[1], event[0], a, b, False))
         state.update((last, ctl, atl, *([e[c] for e in waiting] for c in range(3))))
         if waiting:
             state.setTimeoutTimestamp(max(int(waiting[0][0] * DAY_MS), mark) + 1)
