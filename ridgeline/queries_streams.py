@@ -17,7 +17,7 @@ def coast_segments_function(spark, sf_dir):
     """The coasting segments by SQL: TABLE(...) PARTITION BY ride ORDER BY sample."""
     runs_udtf.register(spark)
     samples = points(spark, sf_dir).select("ride_id", "idx", "t", F.expr(COASTING).alias("is_on"))
-    found = spark.sql("SELECT * FROM runs(TABLE(SELECT * FROM {samples}) PARTITION BY ride_id ORDER BY idx, 3)", samples=samples)
+    found = spark.sql("SELECT * FROM runs(3, TABLE(SELECT * FROM {samples}) PARTITION BY ride_id ORDER BY idx)", samples=samples)
     return found.select("ride_id", "island", "n_points", r6("t_start"), r6("t_end"))
 
 

@@ -1,6 +1,6 @@
 """A table function: runs of samples of one ride after another, as SQL asks for them.
 
-    SELECT * FROM runs(TABLE(samples) PARTITION BY ride_id ORDER BY idx, 3)
+    SELECT * FROM runs(3, TABLE(samples) PARTITION BY ride_id ORDER BY idx)
 
 The samples have the columns ride_id, t and is_on. A run goes out when it ends, so a ride of any length needs no more memory than its last run's bounds.
 """
@@ -27,7 +27,7 @@ class Runs:
             yield ride, self.island, n, start, end
         self.open = None
 
-    def eval(self, row: Row, least: int = 1) -> Iterator[tuple]:
+    def eval(self, least: int, row: Row) -> Iterator[tuple]:
         self.least = least
         if not row["is_on"]:
             yield from self._ended()

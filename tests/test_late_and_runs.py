@@ -68,5 +68,5 @@ def test_runs_of_a_table_function(spark):
                 want.append((ride, island, len(own), min(known, default=None), max(known, default=None)))
                 own = []
     for least in (1, 3):
-        got = spark.sql(f"SELECT * FROM runs_of(TABLE(run_samples) PARTITION BY ride_id ORDER BY idx, {least})").collect()
+        got = spark.sql(f"SELECT * FROM runs_of({least}, TABLE(run_samples) PARTITION BY ride_id ORDER BY idx)").collect()
         assert sorted(tuple(r) for r in got) == sorted(w for w in want if w[2] >= least)
