@@ -184,11 +184,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its exact name, whatever signs that has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(df, c) for c in df.columns]
+
+
 def _marked(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, Column]:
     """The rows as structs, and whether a bitmap of the ids has a row's id. BLOOM_BITS / 8 bytes at most go to all tasks."""
     hashed = lambda d: F.pmod(F.xxhash64(d[key]), F.lit(BLOOM_BITS)) + 1
     bits = ids.select(hashed(ids).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    packed_rows = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), hashed(rows).alias("_hash"))
+    packed_rows = rows.select(F.struct(*columns(rows)).alias("_row"), hashed(rows).alias("_hash"))
     at = F.bitmap_bit_position("_hash")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
@@ -211,7 +220,7 @@ def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     """Exactly the rows without these ids (a null id stays): only rows whose id the bitmap has are shuffled, to an exact join."""
     marked, bit = _marked(rows, ids, key)
     doubtful = _unpacked(marked.where(bit), rows.columns)
-    return _unpacked(marked.where(~bit), rows.columns).union(doubtful.join(ids, key, "left_anti").select(*[doubtful[c] for c in rows.columns]))
+    return _unpacked(marked.where(~bit), rows.columns).union(doubtful.join(ids, key, "left_anti").select(*columns(doubtful)))
 
 
 def distinct_groups(ordered: np.ndarray) -> np.ndarray:
@@ -296,4 +305,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only id and text, so that other columns of any name can't clash with an operator's own."""
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    return docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).cast("string").alias("text"))

@@ -25,6 +25,7 @@ from .common import PIECE, buffers, give_back, runs, small_batches, table
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 4000
+PICKS = 1 << 62  # a sample is drawn by a hash below a share of this, so it is as exact for 10^12 rows as for a few
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
 
@@ -78,14 +79,14 @@ def train(docs: DataFrame, text: Column, lang: Column, key: Column, per_language
     """Fit on rows with text and language; key picks the sample, the same one on every run."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(text.alias("text"), lang.cast("string").alias("lang"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("pick")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = docs.select(text.alias("text"), lang.cast("string").alias("lang"), F.pmod(F.xxhash64(key), F.lit(PICKS)).alias("pick")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, per_language / sizes[k]) * 1_000_000))])
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(PICKS, max(1, PICKS * per_language // sizes[k])))])
     sample = rows.where(F.col("pick") < share[F.col("lang")]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", to: str = "langua
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict every document's language; learn from the two thirds that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))  # a document without an id is not held out
     model = train(docs.where(~held_out), F.col("text"), F.col("lang"), F.col("doc_id"))
     done = predict(docs.select("doc_id", "text"), model)
     return done.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")

@@ -9,7 +9,8 @@ The join with the cells' weights has no hint: Spark broadcasts them where they a
 
 Defined results: a null source, language or topic counts as the value ``''``; null text has no tokens, and it or a text
 without keyword topic ``none``; a value without a target keeps factor 1, as does a margin value without tokens; repeated ids are drawn alike; no rows give no rows;
-columns of the documents stay, whatever their names.
+columns of the documents stay, whatever their names,
+but for one with the new column's name in any case, which that replaces.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import column, columns, stored, table
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 8
@@ -69,10 +70,10 @@ def residuals(raked: DataFrame) -> DataFrame:
     return sums.groupBy("margin").agg(F.max(F.abs(F.col("x") - F.col("target"))).alias("residual"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic_of: Column | None = None) -> DataFrame:
-    """The documents with one more column ``mix``: struct<source, lang, topic, n_tokens, weight, probability, sampled>."""
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic_of: Column | None = None, to: str = "mix") -> DataFrame:
+    """The documents with one more column ``to``: struct<source, lang, topic, n_tokens, weight, probability, sampled>."""
     value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    keys = F.struct(value(docs[source]).alias("source"), value(docs[lang]).alias("lang"), value(topic(docs[text]) if topic_of is None else topic_of).alias("topic"), tokens(docs[text]).alias("n_tokens"))
+    keys = F.struct(value(column(docs, source)).alias("source"), value(column(docs, lang)).alias("lang"), value(topic(column(docs, text)) if topic_of is None else topic_of).alias("topic"), tokens(column(docs, text)).alias("n_tokens"))
     sums = stored(docs.select(keys.alias("k")).groupBy("k.source", "k.lang", "k.topic").agg(F.sum("k.n_tokens").alias("tokens")), "mix-cells")
     total = sums.agg(F.sum("tokens")).first()[0] or 1
     cells = sums.select(*MARGINS, (F.col("tokens") / F.lit(float(total))).alias("w"))
@@ -80,12 +81,12 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id:
     weight = F.col("f_source") * F.col("f_lang") * F.col("f_topic")
     weights = stored(rake(cells, targets).select(F.struct(*MARGINS).alias("cell"), weight.alias("weight")), "mix-weights")
     most = weights.agg(F.max("weight")).first()[0] or 1.0
-    every = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), keys.alias("k"))
+    every = docs.select(F.struct(*columns(docs)).alias("row"), keys.alias("k"))
     joined = every.join(weights, F.struct("k.source", "k.lang", "k.topic") == F.col("cell"), "left")
     probability = F.round(F.col("weight") / F.lit(most), 6)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(f"row.{doc_id}").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("row").getField(doc_id).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     mix = F.struct("k.*", F.round("weight", 6).alias("weight"), probability.alias("probability"), (draw < probability).alias("sampled"))
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "mix"], mix.alias("mix"))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != to.lower()], mix.alias(to))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

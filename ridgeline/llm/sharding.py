@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored, table
+from .common import column, shared_folder, stored, table
 
 SHARDS = 24
 SEED = "shard-1"
@@ -52,11 +52,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     carry: the columns that go along through the exchanges (default: all); without the text these are some hundred bytes a row."""
     total = docs.count()
     ranges = max(1, math.isqrt(total))
-    q = lambda c: docs[f"`{c.replace('`', '``')}`"]
-    words, src = _text(q(text)), _text(q(source))
-    kept = F.struct(*[q(c) for c in (docs.columns if carry is None else carry) if c.lower() != to.lower()]).alias("row")
+    words, src = _text(column(docs, text)), _text(column(docs, source))
+    kept = F.struct(*[column(docs, c) for c in (docs.columns if carry is None else carry) if c.lower() != to.lower()]).alias("row")
     rows = docs.select(
-        kept, src.alias("_source"), _fraction(F.concat(F.lit(f"{seed}:"), _text(q(doc_id)))).alias("_shuffled"), _fraction(F.concat(F.lit(f"{seed}/"), src)).alias("_phase"), _text(q(doc_id)).alias("_id"), F.md5(words).alias("_text"),
+        kept, src.alias("_source"), _fraction(F.concat(F.lit(f"{seed}:"), _text(column(docs, doc_id)))).alias("_shuffled"), _fraction(F.concat(F.lit(f"{seed}/"), src)).alias("_phase"), _text(column(docs, doc_id)).alias("_id"), F.md5(words).alias("_text"),
         (F.octet_length(words).cast("long") + 8).alias("_size"), F.crc32(words).alias("_crc"),
     )
     ranked = _ordered(rows, "_shuffled", ranges, ["_id", "_text"], ["_source"])

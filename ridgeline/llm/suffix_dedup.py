@@ -369,12 +369,22 @@ def _settled(batch: list, done: np.ndarray, own: np.ndarray, offset: np.ndarray,
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, of: ids that name one text each; ``of`` is the id that was given. Only ids of several rows are replaced, by a hash of id and text."""
+    several = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several")), "several")
+    if several.isEmpty():
+        return docs.withColumn("of", F.col("doc_id"))
+    key = F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    return docs.join(several, "doc_id", "left").select(key.alias("doc_id"), "text", F.col("doc_id").alias("of"))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for documents(doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = _keyed(docs)
     buckets = homes = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     again = stored(_anchors_again(some, buckets, homes), "anchors")
     some = having_ids(some, listed_ids(again.where("home >= 0")))
     ranges = _repeats(some, again, common_keys(again), buckets, homes)
@@ -397,7 +407,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 gone = np.cumsum(edge)[:-1] > 0
             for column, value in zip(out, (len(body), int(gone.sum()), len(_stretches(gone)[0]), body[~gone].tobytes()), strict=True):
                 column.append(value)
-        return pa.table({"doc_id": pa.array(keys, pa.int64()), **{n: pa.array(x, pa.int64()) for n, x in zip(("n_bytes", "n_removed", "n_spans"), out, strict=False)}, "kept": pa.array(out[3], pa.binary())})
+        return pa.table({"doc_id": texts.column("of"), **{n: pa.array(x, pa.int64()) for n, x in zip(("n_bytes", "n_removed", "n_spans"), out, strict=False)}, "kept": pa.array(out[3], pa.binary())})
 
     homed = docs.withColumn("home", home_column(homes)("doc_id"))
     return ranges.groupBy("home").cogroup(homed.groupBy("home")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

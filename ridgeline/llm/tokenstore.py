@@ -45,10 +45,10 @@ MAX_UNITS = 1 << 20  # that one Python worker remembers: some 150 MB
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MAGIC = b"WVM2"
 _BETWEEN = b"|"
-# what the tokenizer's pattern matches in words of ASCII; words with other characters are whole
+# what the tokenizer's pattern matches in words of ASCII; words with other characters are whole; these are looked for at a word's beginning only
 _SHORT = rb"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]"
 _ASCII_UNIT = re.compile(rb"[A-Za-z]+|[0-9]|" + _SHORT + rb"|[^ \t-\rA-Za-z0-9]+")
-_UNIT = re.compile(rb"[A-Za-z]+(?=[ \t-\r])|[^ \t-\r\x80-\xff]*+[\x80-\xff][^ \t-\r]*|" + _SHORT + rb"|[A-Za-z]+|[0-9]|[^ \t-\rA-Za-z0-9\x80-\xff]+")
+_UNIT = re.compile(rb"[A-Za-z]+(?=[ \t-\r])|(?<![^ \t-\r])[^ \t-\r\x80-\xff]*+[\x80-\xff][^ \t-\r]*|" + _SHORT + rb"|[A-Za-z]+|[0-9]|[^ \t-\rA-Za-z0-9\x80-\xff]+")
 
 
 class Plane:

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from ridgeline.llm import prefix_trie, repair, sharding
@@ -239,3 +240,72 @@ def test_nodes_with_their_turns(spark):
     table = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a")], "conv_id long, turn int, role string, text string")
     got = prefix_trie.with_turns(prefix_trie.trie(prefix_trie.turns_of(table), 2), table).orderBy("depth").select("depth", "n_convs", "role", "text").collect()
     assert [tuple(r) for r in got] == [(0, 2, None, None), (1, 2, "user", "a"), (2, 1, "assistant", "b")]
+
+
+# --- names, ids and words that once broke earlier operators
+
+
+ODD = ["a.b", "MIX", "TOLD", "Row", "`quoted`"]
+
+
+def odd_docs(spark):
+    rows = [(i, f"The quick brown fox number {i} jumps over the lazy dog again and again.", ["en", "de"][i % 2], f"s{i % 3}", 70, *["x"] * len(ODD)) for i in range(40)]
+    rows += [(None, "Der Hund lief weit weg.", "de", "s1", 23, *["x"] * len(ODD))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in ODD))
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    docs = odd_docs(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[-len(ODD) :] == ("x",) * len(ODD) for r in kept)
+    assert all(r.round_trip for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect())
+
+
+def test_mixing_replaces_a_column_of_its_own_name_only(spark):
+    from ridgeline.llm import mixing
+
+    assert mixing.mixed(odd_docs(spark)).columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "TOLD", "Row", "`quoted`", "mix"]
+
+
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    from ridgeline.llm import suffix_dedup
+
+    long = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(943))
+    rows = [(1, long), (1, "short"), (2, long), (2, long), (None, long), (None, "x"), (3, None), (3, "é" * 3)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in got), key=str) == sorted([(1, 943, 943), (1, 5, 0), (2, 943, 943), (2, 943, 943), (None, 943, 0), (None, 1, 0), (3, 0, 0), (3, 6, 0)], key=str)
+
+
+def test_long_words_beside_other_scripts():
+    import time
+
+    import numpy as np
+
+    from ridgeline.llm import tokenstore
+
+    with open(tokenstore.TOKENIZER, encoding="utf-8") as f:
+        enc = tokenstore.WordEncoder(f.read())
+    texts = ["é " + "a1" * 500_000, "a1" * 20 + "é" + "b2" * 20 + " x9 " + "é1 don't a1é", "1é2 é", "日本a1 1a日"]
+    raw = [t.encode() for t in texts]
+    began = time.process_time()
+    ids, counts = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert time.process_time() - began < 4
+    ends = np.cumsum(counts).tolist()
+    for k in (1, 2, 3):
+        assert ids[ends[k - 1] : ends[k]].tolist() == enc.tokenizer.encode(texts[k], add_special_tokens=False).ids
+    assert counts[0] > 900_000
+
+
+def test_share_of_a_sample(spark):
+    from ridgeline.llm import langid
+
+    docs = spark.range(20_000).selectExpr("id doc_id", "concat('some words here ', id) text", "if(id % 2 = 0, 'en', 'de') lang")
+    model = langid.train(docs, docs["text"], docs["lang"], docs["doc_id"], per_language=500)
+    assert model.languages == ["de", "en"]
+    assert (langid.score_rows(model, pa.array(["some words here 7"]))[1] > 0).all()
+    assert langid.PICKS * 4000 // 10**12 > 0  # a language of 10^12 rows still has its sample
