@@ -11,18 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import bpe, langid, mixing, ngram_join, pii
-from ridgeline.llm.common import small_batches, stored, table, texts_of, without_ids
+from ridgeline.llm.common import column, columns, small_batches, stored, table, texts_of, without_ids
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have, in any case."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def like(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows with the columns of the documents."""
+    return rows.select(*[column(rows, c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without text or letters go. A missing lang is filled in. A null id changes nothing, repeated rows
     are each told, further columns stay whatever their names."""
     model = langid.train(docs, docs["text"], docs["lang"], docs["doc_id"])
-    to = "told"
-    while to in docs.columns:
-        to += "_"
+    to = unused(docs, "told")
     told = langid.predict(docs, model, to=to).where(F.col(f"{to}.lang_pred") != langid.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", f"{to}.lang_pred")).select(*docs.columns)
+    return like(told.withColumn("lang", F.coalesce("lang", f"{to}.lang_pred")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +46,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts with each piece of personal data replaced by its kind; a null text stays null. All rows stay."""
     small_batches(spark)
     clean = docs.withColumn("text", pii.redacted(F.col("text")))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return like(clean.withColumn("n_chars", F.char_length("text").cast("long")), docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are drawn with calibrated probabilities; rows that share an id, or have none, are drawn alike."""
-    return mixing.mixed(docs).where("mix.sampled").select(*docs.columns)
+    to = unused(docs, "mix")
+    return like(mixing.mixed(docs, to=to).where(F.col(f"{to}.sampled")), docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and whether their decoding gives the text's bytes; one row for each row."""
-    done = bpe.decode(bpe.encode(docs.select(*docs.columns)))
+    done = bpe.decode(bpe.encode(docs.select(*columns(docs))))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return done.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 
