@@ -32,9 +32,9 @@ def _files(spark, sf_dir, which: str):
 
 
 @query(_SIZED + """ SELECT path, CASE WHEN why IS NOT NULL THEN 'error' WHEN path LIKE '%-copy' OR (late AND ride_id % 7 <> 3) THEN 'duplicate' ELSE 'done' END status,
-coalesce(why, CASE WHEN path LIKE '%-copy' OR (late AND ride_id % 7 <> 3) THEN 'Already imported' ELSE 'Imported' END) message, CASE WHEN why IS NULL THEN n END n_points FROM j""")
+coalesce(why, CASE WHEN path LIKE '%-copy' OR (late AND ride_id % 7 <> 3) THEN 'Already imported' ELSE 'Imported' END) message, CASE WHEN why IS NULL THEN n ELSE 0 END n_points FROM j""")
 def import_jobs(spark, sf_dir):
-    """Each job's final state after two runs of the import: good, repeated, cut and oversized files, and the ride that a job's content has given."""
+    """Each job's final state after two runs of the import: good, repeated, cut and oversized files, and the samples of the ride that a job's content has given (0: none)."""
     root = storage.new_path(spark, "imports")
     schema = "path string, content binary, file_hash string"
     for which in ("a", "b"):
@@ -42,7 +42,7 @@ def import_jobs(spark, sf_dir):
         stream = spark.readStream.schema(schema).parquet(f"{root}/drop")
         jobs.import_files(stream, f"{root}/tables", f"{root}/log", max_bytes=LIMIT).awaitTermination()
     rides = committed.read(spark, f"{root}/tables", "ride").select("file_hash", "n_points")
-    return jobs.states(jobs.events(spark, f"{root}/tables")).join(rides, "file_hash", "left").select("path", "status", "message", "n_points")
+    return jobs.states(jobs.events(spark, f"{root}/tables")).join(rides, "file_hash", "left").select("path", "status", "message", F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
 @query(P + "SELECT ride_id, count(*) n_gps, count(hr) n_hr, count(*) n_power, 1 n_weather, round(sum(hr), 6) sum_hr, round(max(dist), 6) far FROM p WHERE ride_id % 3 <> 2 GROUP BY ride_id")

@@ -52,25 +52,25 @@ def _near(c: str, truth, width: float) -> F.Column:
     return F.abs(F.col(c) - truth) < width
 
 
-@query(P + "SELECT DISTINCT ride_id, ride_id % 10 <> 9 recovered, true crr_near, true cda_near, true wind_near, CASE WHEN ride_id % 10 <> 9 THEN true END known_spread FROM p")
+@query(P + "SELECT DISTINCT ride_id, ride_id % 10 <> 9 recovered, true crr_near, true cda_near, true wind_near, true known_spread FROM p")
 def loop_fit_noisy(spark, sf_dir):
     """Each ride's constants and wind from its own noisy coasts: within 0.002 and 0.03 of the truth, the wind within 0.8 m/s. Rides of one heading fall back to their archived wind."""
     rides = wind_fits.coasting(noisy_coasts(spark, sf_dir))
     wind, to = _wind()
     weather = rides.select("ride_id", wind.alias("wind"), to.alias("wind_dir"), F.lit(RHO).alias("rho"))
     found = wind_fits.with_fallback(rides, weather)
-    spread = F.when(F.col("recovered"), F.col("crr_sigma").between(5e-5, 1e-3) & F.col("cda_sigma").between(1e-3, 2e-2))
+    spread = F.when(F.col("recovered"), F.col("crr_sigma").between(5e-5, 1e-3) & F.col("cda_sigma").between(1e-3, 2e-2)).otherwise(F.col("crr_sigma").isNull())
     return found.select("ride_id", "recovered", _near("crr", CRR, 0.002).alias("crr_near"), _near("cda", CDA, 0.03).alias("cda_near"), _near("wind", wind, 0.8).alias("wind_near"), spread.alias("known_spread"))
 
 
-@query(P + ", n AS (SELECT DISTINCT ride_id, ride_id % 10 = 9 straight FROM p) SELECT ride_id, straight, CASE WHEN NOT straight THEN true END crr_near, CASE WHEN NOT straight THEN true END cda_near, CASE WHEN NOT straight THEN true END wind_near, CASE WHEN NOT straight THEN CAST((SELECT count(*) FROM n WHERE NOT straight) AS INTEGER) END n_rides FROM n")
+@query(P + ", n AS (SELECT DISTINCT ride_id, ride_id % 10 = 9 straight FROM p) SELECT ride_id, straight, NOT straight told, NOT straight crr_near, NOT straight cda_near, NOT straight wind_near, CASE WHEN straight THEN 0 ELSE CAST((SELECT count(*) FROM n WHERE NOT straight) AS INTEGER) END n_rides FROM n")
 def pooled_fit_noisy(spark, sf_dir):
-    """Rides that turn, as one pool: its constants within 0.00087 and 0.021 of the truth, each wind within 0.8 m/s; rides of one heading, as another: nulls, as nothing can be told."""
+    """Rides that turn, as one pool: its constants within 0.00087 and 0.021 of the truth, each wind within 0.8 m/s; rides of one heading, as another, of which nothing can be told."""
     wind, _ = _wind()
     rides = wind_fits.coasting(noisy_coasts(spark, sf_dir))
-    out = None
+    nears, out = {"crr_near": _near("crr", CRR, 0.00087), "cda_near": _near("cda", CDA, 0.021), "wind_near": _near("wind", wind, 0.8)}, None
     for straight in (False, True):
         found = wind_fits.pooled_fits(rides.where((F.col("ride_id") % 10 == 9) == straight))
-        rows = found.select("ride_id", F.lit(straight).alias("straight"), _near("crr", CRR, 0.00087).alias("crr_near"), _near("cda", CDA, 0.021).alias("cda_near"), _near("wind", wind, 0.8).alias("wind_near"), "n_rides")
+        rows = found.select("ride_id", F.lit(straight).alias("straight"), F.col("crr").isNotNull().alias("told"), *[F.coalesce(near, F.lit(False)).alias(n) for n, near in nears.items()], F.coalesce("n_rides", F.lit(0)).alias("n_rides"))
         out = rows if out is None else out.union(rows)
     return out
