@@ -47,19 +47,25 @@ def stage(root: str, batch: int, name: str, rows: DataFrame) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
 
 
+def commit(spark: SparkSession, root: str, batch: int, names: list[str]) -> None:
+    """Write the marker: from now on readers see the batch's staged rows of these tables."""
+    spark.createDataFrame([(batch, sorted(names))], COMMITS).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+
+
 def insert(spark: SparkSession, root: str, batch: int, tables: dict[str, DataFrame]) -> bool:
     """Stage all tables of a batch, then commit it; False if it was committed before, and nothing is done."""
     if is_committed(spark, root, batch):
         return False
     for name, rows in tables.items():
         stage(root, batch, name, rows)
-    spark.createDataFrame([(batch, sorted(tables))], COMMITS).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    commit(spark, root, batch, list(tables))
     return True
 
 
-def read(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
+def read(spark: SparkSession, root: str, name: str, schema: str | T.StructType | None = None) -> DataFrame:
     """The committed rows of a table, with their batch."""
-    fields = T.StructType.fromDDL(schema or RIDE_TABLES[name])
+    schema = RIDE_TABLES[name] if schema is None else schema
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     rows = rows_at(spark, f"{root}/{name}", T.StructType([*fields.fields, T.StructField("batch", T.LongType())]))
     return rows.join(commits(spark, root).where(F.array_contains("tables", name)).select("batch"), "batch", "left_semi")
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .catalog import query, r6
-from .plans import committed, ride_pipeline, storage
+from .catalog import ORACLES, query, r6
+from .plans import committed, recompute, ride_pipeline, storage
 from .plans.views import TAGGED_SQL, points, tagged
 from .queries_time import P
 from .sources import activity, patch
@@ -83,3 +84,30 @@ def tagged_power(spark, sf_dir):
     """Power with tags, against 4 m/s of wind: a descent that is tagged as pedalled has power again."""
     p = ride_pipeline.powered(tagged(spark, sf_dir), "speed", 0.0, 1.225, headwind=F.lit(4.0), label="label")
     return p.select("ride_id", "idx", "mode", "label", r6("watts_est", "watts"))
+
+
+RECOMPUTE = [
+    recompute.Step("shape", ("samples",), lambda t: t["samples"].groupBy("ride_id").agg(F.count("*").alias("n"), F.max("dist").alias("far"))),
+    recompute.Step("power", ("samples", "tags", "profile"), lambda t: _tagged_watts(t["samples"], t["tags"], t["profile"])),
+    recompute.Step("load", (), lambda t: t["power"].join(t["shape"], "ride_id").groupBy("ride_id").agg(F.avg("watts_est").alias("watts"), F.first("n").alias("n"), F.first("far").alias("far")), after=("power", "shape")),
+]
+
+
+def _tagged_watts(samples, tags, profile):
+    joined = samples.join(tags, ["ride_id", "idx"], "left").crossJoin(F.broadcast(profile))
+    return ride_pipeline.powered(joined, "speed", 0.0, 1.225, headwind=F.col("wind"), label="label").select("ride_id", "idx", "watts_est", "mode")
+
+
+@query("SELECT ride_id, round(avg(watts), 3) watts, count(*) n, max(CASE WHEN tag IS NULL THEN 1 ELSE 2 END)::BIGINT power_batch, 1::BIGINT shape_batch, max(CASE WHEN tag IS NULL THEN 1 ELSE 2 END)::BIGINT load_batch FROM (SELECT *, label tag FROM (" + ORACLES["tagged_power"].replace(TAGGED_SQL, f"SELECT * REPLACE (CASE WHEN ride_id % 5 = 0 THEN label END AS label) FROM ({TAGGED_SQL})") + ")) GROUP BY ride_id")
+def partial_recompute(spark, sf_dir):
+    """Power and load of all rides after a fifth of them were tagged, with the batch that each of their tables is from: only tagged rides were computed again, and a third refresh did nothing."""
+    root = storage.new_path(spark, "derived")
+    p = storage.stored(tagged(spark, sf_dir).select("ride_id", "idx", "speed", "grade", "dist", "label"), "samples")
+    samples, profile = p.drop("label"), spark.range(1).select(F.lit(4.0).alias("wind"))
+    tags = p.where("label IS NOT NULL AND ride_id % 5 = 0").select("ride_id", "idx", "label")
+    for known in (tags.limit(0), tags, tags):
+        recompute.refresh(spark, root, RECOMPUTE, {"samples": samples, "tags": known}, {"profile": profile})
+    batch = lambda name, schema: recompute.table(spark, root, name, T.StructType.fromDDL(schema)).select("ride_id", F.col("batch").alias(f"{name}_batch")).distinct()
+    load = recompute.table(spark, root, "load", T.StructType.fromDDL("ride_id long, watts double, n long, far double"))
+    load = load.select("ride_id", F.round("watts", 3).alias("watts"), "n", F.col("batch").alias("load_batch"))
+    return load.join(batch("power", "ride_id long, idx long"), "ride_id").join(batch("shape", "ride_id long"), "ride_id")
