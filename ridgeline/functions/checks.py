@@ -58,11 +58,12 @@ def duration_text(seconds) -> Column:
 def gust_sigma(speeds: Column, gust, wind) -> Column:
     """Uncertainty of a ride's wind: 0.7 deviations of the hourly speeds and a half (three hours at least), no less than 0.4 of the gusts' excess; 0.5 to 4."""
     known = F.filter(speeds, lambda x: x.isNotNull())
-    n = F.size(known)
+    n = F.nullif(F.size(known), F.lit(0))
     mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / n
     spread = F.sqrt(F.aggregate(known, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
     hourly = F.when(n >= 3, F.least(F.greatest(spread * 0.7 + 0.5, F.lit(0.5)), F.lit(4.0)))
-    margin = F.greatest(_c(gust) - _c(wind), F.lit(0.0)) * 0.4
+    excess = _c(gust) - _c(wind)
+    margin = F.when(excess.isNotNull(), F.greatest(excess, F.lit(0.0))) * 0.4  # greatest skips nulls
     gusty = F.least(F.greatest(margin, F.lit(0.5)), F.lit(4.0))
     return F.when(margin.isNull(), hourly).otherwise(F.greatest(F.coalesce(hourly, F.lit(0.0)), gusty))
 

@@ -147,15 +147,9 @@ def cross_profile(spark, sf_dir):
     return J.with_singleton(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), top).select("c_custkey", r6(F.col("c_acctbal") / F.col("top"), "share"))
 
 
-@query("SELECT e.vec_id, round(min(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))), 5) novelty FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id < 20) x GROUP BY e.vec_id")
-def nearest_example(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    return J.nearest_example(e, e.where("vec_id < 20"), "embedding", None, "novelty").select("vec_id", F.round("novelty", 5).alias("novelty"))
-
-
 @query("SELECT e.vec_id, round(min(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))), 5) novelty FROM embeddings e, (SELECT embedding FROM embeddings WHERE label = 0) x GROUP BY e.vec_id")
 def nearest_labelled_example(spark, sf_dir):
-    """All rows of a label are examples; ``nearest_example`` is held to the twenty ids that its SQL has."""
+    """All rows of a label are examples."""
     e = _table(spark, sf_dir, "embeddings")
     return J.nearest_example(e, e.where("label = 0"), "embedding", None, "novelty").select("vec_id", F.round("novelty", 5).alias("novelty"))
 
@@ -239,14 +233,9 @@ def _metres(p, roads):
     return found.select("ride_id", "idx", "seg", F.round(G.point_to_segment("lat", "lon", "lat1", "lon1", "lat2", "lon2"), 5).alias("metres"))
 
 
-@query(P + _ROADS + _SEGMENT + " SELECT ride_id, idx, seg, round(metres, 5) metres FROM m WHERE seg % 50 = 0")
-def point_to_segment(spark, sf_dir):
-    return _metres(points(spark, sf_dir), _roads(spark, sf_dir).where("seg % 50 = 0"))
-
-
 @query(P + _ROADS + _SEGMENT + " SELECT ride_id, idx, seg, round(metres, 5) metres FROM m")
 def point_to_segment_all(spark, sf_dir):
-    """All segments; ``point_to_segment`` is held to the fiftieth of them that its SQL keeps."""
+    """Every sample and every segment that meet in a grid cell."""
     return _metres(points(spark, sf_dir), _roads(spark, sf_dir))
 
 

@@ -174,12 +174,15 @@ def ride_count(spark, sf_dir):
     return rides(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("has_hr").alias("n_hr"))
 
 
-@query(R + ", n AS (SELECT route_id, count(*) n, max(day) last FROM r GROUP BY route_id) SELECT route_id, n, CAST(row_number() OVER (ORDER BY n = 1, last DESC, route_id) AS INTEGER) place FROM n QUALIFY place <= 50")
+@query(R + ", n AS (SELECT route_id, count(*) n, max(day) last FROM r GROUP BY route_id) SELECT route_id, n, row_number() OVER (ORDER BY n = 1, last DESC, route_id) place FROM n")
 def repeated_then_solo(spark, sf_dir):
-    """Routes that were ridden more than once before those that were not, the latest first: the first 50 rows of the report."""
+    """Routes that were ridden more than once before those that were not, the latest first. A place is the count of earlier days' routes plus the place within the day, so no task orders all routes."""
     n = rides(spark, sf_dir).groupBy("route_id").agg(F.count("*").alias("n"), F.max("day").alias("last"))
-    top = n.orderBy(F.col("n") == 1, F.desc("last"), "route_id").limit(50)
-    return top.select("route_id", "n", F.row_number().over(Window.orderBy(F.col("n") == 1, F.desc("last"), "route_id")).alias("place"))
+    n = n.withColumns({"solo": F.col("n") == 1, "on": -F.floor("last")})
+    days = n.groupBy("solo", "on").agg(F.count("*").alias("_n"))  # a row a day
+    before = days.select("solo", "on", (F.sum("_n").over(Window.orderBy("solo", "on")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("solo", "on").orderBy(F.desc("last"), "route_id"))
+    return n.withColumn("_within", within).join(before, ["solo", "on"]).select("route_id", "n", (F.col("_before") + F.col("_within")).alias("place"))
 
 
 @query(R + " SELECT DISTINCT day x FROM (SELECT day FROM r WHERE has_hr UNION ALL SELECT day + 0.5E0 FROM r WHERE NOT has_hr)")

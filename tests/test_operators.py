@@ -295,7 +295,7 @@ def test_point_to_segment_all_segments(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert found.where("seg % 50 <> 0").count() > 0
-    assert "NestedLoop" not in QUERIES["point_to_segment"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in QUERIES["point_to_segment_all"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_nearest_example_with_many_examples(spark):
