@@ -4,15 +4,15 @@
    it. Equal windows have equal anchors. Anchors that occur once in the corpus are dropped; a window of which all three anchors occur
    again is a candidate.
 2. Neighbouring candidates with one anchor form a region; regions meet by anchor. Equal regions settle each other, and one of them
-   goes on. A task builds the transform of its regions and expands intervals breadth-first, by backward steps of eight bytes:
-   each round finds the places whose common prefix with the suffix before is one step longer than those of the round before,
-   and the rounds stop at 400. Suffixes that are still together start a string that occurs more than once.
+   goes on. A task builds the transform of its regions and expands intervals breadth-first, each round by one byte at the front:
+   round k finds the suffixes that have exactly k bytes in common with the one before, and the rounds stop at 400.
+   Suffixes that are still together start a string that occurs more than once. The sort that orders the suffixes tells no lengths.
 3. Anchors that occur more than ``COMMON`` times would make one region group grow with the corpus; candidates with no rarer anchor
    are compared by 64-bit hashes of their bytes instead, counted in each task before they are shuffled.
 4. Documents take their places back and drop the bytes.
 
 Defined results: null text counts as empty; shorter texts lose nothing; equal rows are elsewhere to each other; a null doc_id
-neither loses bytes nor counts; rows that share a doc_id must share the text; any 64-bit id is allowed; no rows give no rows.
+neither loses bytes nor counts; rows that share a doc_id are told apart by their texts; any 64-bit id is allowed; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ from .common import PIECE, buffers, combine, cut_of, distinct_groups, eights, ha
 
 LENGTH = 400
 GRAM = 32
-STEP = 8
 ORDERS = np.array([1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
 COMMON = 2000
 MAX_COMMON_KEYS = 1 << 18  # whose list is broadcast: 2 MB
 CHUNK = 1 << 20
-BATCH_BYTES = 1 << 16  # sorts of this size stay in the processor's cache; a larger group makes its own batch
+BATCH_BYTES = 1 << 18  # 400 rounds cost little a byte then; a larger group makes its own batch
 LONG = 2 << 20
 _PLACE, _PLACES = np.uint64(23), np.uint64((1 << 23) - 1)  # a piece has fewer bytes than that
 
@@ -87,57 +86,93 @@ class Piece:
         return ranked[place[at].astype(np.int64)], at, np.diff(np.append(at, len(place)))
 
 
-def repeated(regions: list[bytes]) -> list[np.ndarray]:
-    """For each region, whether the string of LENGTH bytes at each place occurs at another place of the regions too."""
-    sizes = np.array([len(r) for r in regions])
-    at = np.concatenate([[0], np.cumsum(sizes + 1)])
-    n = int(at[-1])
-    sym = np.zeros(n, np.int64)
-    inside = np.ones(n, bool)
-    inside[at[1:] - 1] = False
-    sym[inside] = np.frombuffer(b"".join(regions), np.uint8)
-    sym[~inside] = 256 + np.arange(len(regions))  # each region ends in a symbol of its own
-    bits = int(257 + len(regions)).bit_length()
+def suffix_order(sym: np.ndarray, bits: int) -> np.ndarray:
+    """Places of all suffixes in their order, by sorts of prefixes of doubling length. The last symbols of the regions differ, so no two suffixes are equal."""
+    n = len(sym)
     width = 4 if 4 * bits <= 62 else 2  # symbols in the first sort key
     ahead = np.append(sym + 1, np.zeros(width, np.int64))
     key = np.zeros(n, np.int64)
     for k in range(width):
         key = key << bits | ahead[k : k + n]
-    while True:  # sort suffixes by prefixes of doubling length
+    while True:
         order = np.argsort(key)
         ranked = key[order]
         new = np.ones(n, bool)
         new[1:] = ranked[1:] != ranked[:-1]
+        if new.all():
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        if width >= LENGTH or new.all():
-            break
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - width)] = rank[width:]
         key = rank * (n + 1) + ahead
         width *= 2
-    place = np.empty(n, np.int64)  # of each suffix in the sorted order
-    place[order] = np.arange(n)
-    # last-to-first steps: the suffix STEP bytes further on, seen from each sorted suffix and from the one before it
-    head = np.append(sym, np.full(STEP, -1))
-    same = np.ones(n, bool)
-    same[0] = False
-    for k in range(STEP):
-        c = head[order + k]
-        same[1:] &= c[1:] == c[:-1]
-    border = ~same  # common prefix shorter than STEP
-    active = np.flatnonzero(same)
-    further = np.minimum(order + STEP, n - 1)
-    here, before = place[further[active]], place[further[active - 1]]
-    for _ in range(1, LENGTH // STEP):
-        if not len(active):
-            break
-        group = np.cumsum(border)
-        parted = group[here] != group[before]
-        if not parted.any():
+
+
+class Transform:
+    """A Burrows-Wheeler transform that extends many intervals of suffixes backward at once.
+
+    Bit planes of the transform, highest first, split an interval into those of its distinct symbols, whatever its width."""
+
+    def __init__(self, symbols: np.ndarray, ends: int):
+        """symbols: the transform, small numbers of which the greatest is that of all ``ends`` region ends."""
+        n = len(symbols)
+        step = np.empty(n, np.int32)
+        step[np.argsort(symbols, kind="stable")] = np.arange(n, dtype=np.int32)  # last to first
+        self.step, self.bodies = step, n - ends  # suffixes that are an end alone come last
+        self.planes, of = [], np.arange(n)
+        for level in reversed(range(int(symbols.max()).bit_length())):
+            one = (symbols[of] >> level & 1).astype(bool)
+            self.planes.append(np.concatenate([[0], np.cumsum(~one)]).astype(np.int32))
+            of = np.concatenate([of[~one], of[one]])
+        self.last = step[of]
+
+    def backward(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of all strings that are one byte longer at the front than those of the intervals from lo up to hi."""
+        wide = hi - lo > 1
+        one = self.step[lo[~wide]]
+        lo, hi = lo[wide], hi[wide]
+        for zeros in self.planes if len(lo) else []:
+            low, high = zeros[lo], zeros[hi]
+            rest_low, rest_high = lo - low + zeros[-1], hi - high + zeros[-1]
+            lo, hi = np.concatenate([low, rest_low]), np.concatenate([high, rest_high])
+            some = lo < hi
+            lo, hi = lo[some], hi[some]
+        if len(lo):
+            lo, hi = self.last[lo], self.last[hi - 1] + 1
+        lo, hi = np.concatenate([one, lo]), np.concatenate([one + 1, hi])
+        body = lo < self.bodies
+        return lo[body], hi[body]
+
+
+def repeated(regions: list[bytes]) -> list[np.ndarray]:
+    """For each region, whether the string of LENGTH bytes at each place occurs at another place of the regions too.
+
+    Round k finds the borders between sorted suffixes that have exactly k bytes in common: they end the intervals of strings of k + 1 bytes, which
+    are the backward extensions of the intervals that the round before was the first to end. Borders that LENGTH rounds have not found lie within one string."""
+    sizes = np.array([len(r) for r in regions])
+    at = np.concatenate([[0], np.cumsum(sizes + 1)])
+    n = int(at[-1])
+    sym = np.zeros(n, np.int64)
+    inside = np.ones(n, bool)
+    inside[at[1:] - 1] = False
+    sym[inside] = np.frombuffer(b"".join(regions), np.uint8)
+    sym[~inside] = 256 + np.arange(len(regions))  # each region ends in a symbol of its own
+    order = suffix_order(sym, int(257 + len(regions)).bit_length())
+    _, small = np.unique(np.minimum(sym, 256), return_inverse=True)
+    transform = Transform(small[order - 1], len(regions))
+    border = np.zeros(n + 1, bool)
+    border[[0, n]] = True
+    head = sym[order]
+    lo = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])).astype(np.int32)
+    hi = np.append(lo[1:], np.int32(n))
+    for _ in range(LENGTH):
+        new = ~border[hi]
+        lo, hi = lo[new], hi[new]
+        if not len(hi):
             break
-        border[active[parted]] = True
-        active, here, before = active[~parted], here[~parted], before[~parted]
+        border[hi] = True
+        lo, hi = transform.backward(lo, hi)
     twice = np.zeros(n, bool)
     together = np.flatnonzero(~border)
     twice[order[together]] = True

@@ -256,6 +256,30 @@ def test_op6_transform(monkeypatch):
         assert [x.tolist() for x in suffix_dedup.repeated(regions)] == want
 
 
+def test_op6_backward_steps():
+    """Intervals of a transform, extended by one byte, are those of the longer strings."""
+    rng = random.Random(7)
+    for _ in range(30):
+        regions = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 4))]
+        sym = np.concatenate([np.append(np.frombuffer(r, np.uint8).astype(np.int64), 256 + k) for k, r in enumerate(regions)])
+        order = suffix_dedup.suffix_order(sym, 10)
+        suffixes = [sym[k:].tolist() for k in order]
+        assert suffixes == sorted(suffixes)
+        _, small = np.unique(np.minimum(sym, 256), return_inverse=True)
+        transform = suffix_dedup.Transform(small[order - 1], len(regions))
+
+        def interval(s, suffixes=suffixes):
+            hits = [k for k, x in enumerate(suffixes) if x[: len(s)] == s]
+            return (hits[0], hits[-1] + 1) if hits else None
+
+        for size in range(4):
+            strings = {tuple(x[:size]) for x in suffixes if all(c < 256 for c in x[:size])} or {()}
+            for s in strings:
+                lo, hi = interval(list(s))
+                got = sorted(zip(*(x.tolist() for x in transform.backward(np.array([lo]), np.array([hi]))), strict=True))
+                assert got == sorted(i for c in {97, 98, 0, 255} if (i := interval([c, *s])))
+
+
 def test_op6_empty(spark, nothing):
     assert suffix_dedup.op6_suffix_dedup(spark, nothing).count() == 0
 
