@@ -14,7 +14,8 @@ that is also among the smaller set's first ``n // 9 + 1``. Orders used:
    lacks before those it has, each by document frequency. Two sets with one leader can link only if the smaller of their shares
    of the leader is large enough alone, or if they have a prefix shingle under the leader's order that the leader lacks.
 
-A pair is a candidate if it passes the filters of 2 and 3 and no links found so far put it in one component. As near copies of one text
+A pair is a candidate if it passes the filters of 2 and 3 (pairs by a leader's order are held against their prefixes of order 2 before any set
+moves for them) and no links found so far put it in one component. As near copies of one text
 mostly link with its leader, and others have too small a share of it, few pairs are left of even a very large group. Every
 candidate is then verified, so the components are those of all links. Equal sets (by a 128-bit digest)
 are one class, a node named by one of its rows.
@@ -251,6 +252,16 @@ def _mixed(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     return stored(rows.join(stats, key), name)
 
 
+def _of_both_orders(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The pairs a, b of which the larger a's and the smaller b's prefixes by document frequency share a shingle as well. Only prefixes move, no whole sets."""
+    n, own = F.col("n"), F.col("n") - F.size("shared")
+
+    def first(name: str, node: str, part: int) -> DataFrame:
+        return shared.select(F.col("node").alias(node), F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.floor(n / part).cast("int") + 1 - own)).alias(name))
+
+    return pairs.join(first("long", "a", 5), "a").join(first("short", "b", 9), "b").where(F.arrays_overlap("long", "short")).select("a", "b")
+
+
 def _links(sets: DataFrame, buckets: int) -> DataFrame:
     """Links a, b whose components are those of all links between the sets."""
     shared = stored(_shared(sets), "ngram-shared")
@@ -283,7 +294,7 @@ def _links(sets: DataFrame, buckets: int) -> DataFrame:
     lacked = has.select("leader", "node", "n", "component", "reach", "before", F.posexplode("outside").alias("at", "token")).withColumn("index", F.col("before") + F.col("at") <= F.floor(n / 9))
     lacked = _mixed(lacked, ["leader", "token"], "ngram-lacked")
     outer = _candidates(lacked, lacked.where("index"), ["leader", "token"], (F.col("ra") < F.col("nb")) | (F.col("rb") < F.col("na")))
-    found = compared(inner.union(outer).distinct(), heads, others, buckets, False)
+    found = compared(inner.union(_of_both_orders(outer.distinct(), shared)).distinct(), heads, others, buckets, False)
     return links.union(found.where(LINKED).select("a", "b"))
 
 

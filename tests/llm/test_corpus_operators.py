@@ -330,3 +330,12 @@ def test_pipeline(spark, folder, texts):
 
 def test_pipeline_on_nothing(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def test_op4_pairs_of_both_orders(spark):
+    """A pair stays if its prefixes by document frequency meet: a fifth of the larger set, a ninth of the smaller, shingles of its own included."""
+    rows = [(1, 20, list(range(20))), (2, 18, [3, *range(100, 117)]), (3, 18, [*range(200, 203), 3, *range(300, 314)]), (4, 18, [3, *range(400, 415)])]
+    shared = spark.createDataFrame(rows, "node long, n int, shared array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    # 3 has the common shingle outside its first three; 4 has two shingles of its own before it, which leaves it the last of three
+    assert rows_of(ngram_join._of_both_orders(pairs, shared)) == [(1, 2), (1, 4)]
