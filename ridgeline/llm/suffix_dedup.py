@@ -87,43 +87,54 @@ class Piece:
 
 
 def suffix_order(sym: np.ndarray, bits: int) -> np.ndarray:
-    """Places of all suffixes in their order, by sorts of prefixes of doubling length. The last symbols of the regions differ, so no two suffixes are equal."""
-    n = len(sym)
-    width = 4 if 4 * bits <= 62 else 2  # symbols in the first sort key
+    """Places of all suffixes in their order, by sorts of prefixes of doubling length, of those that are still tied alone.
+
+    The last symbols of the regions differ: no two suffixes are equal, and tied ones go on beyond what they have in common."""
+    n, width = len(sym), max(1, 62 // bits)  # symbols in the first sort key
     ahead = np.append(sym + 1, np.zeros(width, np.int64))
     key = np.zeros(n, np.int64)
     for k in range(width):
         key = key << bits | ahead[k : k + n]
+    order, slots, rank = np.argsort(key), np.arange(n), np.empty(n, np.int64)
+    key = key[order]
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.ones(n, bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        if new.all():
+        new = np.append(True, key[1:] != key[:-1])
+        rank[order[slots]] = slots[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first slot of each tie
+        tied = ~(new & np.append(new[1:], True))
+        slots = slots[tied]
+        if not len(slots):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - width)] = rank[width:]
-        key = rank * (n + 1) + ahead
+        own = order[slots]
+        key = rank[own] * n + rank[own + width]
+        by = np.argsort(key)
+        order[slots], key = own[by], key[by]
         width *= 2
 
 
+def dense(sym: np.ndarray) -> np.ndarray:
+    """Small numbers in the order of the symbols: the bytes that occur, then one for all ends."""
+    plain = np.minimum(sym, 256)
+    number = np.cumsum(np.bincount(plain, minlength=257) > 0) - 1
+    return number.astype(np.uint16)[plain]
+
+
 class Transform:
     """A Burrows-Wheeler transform that extends many intervals of suffixes backward at once.
 
     Bit planes of the transform, highest first, split an interval into those of its distinct symbols, whatever its width."""
 
     def __init__(self, symbols: np.ndarray, ends: int):
-        """symbols: the transform, small numbers of which the greatest is that of all ``ends`` region ends."""
+        """symbols: the transform, small numbers (uint16) of which the greatest is that of all ``ends`` region ends."""
         n = len(symbols)
         step = np.empty(n, np.int32)
-        step[np.argsort(symbols, kind="stable")] = np.arange(n, dtype=np.int32)  # last to first
+        step[np.argsort(symbols, kind="stable")] = np.arange(n, dtype=np.int32)  # last to first; a radix sort
         self.step, self.bodies = step, n - ends  # suffixes that are an end alone come last
-        self.planes, of = [], np.arange(n)
+        self.planes, of = [], np.arange(n, dtype=np.int32)
         for level in reversed(range(int(symbols.max()).bit_length())):
-            one = (symbols[of] >> level & 1).astype(bool)
-            self.planes.append(np.concatenate([[0], np.cumsum(~one)]).astype(np.int32))
+            one = (symbols[of] >> np.uint16(level) & np.uint16(1)).astype(bool)
+            zeros = np.zeros(n + 1, np.int32)
+            np.cumsum(~one, out=zeros[1:])
+            self.planes.append(zeros)
             of = np.concatenate([of[~one], of[one]])
         self.last = step[of]
 
@@ -159,8 +170,7 @@ def repeated(regions: list[bytes]) -> list[np.ndarray]:
     sym[inside] = np.frombuffer(b"".join(regions), np.uint8)
     sym[~inside] = 256 + np.arange(len(regions))  # each region ends in a symbol of its own
     order = suffix_order(sym, int(257 + len(regions)).bit_length())
-    _, small = np.unique(np.minimum(sym, 256), return_inverse=True)
-    transform = Transform(small[order - 1], len(regions))
+    transform = Transform(dense(sym)[order - 1], len(regions))
     border = np.zeros(n + 1, bool)
     border[[0, n]] = True
     head = sym[order]
