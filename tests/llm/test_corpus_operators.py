@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -279,6 +280,31 @@ def test_op6_backward_steps():
                 assert got == sorted(i for c in {97, 98, 0, 255} if (i := interval([c, *s])))
 
 
+def test_anchors_of_windows_come_from_few_grams():
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).tolist()) for _ in range(400)]
+    rows = [b" ".join(words[k] for k in rng.integers(0, 400, n)) for n in (60, 300, 5, 900, 400)]
+    rows[2:2] = [b"The " * 300, b"a" * 1000, b"", rows[1][:400], rows[1][:399], b" ".join(words[:80]) + b"ab" * 500]
+    ends = np.cumsum([len(r) for r in rows])
+    data, span = np.frombuffer(b"".join(rows), np.uint8), suffix_dedup.LENGTH - suffix_dedup.GRAM + 1
+    piece = suffix_dedup.Piece(data, ends - [len(r) for r in rows], ends)
+    starts = [a for e, r in zip(ends.tolist(), rows, strict=True) for a in range(e - len(r), e - suffix_dedup.LENGTH + 1)]
+    for order in range(len(suffix_dedup.ORDERS)):
+        ranked = piece.grams * suffix_dedup.ORDERS[order]
+        places = [a + int(np.argmin(ranked[a : a + span] >> np.uint64(23))) for a in starts]
+        first = [k for k, x in enumerate(places) if not k or x != places[k - 1]]
+        anchor, at, size = piece.runs(order)
+        assert at.tolist() == first and anchor.tolist() == [int(ranked[places[k]]) for k in first]
+        assert size.tolist() == np.diff([*first, len(starts)]).tolist()
+    text = np.frombuffer(b" ".join(words[k] for k in rng.integers(0, 400, 40_000)), np.uint8)
+    piece = suffix_dedup.Piece(text, np.array([0]), np.array([len(text)]))
+    tracemalloc.start()
+    piece.runs(1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(text)  # the ranked grams take half of it; nothing else is held for every window
+
+
 def test_op6_empty(spark, nothing):
     assert suffix_dedup.op6_suffix_dedup(spark, nothing).count() == 0
 
