@@ -7,8 +7,9 @@ ones before every ``BLOCK`` bits, so that access, count and occurrence queries u
 ``token_at``, ``counted`` and ``occurrence`` ask them of a table of shards. Shards are written through Spark's own writer (one row a
 shard), so any store that Spark can write will do.
 
-Words and the pattern's matches in them are encoded once a worker and remembered by their bytes, where the tokenizer is of the kind that drops
-white space before it merges (``splits_at_space`` looks at its file); with any other, whole texts are encoded.
+Texts are cut at ASCII white space by Arrow, which numbers a batch's words too. Words, and the pattern's matches in those of Latin letters and ASCII signs, are
+encoded once a worker and remembered, where the tokenizer is of the kind that drops white space before it merges (``splits_at_space`` looks at its file); with
+any other, whole texts are encoded.
 
 Defined results: null and empty texts hold the end id alone; repeated ids stay separate documents, in the order of their
 texts; a null id comes first; no rows give no shards; a document longer than a shard gets a larger shard of its own.
@@ -22,10 +23,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
@@ -40,15 +41,15 @@ END_ID = 1
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
 PLANE_BLOCK = 1 << 12
-MAX_UNITS = 1 << 20  # that one Python worker remembers: some 150 MB
+MAX_WORDS, MAX_BYTES = 3 << 18, 1 << 26  # and as many units, that one Python worker remembers: some 200 MB
 #: Fixed value: the pattern of the kind of tokenizer that is encoded word by word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MAGIC = b"WVM2"
-_BETWEEN = b"|"
-# what the tokenizer's pattern matches in words of ASCII; words with other characters are whole; these are looked for at a word's beginning only
-_SHORT = rb"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]"
-_ASCII_UNIT = re.compile(rb"[A-Za-z]+|[0-9]|" + _SHORT + rb"|[^ \t-\rA-Za-z0-9]+")
-_UNIT = re.compile(rb"[A-Za-z]+(?=[ \t-\r])|(?<![^ \t-\r])[^ \t-\r\x80-\xff]*+[\x80-\xff][^ \t-\r]*|" + _SHORT + rb"|[A-Za-z]+|[0-9]|[^ \t-\rA-Za-z0-9\x80-\xff]+")
+_BETWEEN = "|"
+# letters that are letters in any version of Unicode, composed, each with one small letter; words of these and ASCII signs are split by the pattern here
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_LATIN = re.compile(f"[!-~{_LETTERS}]+")
+_UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]| |[^ 0-9{_LETTERS}]+")
 
 
 class Plane:
@@ -205,24 +206,44 @@ def splits_at_space(spec: str) -> bool:
     return bool(known and dropped and plain and special and j["model"]["type"] == "BPE" and not j.get("truncation") and not j["model"].get("dropout"))
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _roomy(values: np.ndarray, n: int) -> np.ndarray:
+    """The values, in an array that has room for n."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n - len(values), len(values)), values.dtype)])
+
+
 class _Memo(dict):
     """Strings in the order in which they were first asked for, and the ids of those that are learnt."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
-        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.new: list = []
+        self.held = 0
+        self.known, self.used = 0, 0  # strings and ids; the arrays have room for more
+        self.begin, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word) -> int:
         place = len(self)
         self.new.append(word)
+        self.held += len(word)
         self[word] = place
         return place
 
-    def learn(self, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """The ids of the new strings, one after another."""
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.size, self.ids, self.new = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids]), []
+    def learn(self, *parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """The ids of the new strings: which of them, their numbers of ids, and those one after another."""
+        self.begin, self.size = _roomy(self.begin, len(self)), _roomy(self.size, len(self))
+        for which, sizes, ids in parts:
+            self.begin[self.known + which], self.size[self.known + which] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.ids = _roomy(self.ids, self.used + len(ids))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        self.known, self.new = len(self), []
 
     def all_ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the strings at these places, one after another, and where each one's end."""
@@ -232,31 +253,40 @@ class _Memo(dict):
 
 
 class WordEncoder:
-    """Encode texts unit by unit, remembering units by their bytes; or whole texts, where units can't be told apart.
+    """Encode texts word by word, remembering words by their bytes; or whole texts, where words can't be told apart.
 
-    A unit is a match of the tokenizer's pattern within a word of ASCII (each match is merged by itself), or a whole word with other characters. Texts in
-    which a special token may stand are encoded whole."""
+    A word is what stands between ASCII white space. A word of Latin letters and ASCII signs is small letters and matches of the pattern (each is merged by
+    itself), which need the tokenizer's model alone; other words are left to the whole tokenizer. Texts in which a special token may stand are encoded whole."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(spec)
-        between = self.tokenizer.encode(_BETWEEN.decode(), add_special_tokens=False).ids
+        self.by_word = splits_at_space(spec)
+        between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         # a sign of which the id, with its word end, is its own and no part of any other word's
-        self.by_unit, self.between = splits_at_space(spec) and len(between) == 1, between[0] if between else None
-        self.units = _Memo()
-
-    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    def _learn(self) -> None:
-        """Encode new units, many at once with a word between them that none of them can give; those with its sign in them one by one."""
-        new = self.units.new
+        self.by_word, self.between = self.by_word and len(between) == 1, between[0] if between else None
+        self.merges = Tokenizer(self.tokenizer.model)  # without steps before it
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        j = json.loads(spec)
+        steps = (j.get("normalizer") or {}).get("normalizers") or [j.get("normalizer") or {}]
+        self.small = any(x.get("type") == "Lowercase" for x in steps)
+        byte_level = [x for x in (j.get("pre_tokenizer") or {}).get("pretokenizers", ()) if x.get("type") == "ByteLevel"]
+        self.latin = self.by_word and len(byte_level) == 1 and self.merges.encode(_BETWEEN).ids == between
+        self.signs = _byte_signs()
+        self.words, self.units = _Memo(), _Memo()
+
+    def _whole(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _each(self, new: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and ids of strings, many at once with a word between them that none of them can give; those with its sign in them one by one."""
         apart = [u for u in new if _BETWEEN in u]
-        one_by_one = dict(zip(apart, self._whole(apart), strict=True))
-        lines = [(b" " + _BETWEEN + b" ").join(b"" if u in one_by_one else u for u in new[a : a + 1000]) for a in range(0, len(new), 1000)]
-        sizes, ids = [], []
-        for a, got in zip(range(0, len(new), 1000), self._whole(lines), strict=True):
+        one_by_one = dict(zip(apart, self._whole(apart, tokenizer), strict=True))
+        lines = [f" {_BETWEEN} ".join("" if u in one_by_one else u for u in new[a : a + 1000]) for a in range(0, len(new), 1000)]
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for a, got in zip(range(0, len(new), 1000), self._whole(lines, tokenizer), strict=True):
             cuts = np.flatnonzero(got == self.between)
             size = np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1
             got = got[got != self.between]
@@ -265,33 +295,50 @@ class WordEncoder:
                 got, size[k] = np.concatenate([got[:at], own, got[at:]]), len(own)
             sizes.append(size)
             ids.append(got)
-        self.units.learn(np.concatenate(sizes), np.concatenate(ids))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _learn(self) -> None:
+        """Encode new words: Latin ones by their units, of which new ones pass through the merges, others through the whole tokenizer."""
+        new = [w.decode("utf-8", "replace") for w in self.words.new]
+        latin = np.fromiter((self.latin and _LATIN.fullmatch(w) is not None for w in new), bool, len(new))
+        line = "".join([w + " " for w, own in zip(new, latin.tolist(), strict=True) if own])
+        found = _UNIT.findall(line.lower() if self.small else line)
+        places = np.fromiter(map(self.units.__getitem__, found), np.int64, len(found))
+        if self.units.new:
+            signs = [u if u.isascii() else u.encode().decode("latin-1").translate(self.signs) for u in self.units.new]
+            self.units.learn((np.arange(len(signs)), *self._each(signs, self.merges)))
+        ids, ends = self.units.all_ids(places)
+        sizes = np.diff(np.append(0, ends[places == self.units.get(" ", -1)]))  # a blank ends a word and has no ids
+        others = [w for w, own in zip(new, latin.tolist(), strict=True) if not own]
+        self.words.learn((np.flatnonzero(latin), sizes, ids), (np.flatnonzero(~latin), *self._each(others)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and each row's number of ids."""
-        raw = data[offsets[0] : offsets[-1]].tobytes()
-        texts = [raw[a:b] for a, b in zip((offsets[:-1] - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), strict=True)]
-        if not self.by_unit or b"<|" in raw:
-            apart = [k for k, t in enumerate(texts) if not self.by_unit or b"<|" in t]
-            ids: list = [None] * len(texts)
-            for k, got in zip(apart, self._whole([texts[k] for k in apart]), strict=True):
-                ids[k] = got
-            for k, t in enumerate(texts):
-                if ids[k] is None:
-                    ids[k] = self._by_unit([t])[0]
-            return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.array([len(x) for x in ids], np.int64)
-        return self._by_unit(texts)
-
-    def _by_unit(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.units) > MAX_UNITS:
+        raw = data[offsets[0] : offsets[-1]]
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw)])
+        if self.by_word and b"<|" not in memoryview(raw).tobytes():
+            return self._by_word(texts)
+        ids: list = [None] * len(texts)
+        apart = [k for k, t in enumerate(texts) if not self.by_word or b"<|" in t.as_py()]
+        for k, got in zip(apart, self._whole([texts[k].as_py().decode("utf-8", "replace") for k in apart]), strict=True):
+            ids[k] = got
+        ids = [self._by_word(texts.slice(k, 1))[0] if x is None else x for k, x in enumerate(ids)]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _by_word(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > MAX_WORDS or self.words.held > MAX_BYTES:
+            self.words = _Memo()
+        if len(self.units) > MAX_WORDS or self.units.held > MAX_BYTES:
             self.units = _Memo()
-        units = [(_ASCII_UNIT if t.isascii() else _UNIT).findall(t) for t in texts]
-        counts = np.fromiter(map(len, units), np.int64, len(units))
-        places = np.fromiter(map(self.units.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
-        if self.units.new:
+        split = pc.ascii_split_whitespace(texts.view(pa.large_string()))  # with empty words at the ends, that have no ids
+        numbered = split.flatten().dictionary_encode()
+        distinct = numbered.dictionary.view(pa.large_binary()).to_pylist()
+        places = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        if self.words.new:
             self._learn()
-        ids, ends = self.units.all_ids(places)
-        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+        ids, ends = self.words.all_ids(places[numbered.indices.to_numpy()])
+        first = split.offsets.to_numpy()
+        return ids, np.diff(np.concatenate([[0], ends])[first - first[0]])
 
 
 @lru_cache(maxsize=2)
