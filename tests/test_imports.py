@@ -35,6 +35,16 @@ def test_checksums(monkeypatch):
         assert activity.crc(data, 0x1021, False) == by_bit(data, 0x1021, False) == binascii.crc_hqx(data, 0)
 
 
+def test_a_checksum_may_be_zero():
+    fields = [(activity.TIMESTAMP, 4, 0x86), (0, 4, 0x85), (1, 4, 0x85)]
+    files = (activity.encode([{activity.TIMESTAMP: t, 0: 600_000_000, 1: -20_000_000}], fields) for t in range(1_000_000, 1_200_000))
+    whole = next(f for f in files if f[-2:] == b"\0\0")
+    assert activity.checksum(whole) == (True, "reflected") and activity.records("a", whole)[0][-2:] == (True, "reflected")
+    assert activity.checksum(patch.patched(whole, [100.0])) == (True, "reflected")
+    other = activity.encode([{activity.TIMESTAMP: 5, 0: 600_000_000, 1: -20_000_000}], fields)
+    assert activity.checksum(other[:-2] + b"\0\0") == (None, None)  # none was written
+
+
 def test_broken_files_raise_value_errors_only():
     rng, data = random.Random(1), ride_file(0)
     broken = [data[:n] for n in range(len(data))]
