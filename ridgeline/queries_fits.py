@@ -67,6 +67,12 @@ def _known_steps(spark, sf_dir):
     return p.select("ride_id", "segment", F.lit(1.0).alias("dt"), v.alias("v"), heading.cast("double").alias("heading"), dv2.alias("dv2"), (-(0.5 * 86.0 * dv2 + lost) / (86.0 * 9.80665)).alias("rise"))
 
 
+def _enough(steps):
+    """The steps of rides of five segments or more."""
+    many = steps.groupBy("ride_id").agg(F.count_distinct("segment").alias("n")).where("n >= 5")
+    return steps.join(many.select("ride_id"), "ride_id", "left_semi")
+
+
 _CRR, _CDA = 0.005, 0.32
 _KNOWN = P + ", s AS (SELECT ride_id FROM (SELECT ride_id, idx // 12 g, count(*) n FROM p GROUP BY ALL HAVING count(*) > 1) GROUP BY ride_id HAVING count(*) >= 5) SELECT ride_id, 0.005E0 crr, 0.32E0 cda, CAST(1 + ride_id % 4 AS DOUBLE) wind, CAST(10 + (ride_id * 37) % 340 AS DOUBLE) wind_dir"
 
@@ -74,17 +80,14 @@ _KNOWN = P + ", s AS (SELECT ride_id FROM (SELECT ride_id, idx // 12 g, count(*)
 @query(_KNOWN + ", true recovered FROM s")
 def loop_fit_known(spark, sf_dir):
     """Rides of five segments or more: four unknowns are found again."""
-    steps = storage.stored(_known_steps(spark, sf_dir), "fit-steps")
-    found = fits.loop_or_plain(steps).where("n_segments >= 5")
+    found = fits.loop_or_plain(_enough(storage.stored(_known_steps(spark, sf_dir), "fit-steps"))).where("n_segments >= 5")
     return found.select("ride_id", F.round("crr", 4).alias("crr"), F.round("cda", 2).alias("cda"), F.round("wind", 1).alias("wind"), F.round("wind_dir", 0).alias("wind_dir"), "recovered")
 
 
 @query(_KNOWN + ", true AS ok FROM s")
 def pooled_fit_known(spark, sf_dir):
     """One row for each ride of the pool, with the shared constants and its own wind."""
-    steps = storage.stored(_known_steps(spark, sf_dir), "fit-steps")
-    many = steps.groupBy("ride_id").agg(F.count_distinct("segment").alias("n")).where("n >= 5")
-    found, winds = fits.pooled_fits(steps.join(many.select("ride_id"), "ride_id", "left_semi"))
+    found, winds = fits.pooled_fits(_enough(storage.stored(_known_steps(spark, sf_dir), "fit-steps")))
     constants = [F.lit(found.get(k)).cast("double") for k in ("crr", "cda")]
     fine = F.lit(bool(found) and found["n_rides"] >= 2 and found["r2"] > 0.6 and found["crr_sigma"] < 1e-4)
     return winds.select("ride_id", F.round(constants[0], 4).alias("crr"), F.round(constants[1], 2).alias("cda"), F.round("wind", 1).alias("wind"), F.round((F.degrees("dir") + 360) % 360, 0).alias("wind_dir"), fine.alias("ok"))

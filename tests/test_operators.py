@@ -333,3 +333,26 @@ def test_routes_and_loops_take_production_parameters(spark, monkeypatch):
     assert found.count() == few.select("ride_id").distinct().count()
     long = few.groupBy("ride_id").count().where("count > 20").count()
     assert long and prints[0].where("size(pts) > 20").count() == long
+
+
+def test_known_winds_of_few_segments(spark, monkeypatch):
+    """Five segments leave a second optimum close to the truth; a fit of several hundred rides takes seconds."""
+    from ridgeline import queries_fits
+
+    rides = [(57841, 59)] + [(k, 55 + k % 40) for k in range(500)]
+    rows = [(k, i) for k, n in rides for i in range(n)]
+    monkeypatch.setattr(queries_fits, "points", lambda *_: spark.createDataFrame(rows, "ride_id long, idx long"))
+    loops = {r["ride_id"]: r for r in queries_fits.loop_fit_known(spark, DATA).collect()}
+    pool = {r["ride_id"]: r for r in queries_fits.pooled_fit_known(spark, DATA).collect()}
+    assert set(loops) == set(pool) == {k for k, _ in rides}
+    for k in loops:
+        want = (0.005, 0.32, 1.0 + k % 4, 10.0 + k * 37 % 340)
+        assert all((r["crr"], r["cda"], r["wind"], r["wind_dir"]) == want for r in (loops[k], pool[k])) and loops[k]["recovered"] and pool[k]["ok"]
+
+
+def test_a_held_fit_finds_each_wind(spark):
+    rows = [(k, *r[1:]) for k in range(3) for r in loop_steps(0.005, 0.32, 3.0, 1.0 + k)]
+    got = {r["ride_id"]: r for r in fits._winds(spark.createDataFrame(rows, STEPS), "ride_id", 86.0, 1.225, 0.005, 0.32).collect()}
+    assert set(got) == {0, 1, 2}
+    for k, r in got.items():
+        assert r["wind"] == pytest.approx(3.0, abs=1e-9) and r["dir"] == pytest.approx(1.0 + k, abs=1e-9)
