@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +41,17 @@ def point_to_segment(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     return F.sqrt(F.pow(ax + share * dx, 2) + F.pow(ay + share * dy, 2))
 
 
+def metres_to_segments(lat: np.ndarray, lon: np.ndarray, lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """``point_to_segment`` of arrays."""
+    wide = np.cos(np.radians(lat))
+    ax, ay = (lon1 - lon) * C.metres_per_degree * wide, (lat1 - lat) * C.metres_per_degree
+    bx, by = (lon2 - lon) * C.metres_per_degree * wide, (lat2 - lat) * C.metres_per_degree
+    dx, dy = bx - ax, by - ay
+    long2 = dx * dx + dy * dy
+    share = np.where(long2 > 0, np.clip(-(ax * dx + ay * dy) / np.where(long2 > 0, long2, 1.0), 0.0, 1.0), 0.0)
+    return np.sqrt((ax + share * dx) ** 2 + (ay + share * dy) ** 2)
+
+
 def bearing(lat1, lon1, lat2, lon2) -> Column:
     """Initial bearing in radians, -pi to pi."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))

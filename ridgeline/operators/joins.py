@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import point_to_segment
+from ..functions.geo import metres_to_segments
 from ..plans.storage import stored
 from ..schemas import C
 from .frames import ranged
@@ -72,19 +72,41 @@ def merged_near(old: DataFrame, new: DataFrame, key: str, time: str, tolerance:
     return old.join(near, met, "left_anti").unionByName(new)
 
 
+#: Fixed value: pairs of a point and a segment that a task measures at once.
+PAIRS = 1 << 18
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, point_id: list[str], lat: str, lon: str, reach: float = C.snap_m) -> DataFrame:
     """The nearest segment(seg, lat1, lon1, lat2, lon2) within a reach of each point and its distance; ties: the lower seg.
-    Segments are dealt to all grid cells that they can reach, points to their own cell."""
+    Segments are dealt to all grid cells that they can reach, points to their own cell. A cell's points and segments meet as arrays; a place that many
+    points share is measured once, and of segments that are the same line the lowest seg stands for all."""
     size = max(reach, 100.0) / C.metres_per_degree
     pad = F.lit(reach / C.metres_per_degree)
     span = lambda a, b, p: F.sequence(F.floor((F.least(a, b) - p) / size), F.floor((F.greatest(a, b) + p) / size))
     wide = pad / F.cos(F.radians(F.greatest(F.abs("lat1"), F.abs("lat2"))))
-    cells = segments.withColumn("_y", F.explode(span(F.col("lat1"), F.col("lat2"), pad))).withColumn("_x", F.explode(span(F.col("lon1"), F.col("lon2"), wide)))
-    at = points.withColumn("_y", F.floor(F.col(lat) / size)).withColumn("_x", F.floor(F.col(lon) / size))
-    far = point_to_segment(lat, lon, "lat1", "lon1", "lat2", "lon2")
-    hit = at.join(cells, ["_y", "_x"]).withColumn("_d", far).where(F.col("_d") <= reach)
-    best = hit.groupBy(*point_id).agg(F.min(F.struct("_d", "seg")).alias("_b"))
-    return points.join(best, point_id, "left").select(*points.columns, F.col("_b.seg").alias("seg"), F.col("_b._d").alias("metres"))
+    ends = ["lat1", "lon1", "lat2", "lon2"]
+    lines = segments.groupBy(*ends).agg(F.min("seg").alias("seg"))
+    cells = lines.withColumn("_y", F.explode(span(F.col("lat1"), F.col("lat2"), pad))).withColumn("_x", F.explode(span(F.col("lon1"), F.col("lon2"), wide)))
+    places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).distinct()
+    places = places.withColumn("_y", F.floor(F.col("_lat") / size)).withColumn("_x", F.floor(F.col("_lon") / size))
+    kind = segments.schema["seg"].dataType.simpleString()
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, (lat1, lon1, lat2, lon2) = (left["_lat"].to_numpy(), left["_lon"].to_numpy()), (right[c].to_numpy() for c in ends)
+        order = np.argsort(right["seg"].to_numpy(), kind="stable")  # of equal distances argmin takes the first
+        lat1, lon1, lat2, lon2 = (c[order] for c in (lat1, lon1, lat2, lon2))
+        best, far = np.zeros(len(at[0]), np.int64), np.full(len(at[0]), np.inf)
+        step = max(1, PAIRS // max(1, len(order)))
+        for k in range(0, len(far) if len(order) else 0, step):
+            d = metres_to_segments(at[0][k : k + step, None], at[1][k : k + step, None], lat1, lon1, lat2, lon2)
+            best[k : k + step] = d.argmin(1)
+            far[k : k + step] = np.take_along_axis(d, best[k : k + step, None], 1)[:, 0]
+        hit = np.flatnonzero(far <= reach)
+        return pa.table({"_lat": left["_lat"].take(pa.array(hit)), "_lon": left["_lon"].take(pa.array(hit)), "seg": right["seg"].take(pa.array(order[best[hit]] if len(hit) else hit)), "metres": far[hit]})
+
+    by = ["_y", "_x"]
+    best = places.groupBy(*by).cogroup(cells.select(*by, *ends, "seg").groupBy(*by)).applyInArrow(near, f"_lat double, _lon double, seg {kind}, metres double")
+    return points.join(best, (F.col(lat).cast("double") == F.col("_lat")) & (F.col(lon).cast("double") == F.col("_lon")), "left").select(*points.columns, "seg", "metres")
 
 
 def match_ratio(matched: DataFrame, key: str, metres: str) -> DataFrame:
@@ -107,20 +129,52 @@ def segments_around(points: DataFrame, segments: DataFrame, lat: str, lon: str,
     for to, c, size in (("_y", "lat1", south), ("_x", "lon1", west)):
         cell = F.floor(F.col(c) / size)
         cells = cells.withColumn(to, F.explode(F.sequence(cell - 1, cell + 1)))
-    at = points.withColumn("_y", F.floor(F.col(lat) / south)).withColumn("_x", F.floor(F.col(lon) / west))
+    at = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few points may have many pairs
+    at = at.withColumn("_y", F.floor(F.col(lat) / south)).withColumn("_x", F.floor(F.col(lon) / west))
     near = (F.abs(F.col(lat) - F.col("lat1")) < south) & (F.abs(F.col(lon) - F.col("lon1")) < west)
     return at.join(cells, ["_y", "_x"]).where(near).drop("_y", "_x")
 
 
+#: Fixed value: boxes of a block, of which pairs are compared at once.
+BOXES = 2048
+
+
 def overlapping_boxes(boxes: DataFrame, key: str, pad: float, cell: float = 0.05) -> DataFrame:
     """Pairs (a < b) of boxes(key, south, west, north, east) that overlap once padded; boxes meet in the grid cells they touch,
-    and a pair is reported in the first cell that both have."""
-    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - pad) / cell), F.floor((F.col(hi) + pad) / cell))
-    dealt = boxes.withColumn("_y", F.explode(span("south", "north"))).withColumn("_x", F.explode(span("west", "east")))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    meet = F.expr(f"a._y = b._y AND a._x = b._x AND a.{key} < b.{key} AND a.south - {pad} <= b.north + {pad} AND b.south - {pad} <= a.north + {pad} AND a.west - {pad} <= b.east + {pad} AND b.west - {pad} <= a.east + {pad}")
-    first = F.expr(f"a._y = greatest(floor((a.south - {pad}) / {cell}), floor((b.south - {pad}) / {cell})) AND a._x = greatest(floor((a.west - {pad}) / {cell}), floor((b.west - {pad}) / {cell}))")
-    return a.join(b, meet).where(first).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    and a pair is reported in the first cell that both have. A cell's boxes are dealt to some groups, and each pair of groups meets in a task as blocks, so a cell that many boxes
+    touch is shared by many tasks, none of which holds more than two groups."""
+    spark = boxes.sparkSession
+    floor = lambda c, d: F.floor((F.col(c) + d) / cell)
+    names = ["south", "west", "north", "east"]
+    rows = boxes.select(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in names]).where(" AND ".join(f"{c} IS NOT NULL" for c in ["_k", *names]))
+    rows = rows.select("*", floor("south", -pad).alias("_s"), floor("west", -pad).alias("_w"), floor("north", pad).alias("_n"), floor("east", pad).alias("_e"))
+    dealt = stored(rows.withColumn("_y", F.explode(F.sequence("_s", "_n"))).withColumn("_x", F.explode(F.sequence("_w", "_e"))).drop("_n", "_e"), "boxes")
+    groups = dealt.groupBy("_y", "_x").agg(F.ceil(F.count("*") / BOXES).cast("int").alias("_groups"))
+    own = dealt.join(groups, ["_y", "_x"]).withColumn("_g", F.pmod(F.xxhash64("_k"), F.col("_groups").cast("long")).cast("int"))
+    # group g meets h at (least, greatest) of both
+    met = own.withColumn("_h", F.explode(F.expr("sequence(0, _groups - 1)"))).select("*", F.least("_g", "_h").alias("_p"), F.greatest("_g", "_h").alias("_q")).drop("_groups", "_h")
+    kind = boxes.schema[key].dataType.simpleString()
+
+    def pairs(cell_: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(groups)).sort_by("_k")
+        y, x, p, q = (v.as_py() for v in cell_)
+        g, k = t["_g"].to_numpy(), t["_k"].combine_chunks()
+        code = k.dictionary_encode().indices.to_numpy()
+        south, west, north, east, s, w = (t[c].to_numpy() for c in (*names, "_s", "_w"))
+        low, high, left, right = south - pad, north + pad, west - pad, east + pad
+        one, other = np.flatnonzero(g == p), np.flatnonzero(g == q)
+        for at in range(0, len(one), 256):
+            i = one[at : at + 256, None]
+            both = (low[i] <= high[other]) & (low[other] <= high[i]) & (left[i] <= right[other]) & (left[other] <= right[i]) & (np.maximum(s[i], s[other]) == y) & (np.maximum(w[i], w[other]) == x)
+            if p == q:
+                both &= code[i] < code[other]
+            a, b = np.nonzero(both)
+            a, b = i[a, 0], other[b]
+            low_, high_ = np.minimum(a, b), np.maximum(a, b)
+            yield pa.RecordBatch.from_arrays([k.take(pa.array(low_)), k.take(pa.array(high_))], ["a", "b"])
+
+    by = ["_y", "_x", "_p", "_q"]
+    return met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).groupBy(*by).applyInArrow(pairs, f"a {kind}, b {kind}")
 
 
 def way_segments(ways: DataFrame, nodes: DataFrame, way: str = "way", refs: str = "nodes") -> DataFrame:

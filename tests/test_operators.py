@@ -356,3 +356,39 @@ def test_a_held_fit_finds_each_wind(spark):
     assert set(got) == {0, 1, 2}
     for k, r in got.items():
         assert r["wind"] == pytest.approx(3.0, abs=1e-9) and r["dir"] == pytest.approx(1.0 + k, abs=1e-9)
+
+
+def test_nearest_segment_measures_places_and_lines_once(spark, monkeypatch):
+    """Many points on few places and many copies of few lines: each pair of a place and a line is measured once, ties go to the lowest seg."""
+    points = spark.range(20_000).select(F.col("id").alias("i"), (52.0 + F.col("id") % 40 * 1e-4).alias("lat"), (-1.5 + F.col("id") % 5 * 1e-4).alias("lon")).unionByName(spark.createDataFrame([(-1, None, 0.0), (-2, 10.0, 10.0)], "i long, lat double, lon double"))
+    roads = spark.range(20_000).select((20_000 - F.col("id")).alias("seg"), (52.0 + F.col("id") % 20 * 2e-4).alias("lat1"), F.lit(-1.5).alias("lon1"), (52.0 + F.col("id") % 20 * 2e-4).alias("lat2"), F.lit(-1.4995).alias("lon2"))
+    got = joins.nearest_segment(points, roads, ["i"], "lat", "lon")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and got.count() == 20_002
+    found = {r["i"]: (r["seg"], r["metres"]) for r in got.where("i < 280").collect()}
+    assert found[-1] == found[-2] == (None, None)
+    for i in range(280):
+        far = {k: abs(i % 40 * 1e-4 - k * 2e-4) * 111320 for k in range(20)}
+        least = min(far.values())
+        segs = [20_000 - 19_980 - k for k, d in far.items() if d < least + 1e-6]  # the last of a thousand copies has the lowest seg
+        assert found[i][1] == pytest.approx(least, abs=1e-6) and found[i][0] in segs
+
+
+def test_boxes_of_one_place_are_shared_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BOXES", 50)
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(a), float(b), float(a + c), float(b + d)) for k, a, b, c, d in zip(rng.permutation(400), rng.uniform(0, 0.1, 400), rng.uniform(0, 0.1, 400), rng.uniform(0, 0.02, 400), rng.uniform(0, 0.02, 400))]
+    rows += [rows[0], (None, 0.0, 0.0, 1.0, 1.0)]  # a key that comes twice does not meet itself
+    boxes = spark.createDataFrame(rows, "ride_id long, south double, west double, north double, east double")
+    pairs = joins.overlapping_boxes(boxes, "ride_id", 0.001)
+    meet = lambda p, q: all(p[k] - 0.001 <= q[k + 2] + 0.001 and q[k] - 0.001 <= p[k + 2] + 0.001 for k in (1, 2))
+    want = sorted((p[0], q[0]) for p in rows[:-1] for q in rows[:-1] if p[0] < q[0] and meet(p, q))
+    assert sorted(tuple(r) for r in pairs.collect()) == want
+    assert pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() > 1
+
+
+def test_pairs_of_points_and_segments_are_shared_by_tasks(spark):
+    from ridgeline.queries import QUERIES
+
+    sizes = QUERIES["point_to_segment_all"](spark, DATA).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(n > 0 for n in sizes) > 1
