@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import local_xy, point_to_segment
+from ..functions.geo import local_xy, metres_to_segments
 from ..schemas import C
 from ..plans.storage import stored
 from .frames import cumulative_distance, resample
@@ -26,16 +30,34 @@ def similarities(prints: DataFrame, key: str = "ride_id") -> DataFrame:
     pad = C.route_pad_m / C.metres_per_degree
     boxes = prints.select(key, "south", "west", "north", "east")
     pairs = overlapping_boxes(boxes, key, pad).select(F.col("b").alias("later"), F.col("a").alias("earlier"))
-    p = prints.select(F.col(key).alias("later"), F.col("pts").alias("p"), F.col("length_m").alias("la"))
-    q = prints.select(F.col(key).alias("earlier"), F.col("pts").alias("q"), F.col("length_m").alias("lb"))
-    both = pairs.join(p, "later").join(q, "earlier").where(F.greatest("la", "lb") <= C.route_length_ratio * F.least("la", "lb"))
-    line = F.zip_with(F.slice("q", 1, F.size("q") - 1), F.slice("q", 2, F.size("q") - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    near = F.transform("p", lambda x: F.array_min(F.transform("_line", lambda g: point_to_segment(x["lat"], x["lon"], g["s"]["lat"], g["s"]["lon"], g["e"]["lat"], g["e"]["lon"]))))
-    found = both.where(F.size("q") > 1).withColumn("_line", line).select("later", "earlier", F.explode(near).alias("d"))
-    sums = found.groupBy("later", "earlier").agg(F.avg("d").alias("mean_m"), F.percentile("d", F.lit(0.95)).alias("p95_m"))
+    tracks = stored(prints.groupBy("pts").agg(F.min(key).alias("track")), "route-tracks")  # rides over the same places are measured once
+    member = stored(prints.join(tracks, "pts").select(key, "track", "length_m"), "route-members")
+    side = lambda n, c: member.select(F.col(key).alias(n), F.col("track").alias(c), F.col("length_m").alias(f"_{c}"))
+    both = pairs.join(side("later", "p"), "later").join(side("earlier", "q"), "earlier").where(F.greatest("_p", "_q") <= C.route_length_ratio * F.least("_p", "_q"))
+    both = stored(both.select("later", "earlier", "p", "q"), "route-pairs")
+    places = lambda c: tracks.select(F.col("track").alias(c), F.col("pts.lat").alias(f"{c}_lat"), F.col("pts.lon").alias(f"{c}_lon"))
+    lines = both.select("p", "q").distinct().join(places("p"), "p").join(places("q").where("size(q_lat) > 1"), "q").select("p", "q", "p_lat", "p_lon", "q_lat", "q_lon")
+    kind = prints.schema[key].dataType.simpleString()
+    lines = lines.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = lines.mapInArrow(_distances, f"p {kind}, q {kind}, mean_m double, p95_m double")
+    sums = both.join(sums, ["p", "q"]).select("later", "earlier", "mean_m", "p95_m")
     return sums.withColumn("same_route", (F.col("mean_m") <= C.route_mean_m) & (F.col("p95_m") <= C.route_p95_m))
 
 
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean and 95th percentile of the distances from the places of p to the line of q."""
+    for batch in batches:
+        found = []
+        for i in range(batch.num_rows):
+            lat, lon, y, x = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(2, 6))
+            d = metres_to_segments(lat[:, None], lon[:, None], y[:-1], x[:-1], y[1:], x[1:])
+            d = np.fmin.reduce(d, axis=1)
+            d = d[~np.isnan(d)]
+            found.append((float(d.mean()), float(np.percentile(d, 95))) if len(d) else (None, None))
+        mean, p95 = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mean, pa.float64()), pa.array(p95, pa.float64())], ["p", "q", "mean_m", "p95_m"])
+
+
 def grouped(rides: DataFrame, edges: DataFrame, key: str = "ride_id", started: str = "started_at") -> DataFrame:
     """Each ride's route, named by its first ride: rides in the order of their start join the reference whose mean distance is least.
 

@@ -392,3 +392,27 @@ def test_pairs_of_points_and_segments_are_shared_by_tasks(spark):
 
     sizes = QUERIES["point_to_segment_all"](spark, DATA).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(n > 0 for n in sizes) > 1
+
+
+def test_equal_tracks_are_measured_once(spark, monkeypatch):
+    rng, tables = np.random.default_rng(9), {}
+    tracks = [[(52 + 1e-4 * k + rng.normal(0, 2e-5), -1.5 + shift) for k in range(30)] for shift in (0.0, 1e-4, 5e-4)]
+    boxes = [(min(p[0] for p in t), min(p[1] for p in t), max(p[0] for p in t), max(p[1] for p in t)) for t in tracks]
+    rows = [(r, [(k, *place) for k, place in enumerate(tracks[r % 3])], 330.0 + r % 2, *boxes[r % 3]) for r in range(90)]
+    prints = spark.createDataFrame(rows, "ride_id long, pts array<struct<k:int,lat:double,lon:double>>, length_m double, south double, west double, north double, east double")
+    stored = routes.stored
+    monkeypatch.setattr(routes, "stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    pts = {r: tracks[r % 3] for r in range(90)}
+    got = {(r["later"], r["earlier"]): r for r in routes.similarities(prints).collect()}
+    assert set(got) == {(a, b) for a in range(90) for b in range(a)}
+    assert 3 <= tables["route-pairs"].select("p", "q").distinct().count() <= 9
+    assert all(got[a, b]["same_route"] == (abs(a % 3 - b % 3) < 2 and {a % 3, b % 3} != {1, 2}) for a, b in got)
+    for a, b in ((1, 0), (3, 0), (5, 1)):
+        far = []
+        for lat, lon in pts[a]:
+            m = np.array([111320 * math.cos(math.radians(lat)), 111320])
+            line = (np.array(pts[b])[:, ::-1] - [lon, lat]) * m
+            s, d = line[:-1], np.diff(line, axis=0)
+            t = np.clip(-(s * d).sum(1) / (d * d).sum(1), 0, 1)
+            far.append(np.hypot(*(s + t[:, None] * d).T).min())
+        assert got[a, b]["mean_m"] == pytest.approx(np.mean(far), abs=1e-6) and got[a, b]["p95_m"] == pytest.approx(np.percentile(far, 95), abs=1e-6)
