@@ -70,3 +70,22 @@ def test_runs_of_a_table_function(spark):
     for least in (1, 3):
         got = spark.sql(f"SELECT * FROM runs_of({least}, TABLE(run_samples) PARTITION BY ride_id ORDER BY idx)").collect()
         assert sorted(tuple(r) for r in got) == sorted(w for w in want if w[2] >= least)
+
+
+def test_many_riders_share_few_calls(spark, tmp_path, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    keys, whole = [], GroupedData.applyInPandasWithState
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda self, *a: keys.append(self._df) or whole(self, *a))
+    rows = [(r, 10 * r + k, 100.0 + 3 * k + r % 5, 50.0 + r % 7) for r in range(500) for k in range(4)]
+    schema = "rider long, id long, day double, trimp double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(-1, -1, 1000.0, 0.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    late.training_load(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["rider"], r["id"]): (r["ctl"], r["atl"]) for r in spark.read.parquet(f"{tmp_path}/out").where("final").collect()}
+    for r in (0, 3, 499):
+        for k in range(4):
+            for days, value in zip((42.0, 7.0), got[r, 10 * r + k], strict=True):
+                assert value == pytest.approx(sum((50.0 + r % 7) * math.exp(-3 * (k - j) / days) for j in range(k + 1)) * (1 - math.exp(-1 / days)))
+    assert len(got) == 2000 and keys[0].columns[-1] == "_group"
